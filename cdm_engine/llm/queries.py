@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup, substring_dedup, suffix_dedup
+from . import decontaminate, simhash_dedup, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(_table(spark, sf_dir, "documents"), width=200)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hit_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
