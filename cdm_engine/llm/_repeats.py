@@ -14,7 +14,8 @@ leave the task that reads the text:
 
 Distributed grouping by h drops singleton buckets. Members whose refined buckets are equal repeat
 all their windows. Where one h holds several refined buckets, one member of each goes to the last
-level, buckets of single windows.
+levels: first the units that up to ``GROUP`` neighbouring windows have in common, and, where these
+repeat, buckets of single windows.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(unit: Unit, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, h, c, lo, n) of each anchor of a slice of documents."""
+    """(document, h, c, lo, n, anchor - lo) of each anchor of a slice of documents."""
     width, q = unit.width, unit.q
     grams, whole, ptr = window_buckets(unit, data, off)
     w = width - q + 1
@@ -115,7 +116,7 @@ def anchors(unit: Unit, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     at = at[: len(valid)]
     if not valid.any():
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z.astype(np.uint64), z, z
+        return z, z.astype(np.uint64), z.astype(np.uint64), z, z, z
     step = np.empty(len(at) + 1, bool)
     step[0] = step[-1] = True
     step[1:-1] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
@@ -125,7 +126,7 @@ def anchors(unit: Unit, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     shape = ((a - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)
     c = mix(mix(whole[lo], whole[hi]), shape)
     doc = np.searchsorted(ptr, lo, side="right") - 1
-    return doc, grams[a], c, lo - ptr[doc], hi - lo + 1
+    return doc, grams[a], c, lo - ptr[doc], hi - lo + 1, a - lo
 
 
 def cover(n: int, lo: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
@@ -148,82 +149,141 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(unit: Unit):
+    """One row for each anchor; those alike in one document share a row, and ``also`` has the other places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, th = (batch.column(k).to_numpy() for k in (0, 1))
             for first, end, data, off in slices(column(batch, "text")):
-                doc, h, c, lo, n = anchors(unit, data, off)
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[first:end][doc]), pa.array(th[first:end][doc]), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["id", "th", "h", "c", "lo", "n"],
-                    )
+                doc, h, c, lo, n, at = anchors(unit, data, off)
+                if not len(doc):
+                    continue
+                own = mix(mix(h, c), doc.astype(np.uint64))
+                order = np.argsort(own, kind="stable")
+                fresh = np.append(True, own[order][1:] != own[order][:-1])
+                count = np.diff(np.append(np.flatnonzero(fresh), len(order))) - 1
+                keep = order[fresh]
+                rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(lo[order[~fresh]].astype(np.int32)), mask=pa.array(count == 0))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[first:end][doc[keep]]),
+                        pa.array(th[first:end][doc[keep]]),
+                        pa.array(h[keep].view(np.int64)),
+                        pa.array(c[keep].view(np.int64)),
+                        pa.array(lo[keep].astype(np.int32)),
+                        pa.array((at[keep] << 16 | n[keep]).astype(np.int32)),
+                        rest,
+                    ],
+                    names=["id", "th", "h", "c", "lo", "shape", "also"],
+                )
 
     return run
 
 
-def _window_rows(unit: Unit):
-    """Buckets of the single windows that are asked for: one row per window."""
+#: So many neighbouring windows share a row on the last level but one.
+GROUP = 8
+
+
+def _group_rows(unit: Unit):
+    """For the windows that are asked for: a row for each group of windows whose places relative to
+    the anchor have the same quotient by ``GROUP``. k: bucket of the units that all of the group's
+    windows have; c: buckets of its single windows, from ``lo`` on."""
+    group = GROUP if unit.width >= 4 * GROUP else 1
+    core = unit.width - group + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            asked = batch.column(3)
-            ptr = asked.offsets.to_numpy().astype(np.int64)
-            flat = asked.flatten()
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            ids, th = (batch.column(at[k]).to_numpy() for k in ("id", "th"))
+            asked = batch.column(at["asked"])
+            flat, ptr = asked.flatten(), asked.offsets.to_numpy().astype(np.int64)
             ptr = ptr - ptr[0]
-            h, lo, n = (flat.field(k).to_numpy() for k in ("h", "lo", "n"))
+            h, lo, shape = (flat.field(k).to_numpy() for k in ("h", "lo", "shape"))
             for first, end, data, off in slices(column(batch, "text")):
-                _, whole, units = window_buckets(unit, data, off)
-                r0, r1 = ptr[first], ptr[end]
+                grams, whole, units = window_buckets(unit, data, off)
+                r = slice(ptr[first], ptr[end])
                 row = np.repeat(np.arange(first, end), np.diff(ptr[first : end + 1]))
-                count = n[r0:r1].astype(np.int64)
-                start = lo[r0:r1].astype(np.int64)
-                s = gather(np.arange(int(units[-1]) + 1), units[row - first] + start, count)
-                row = np.repeat(row, count)
-                if len(s):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[row]), pa.array(th[row]), pa.array(np.repeat(h[r0:r1], count)), pa.array(whole[s].view(np.int64)), pa.array((s - units[row - first]).astype(np.int32))],
-                        names=["id", "th", "h", "c", "lo"],
-                    )
+                n, place = (shape[r] & 0xFFFF).astype(np.int64), (shape[r] >> 16).astype(np.int64)
+                start = units[row - first] + lo[r]
+                if not len(row):
+                    continue
+                which = np.repeat(np.arange(len(row)), n)
+                s = gather(np.arange(int(units[-1]) + 1), start, n)
+                g = (np.repeat(start + place, n) - s) // group
+                fresh = np.append(True, (which[1:] != which[:-1]) | (g[1:] != g[:-1]))
+                head = np.flatnonzero(fresh)
+                who = which[head]
+                p = start[who] + place[who] - group * g[head]
+                k = mix(grams[p], mix(grams[p + core - unit.q], g[head].astype(np.uint64)))
+                c = pa.ListArray.from_arrays(pa.array(np.append(head, len(s)).astype(np.int32)), pa.array(whole[s].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[row[who]]),
+                        pa.array(th[row[who]]),
+                        pa.array(h[r][who]),
+                        pa.array(k.view(np.int64)),
+                        pa.array((s[head] - units[row[who] - first]).astype(np.int32)),
+                        c,
+                    ],
+                    names=["id", "th", "h", "k", "lo", "c"],
+                )
 
     return run
 
 
 def repeated_runs(docs: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
-    """Runs of window starts that repeat, per document: (id, th, runs array<struct<lo, n, first>>).
+    """Runs of window starts that repeat, per document: (id, th, runs array<long>, first). A run is
+    (first window << 16 | number of windows).
 
     ``docs`` has id, th, text. ``earlier``: a window counts if it also starts in a document with a
-    smaller id (``first`` is the smallest); else if it also starts anywhere else.
+    smaller id (``first`` is the largest of these); else if it also starts anywhere else.
     """
-    found = docs.select("id", "th", "text").mapInArrow(_anchor_rows(unit), f"{KEYS}, h long, c long, lo int, n int")
+    if unit.width >= 1 << 15:
+        raise ValueError("a window has fewer than 32,768 units")
+    found = docs.select("id", "th", "text").mapInArrow(_anchor_rows(unit), f"{KEYS}, h long, c long, lo int, shape int, also array<int>")
     same, bucket = W.partitionBy("h", "c"), W.partitionBy("h")
+    times = F.sum(F.lit(1) + F.coalesce(F.size("also"), F.lit(0)))
     ranked = (
         found.repartition("h")
         .withColumn("rank", F.row_number().over(same.orderBy("id")))
-        .withColumns({"first": F.min("id").over(same), "copies": F.count(F.lit(1)).over(same)})
+        .withColumns({"first": F.min("id").over(same), "copies": times.over(same)})
         .withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)})
     )
     several = F.col("low") != F.col("high")
     settled = F.col("id") > F.col("first") if earlier else F.col("copies") > 1
     asks = several & ((F.col("id") == F.col("first")) if earlier else (F.col("rank") == 1))
     table = materialize(
-        ranked.where(settled | asks).select("id", "th", "h", "lo", "n", "first", settled.alias("settled"), asks.alias("asks")), "repeats"
+        ranked.where(settled | asks).select("id", "th", "h", "lo", "shape", "also", "first", settled.alias("settled"), asks.alias("asks")), "repeats"
     )
-    asked = table.where("asks").groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n")).alias("asked"))
+    everywhere = F.explode(F.concat(F.array("lo"), F.coalesce("also", F.array().cast("array<int>"))))
+    # one member of a refined bucket stands for all; where only other documents count, each of the first document's does
+    ask = table.where("asks").select("id", "th", "h", "shape", (everywhere if earlier else F.col("lo")).alias("lo"))
+    asked = ask.groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "shape")).alias("asked"))
+    core, window = W.partitionBy("h", "k"), W.partitionBy("h", "k", "c")
+    alone = (F.min("id").over(core) == F.max("id").over(core)) if earlier else (F.count(F.lit(1)).over(core) == 1)
     single = (
-        docs.select("id", "th", "text")
-        .join(asked, ["id", "th"])
-        .mapInArrow(_window_rows(unit), f"{KEYS}, h long, c long, lo int")
-        .repartition("h", "c")
-        .withColumns({"first": F.min("id").over(same), "copies": F.count(F.lit(1)).over(same)})
+        docs.join(asked, ["id", "th"])
+        .mapInArrow(_group_rows(unit), f"{KEYS}, h long, k long, lo int, c array<long>")
+        .repartition("h", "k")
+        .withColumn("alone", alone)
+        .where("not alone")
+        .select("id", "th", "h", "k", "lo", F.posexplode("c").alias("j", "c"))
+        .withColumns({"first": F.min("id").over(window), "copies": F.count(F.lit(1)).over(window)})
         .where(settled)
-        .select("id", "th", "lo", F.lit(1).alias("n"), "first")
+        .select("id", "th", F.expr("lo + j").alias("lo"), F.lit(1).alias("n"), "first")
     )
-    runs = table.where("settled").select("id", "th", "lo", "n", "first").unionByName(single)
-    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "first")).alias("runs"))
+    runs = table.where("settled").select("id", "th", everywhere.alias("lo"), F.expr("shape & 65535").alias("n"), "first").unionByName(single)
+    run = F.shiftleft(F.col("lo").cast("long"), 16).bitwiseOR(F.col("n").cast("long"))
+    return runs.groupBy("id", "th").agg(F.collect_list(run).alias("runs"), F.max("first").alias("first"))
 
 
 def with_runs(docs: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
-    """``docs`` (with id, th) and their ``runs``; null where nothing repeats."""
+    """``docs`` (with id, th) and their ``runs`` and ``first``; null where nothing repeats."""
     return docs.join(repeated_runs(docs, unit, earlier), ["id", "th"], "left")
+
+
+def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, lo, n) of a batch's ``runs``."""
+    runs = batch.column(batch.schema.get_field_index("runs"))
+    ptr, flat = runs.offsets.to_numpy().astype(np.int64), runs.values.to_numpy()
+    return ptr, flat >> 16, flat & 0xFFFF

@@ -26,30 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Unit, keyed, with_runs
+from ._repeats import Unit, keyed, unpack, with_runs
 from ._text import column
 
 #: Bytes of text in a block of documents (a longer document is a block of its own).
 BLOCK = 1 << 19
 
 
-def passages(lo: np.ndarray, n: np.ndarray, first: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(first word, end word, largest of the windows' first documents) of each maximal run of windows."""
+def passages(lo: np.ndarray, n: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """(first word, end word) of each maximal run of windows."""
     order = np.argsort(lo, kind="stable")
-    lo, end, first = lo[order], (lo + n)[order], first[order]
-    reach = np.maximum.accumulate(end)
+    lo, reach = lo[order], np.maximum.accumulate((lo + n)[order])
     cut = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
     last = np.append(cut[1:], len(lo)) - 1
-    return list(zip(lo[cut].tolist(), (reach[last] - 1 + width).tolist(), np.maximum.reduceat(first, cut).tolist(), strict=True))
+    return list(zip(lo[cut].tolist(), (reach[last] - 1 + width).tolist(), strict=True))
 
 
-def located(ids: list[int], words: list[list[bytes]], runs: list[list[tuple[int, int, int]]]) -> list[np.ndarray | None]:
-    """Which words of each document of a block go: None where none does."""
+def located(ids: list[int], words: list[list[bytes]], runs: list[list[tuple[int, int]]], firsts: list[int | None]) -> list[np.ndarray | None]:
+    """Which words of each document of a block go: None where none does. ``firsts``: the windows of a
+    document's passages all start in documents up to this one."""
     known: dict[str, tuple[int, int]] = {}
     texts = [f" {b' '.join(w).decode('latin-1')} " for w in words]  # a character for each byte
     edges = [np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) for w in words]
-    for text, edge, found in zip(texts, edges, runs, strict=True):
-        for a, b, first in found:
+    for text, edge, found, first in zip(texts, edges, runs, firsts, strict=True):
+        for a, b in found:
             phrase = text[int(edge[a - 1]) if a else 0 : int(edge[b - 1]) + 1]
             known[phrase] = min((first, b - a), known.get(phrase, (first, b - a)))
     if not known:
@@ -75,15 +75,14 @@ def located(ids: list[int], words: list[list[bytes]], runs: list[list[tuple[int,
 
 def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[list[bytes]], list[np.ndarray | None]]]:
     ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
-    col = batch.column(batch.schema.get_field_index("runs"))
-    ptr = col.offsets.to_numpy().astype(np.int64)
-    lo, n, first = (col.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "n", "first"))
+    ptr, lo, n = unpack(batch)
+    firsts = batch.column(batch.schema.get_field_index("first"))
     texts = column(batch, "text").cast(pa.binary())
 
     def block(a: int, b: int):
         words = [texts[i].as_py().split() for i in range(a, b)]
-        runs = [passages(lo[p:q], n[p:q], first[p:q], width) if q > p else [] for p, q in zip(ptr[a:b], ptr[a + 1 : b + 1], strict=True)]
-        return words, located(ids[a:b].tolist(), words, runs)
+        runs = [passages(lo[p:q], n[p:q], width) if q > p else [] for p, q in zip(ptr[a:b], ptr[a + 1 : b + 1], strict=True)]
+        return words, located(ids[a:b].tolist(), words, runs, firsts[a:b].to_pylist())
 
     a, size = 0, 0
     for i in range(batch.num_rows):
@@ -120,7 +119,7 @@ def _ready(docs: DataFrame, width: int) -> DataFrame:
 def repeat_digests(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     ready = _ready(docs.select("doc_id", "text"), width)
-    return ready.select(F.col("doc_id").cast("long").alias("doc_id"), "id", "text", "runs").mapInArrow(
+    return ready.select(F.col("doc_id").cast("long").alias("doc_id"), "id", "text", "runs", "first").mapInArrow(
         _digests(width), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
@@ -144,4 +143,4 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 parts["n_chars"] = pa.array([len(t or "") for t in texts], parts["n_chars"].type)
             yield pa.RecordBatch.from_arrays([parts[c] for c in names], names=names)
 
-    return ready.select("row", "id", "text", "runs").mapInArrow(run, schema)
+    return ready.select("row", "id", "text", "runs", "first").mapInArrow(run, schema)

@@ -22,21 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Unit, cover, keyed, with_runs
+from ._repeats import Unit, cover, keyed, unpack, with_runs
 from ._text import buffers, column
 
 
 def _masks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, bytes, which of them go) of each row."""
     data, off = buffers(column(batch, "text"))
-    runs = batch.column(batch.schema.get_field_index("runs"))
-    ptr = runs.offsets.to_numpy().astype(np.int64)
-    flat = runs.values
-    lo, n = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
+    ptr, lo, n = unpack(batch)
     for i in range(batch.num_rows):
         a, b = ptr[i], ptr[i + 1]
         size = int(off[i + 1] - off[i])
-        gone = cover(size, lo[a:b].astype(np.int64), n[a:b].astype(np.int64), width) if b > a else np.zeros(size, bool)
+        gone = cover(size, lo[a:b], n[a:b], width) if b > a else np.zeros(size, bool)
         yield i, data[off[i] : off[i + 1]], gone
 
 
