@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, simhash_dedup, substring_dedup, suffix_dedup
+from . import decontaminate, langid, packing, simhash, simhash_dedup, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -45,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_fingerprints": op1_simhash_fingerprints,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op7_simhash_dedup": op7_simhash_dedup,
