@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, packing, simhash, simhash_dedup, substring_dedup, suffix_dedup
+from . import chat, decontaminate, html_extract, langid, packing, simhash, simhash_dedup, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ GROUP BY conv_id
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_fingerprints": op1_simhash_fingerprints,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_html_extraction": op3_html_extraction,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op7_simhash_dedup": op7_simhash_dedup,
