@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._text import K3, column, gather, hash_spans, is_space, mix, slices, spans
 
@@ -250,8 +251,8 @@ def predict(docs: DataFrame, model: tuple[Scorer, np.ndarray] | None) -> DataFra
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast((model[0].models.state(), model[1]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double, rejected boolean")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return docs.mapInArrow(_predict(shared), schema)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -259,3 +260,11 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     plain = docs.select("doc_id", "text", F.col("lang"))
     out = predict(plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(plain, sample_rows))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` without the rows that are rejected; the models learn from the same rows."""
+    names = docs.columns
+    plain = docs.toDF(*[c if c in ("doc_id", "text", "lang") else f"column_{k}" for k, c in enumerate(names)])
+    judged = predict(plain, fit(plain, sample_rows))
+    return judged.where("not rejected").select(*plain.columns).toDF(*names)

@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._repeats import keyed
 from ._store import materialize
 from ._text import column
 from .components import components
@@ -33,6 +35,8 @@ from .golay import join_keys
 
 LARGE = 2048
 RADIUS = 2
+#: Stands for a null doc_id in row keys.
+NO_ID = -(2**63)
 
 
 def _votes(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -64,10 +68,12 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
 
 
 def _fingerprints(size: int):
+    """Appends the fingerprint ``f`` to whatever columns stand before ``text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
-            texts = column(batch, "text").cast(pa.binary())
+            texts, names = column(batch, "text").cast(pa.binary()), [n for n in batch.schema.names if n != "text"]
             for at in range(0, batch.num_rows, 256):
                 part = texts.slice(at, 256)
                 each = [np.array(shingle_hashes(t.as_py(), size), np.uint64) for t in part]
@@ -75,14 +81,14 @@ def _fingerprints(size: int):
                 ptr = np.concatenate([[0], np.cumsum(n)])
                 on = 2 * _votes(np.concatenate(each), ptr) > n[:, None]
                 f = (on * weights).sum(axis=1, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(f.view(np.int64))], names=["doc_id", "f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 256) for k in range(len(names))), pa.array(f.view(np.int64))], names=[*names, "f"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, f): a fingerprint's 64 bits as a signed number."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(size), "doc_id long, f long")
+    """(id, th, f): row keys (see ``keyed``) and a fingerprint's 64 bits as a signed number."""
+    return keyed(docs.select("doc_id", "text")).select("id", "th", "text").mapInArrow(_fingerprints(size), "id long, th int, f long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +177,29 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges.where("not through").select("a", "b").unionByName(shared.select("a", "b")).distinct()
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(f, component_id): the smallest id of each fingerprint's component; null doc_ids only where there is no other."""
+    named = F.when(F.col("id") != NO_ID, F.col("id"))
+    distinct = rows.groupBy("f").agg(F.min(named).alias("first"))
+    label = components(links(distinct))
+    smallest = distinct.join(label, distinct.f == label.node, "left").select("f", "first", F.coalesce("label", "f").alias("label"))
+    return smallest.join(smallest.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("f", "component_id")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links reach."""
     rows = materialize(fingerprints(docs, size), "fingerprints")
-    distinct = rows.groupBy("f").agg(F.min("doc_id").alias("first"))
-    label = components(links(distinct))
-    smallest = (
-        distinct.join(label, distinct.f == label.node, "left")
-        .select("f", "first", F.coalesce("label", "f").alias("label"))
-    )
-    named = smallest.join(smallest.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("f", "component_id")
-    return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    return rows.join(_named(rows), "f").select(doc_id, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (a null one only if there is
+    no other; of several with that doc_id, one)."""
+    own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    rows = materialize(fingerprints(docs, size), "fingerprints")
+    member = rows.join(_named(rows), "f").withColumn("component", F.coalesce("component_id", "f"))
+    order = F.struct(F.when(F.col("id") == NO_ID, 1).otherwise(0).alias("none"), "id", "th")
+    chosen = member.groupBy(F.col("component_id").isNull(), "component").agg(F.min(order).alias("best")).select("best.id", "best.th")
+    once = F.row_number().over(W.partitionBy("id", "th").orderBy("id"))
+    return own.join(chosen, ["id", "th"], "left_semi").withColumn("n", once).where("n = 1").select("row.*")
