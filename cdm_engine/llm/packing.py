@@ -9,8 +9,8 @@
    before it, so that no length, however common, gathers in one task. Joining length and rank with
    the plan's rank ranges gives sequence and offset.
 
-Tokens: white space never joins tokens in the vocabularies this is made for (``word_bpe_49k``), so each
-distinct white-space-separated chunk is encoded once and its ids are reused.
+Tokens: white space never joins tokens in the vocabulary this is made for (``word_bpe_49k``), so each
+distinct word is encoded once in a task and its ids are reused (``WordEncoder``).
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table
 gives an empty table; clashing extra columns aren't read.
@@ -19,6 +19,7 @@ gives an empty table; clashing extra columns aren't read.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,17 +34,42 @@ from pyspark.sql import functions as F
 from ._store import materialize
 from ._text import column, gather, hash_spans, slices, spans
 
-#: Distinct chunks that a task remembers before it starts anew.
+#: Distinct words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 
 
-class ChunkEncoder:
-    """Token ids of texts by way of their distinct white-space-separated chunks."""
+def _classes() -> np.ndarray:
+    c = np.full(256, 4, np.uint8)
+    c[0x21:0x7F] = 3
+    c[[0x20, 0x09, 0x0A, 0x0D]] = 0
+    c[0x41:0x5B] = c[0x61:0x7B] = 1
+    c[0x30:0x3A] = 2
+    c[0x27] = 4
+    return c
+
+
+#: Bytes: 0 blank, 1 ASCII letter, 2 digit, 3 other visible ASCII, 4 anything else.
+_CLASS = _classes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class WordEncoder:
+    """Token ids of texts by way of their distinct words.
+
+    Chunks between blanks that hold only ASCII without apostrophes or "<|" and the letters of Latin-1 are cut
+    further, into runs of letters, single digits and runs of other characters, in lower case - where this
+    vocabulary's own pattern cuts them; each such word has one token with the end mark, its last.
+    Any other chunk is encoded as it stands.
+    """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -51,30 +77,75 @@ class ChunkEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts, self.lens, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def _learn(self, chunks: list[str], keys: list[int]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lens.sum())
-        while self.used + total > len(self.flat):
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], plain: list[bool], keys: list[int]) -> None:
+        order = sorted(range(len(words)), key=plain.__getitem__, reverse=True)
+        n = sum(plain)
+        ids, lens = [], []
+        for a in range(0, n, 4096):
+            part = [words[k] for k in order[a : min(a + 4096, n)]]
+            (own,) = self._ids([" ".join(part)])
+            stops = np.flatnonzero(self.ends[own])
+            if len(stops) == len(part):
+                ids.append(own)
+                lens.append(np.diff(stops, prepend=-1))
+            else:
+                each = self._ids(part)
+                ids += each
+                lens.append(np.array([len(x) for x in each], np.int64))
+        each = self._ids([words[k] for k in order[n:]])
+        new = np.concatenate([*ids, *each, np.zeros(0, np.uint32)])
+        lens = np.concatenate([*lens, np.array([len(x) for x in each], np.int64)])
+        while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
+        self.flat[self.used : self.used + len(new)] = new
+        self.known.update(zip((keys[k] for k in order), range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
-        self.used += total
+        self.used += len(new)
+
+    @staticmethod
+    def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes in lower case, starts, lengths, words before each document, which words are plain)."""
+        n = int(off[-1])
+        low, kind = _LOWER[data], _CLASS[data[:n]]
+        lead = np.flatnonzero(data[: max(n - 1, 0)] == 0xC3)  # letters of Latin-1 but the signs of multiplication and division
+        second = data[lead + 1]
+        lead = lead[(second != 0x97) & (second != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        upper = lead[data[lead + 1] < 0x9F] + 1
+        low[upper] += 32
+        kind[np.flatnonzero((data[: max(n - 1, 0)] == 0x3C) & (data[1:n] == 0x7C))] = 4  # special tokens begin so
+        starts, lens, _ = spans(kind > 0, off)
+        hard = np.concatenate([[0], np.cumsum(kind == 4)])
+        odd = hard[starts + lens] > hard[starts]
+        at = gather(np.arange(n), starts[odd], lens[odd])
+        kind[at] = 4
+        low[at] = data[at]
+        edge = np.zeros(n + 1, bool)
+        edge[off] = True
+        first = kind > 0
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2) | edge[1:n]
+        begin = np.flatnonzero(first)
+        stop = np.append(kind[1:] != kind[:-1], True) | (kind == 2) | edge[1:]
+        end = np.flatnonzero(stop & (kind > 0)) + 1
+        return low, begin, end - begin, np.searchsorted(begin, off), kind[begin] != 4
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, ids before each document)."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        blank = (data == 32) | (data == 9) | (data == 10) | (data == 13)
-        starts, lens, ptr = spans(~blank, off)
-        key, first, which = np.unique(hash_spans(data, starts, lens), return_index=True, return_inverse=True)
-        new = [(int(k), int(i)) for k, i in zip(key.tolist(), first.tolist(), strict=True) if k not in self.known]
+        low, starts, lens, ptr, plain = self.cut(data, off)
+        key, first, which = np.unique(hash_spans(low, starts, lens), return_index=True, return_inverse=True)
+        key = key.tolist()
+        new = [k for k, x in enumerate(key) if x not in self.known]
         if new:
-            raw = data.tobytes()
-            self._learn([raw[starts[i] : starts[i] + lens[i]].decode() for _, i in new], [k for k, _ in new])
-        at = np.fromiter(map(self.known.__getitem__, key.tolist()), np.int64, len(key))[which]
+            raw, at = low.tobytes(), first[new]
+            words = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), (starts[at] + lens[at]).tolist(), strict=True)]
+            self._learn(words, plain[at].tolist(), [key[k] for k in new])
+        at = np.fromiter(map(self.known.__getitem__, key), np.int64, len(key))[which]
         n = self.lens[at]
         return gather(self.flat, self.starts[at], n), np.concatenate([[0], np.cumsum(n)])[ptr]
 
@@ -84,9 +155,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def _pieces(vocabulary: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, task = ChunkEncoder(vocabulary), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, task = WordEncoder(vocabulary), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi, data, off in slices(column(batch, "text")):
+            for lo, hi, data, off in slices(column(batch, "text"), 2 << 20):
                 flat, ptr = encoder.encode(data, off)
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i in range(hi - lo):
