@@ -38,6 +38,9 @@ SEGMENT_BYTES = 1 << 20
 #: Places between the last word of a document and the first of the next are more than this.
 GAP = 1 << 10
 
+#: Candidate places that a search holds at a time (those of one phrase, if these are more).
+CANDIDATES = 1 << 17
+
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,19 +124,27 @@ def intersect(block: Phrases, term: np.ndarray, count: np.ndarray, place: np.nda
     n[-1] = np.iinfo(np.int64).max  # the mark for "no more words"
     have = n[block.phrases]
     alive = np.flatnonzero(have.min(axis=1) > 0)
+    if not len(alive):
+        return alive, place[:0]
     rare = np.argsort(have[alive], axis=1, kind="stable")
     seed = block.phrases[alive, rare[:, 0]]
-    start = gather(place, first[seed], n[seed]) - np.repeat(rare[:, 0], n[seed])
-    row = np.repeat(np.arange(len(alive)), n[seed])
     posting = (np.repeat(term, count).astype(np.int64) << 32) + place
-    for k in range(1, block.width):
-        offset = rare[row, k]
-        want = block.phrases[alive[row], offset]
-        lowest = (want << 32) + np.maximum(start + offset - slop, 0)
-        at = np.minimum(np.searchsorted(posting, lowest), len(posting) - 1)
-        ok = (want < 0) | ((posting[at] >= lowest) & (posting[at] <= (want << 32) + start + offset + slop))
-        row, start = row[ok], start[ok]
-    return alive[row], start
+    found, starts = [], []
+    edge = np.searchsorted(np.cumsum(n[seed]), np.arange(CANDIDATES, int(n[seed].sum()) + CANDIDATES, CANDIDATES))
+    for a, b in zip(np.append(0, edge[:-1] + 1).tolist(), (edge + 1).tolist(), strict=True):
+        part = slice(a, b)  # phrases with about CANDIDATES candidates, so that memory stays bounded
+        start = gather(place, first[seed[part]], n[seed[part]]) - np.repeat(rare[part, 0], n[seed[part]])
+        row = np.repeat(np.arange(len(alive))[part], n[seed[part]])
+        for k in range(1, block.width):
+            offset = rare[row, k]
+            want = block.phrases[alive[row], offset]
+            lowest = (want << 32) + np.maximum(start + offset - slop, 0)
+            at = np.minimum(np.searchsorted(posting, lowest), len(posting) - 1)
+            ok = (want < 0) | ((posting[at] >= lowest) & (posting[at] <= (want << 32) + start + offset + slop))
+            row, start = row[ok], start[ok]
+        found.append(alive[row])
+        starts.append(start)
+    return np.concatenate([alive[:0], *found]), np.concatenate([place[:0], *starts])
 
 
 def _search(block: Phrases, slop: int):
@@ -148,19 +159,19 @@ def _search(block: Phrases, slop: int):
                 phrase, start, doc = phrase[inside], start[inside], doc[inside]
                 order = np.argsort(doc, kind="stable")
                 phrase, start, doc = phrase[order], start[order], doc[order]
-                for d in np.unique(doc).tolist():
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    items = sorted({x for p in np.unique(phrase[a:b]).tolist() for x in block.items[p]})
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[d : d + 1]),
-                            pa.array(th[d : d + 1]),
-                            pa.array([start[a:b] - base[d]], pa.list_(pa.int64())),
-                            pa.array([block.sizes[phrase[a:b]]], pa.list_(pa.int64())),
-                            pa.array([items], pa.list_(pa.string())),
-                        ],
-                        names=["id", "th", "starts", "lens", "items"],
-                    )
+                docs, edge = np.unique(doc, return_index=True)
+                edge = np.append(edge, len(doc)).astype(np.int32)
+                items = [sorted({x for p in np.unique(phrase[a:b]).tolist() for x in block.items[p]}) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[docs]),
+                        pa.array(th[docs]),
+                        pa.ListArray.from_arrays(pa.array(edge), pa.array(start - base[doc])),
+                        pa.ListArray.from_arrays(pa.array(edge), pa.array(block.sizes[phrase])),
+                        pa.array(items, pa.list_(pa.string())),
+                    ],
+                    names=["id", "th", "starts", "lens", "items"],
+                )
 
     return run
 
