@@ -1,11 +1,397 @@
-"""Registered queries for the engine's own operators."""
+"""Registered queries for the engine's own operators, each over whole tables, with equivalent SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.dates import any_date, iso_date
+from ..functions.text import folded
+from ..operators.codelist import match_codelist
+from ..operators.combine import append_distinct, row_counts
+from ..operators.concepts import Rule, extract_concepts, rules_from_wide
+from ..operators.conform import blanks_to_null, conform, repair_dates
+from ..operators.identity import assign_ids
+from ..operators.inventory import InventorySpec, code_inventory
+from ..operators.provenance import origin_rows, origin_values
+from ..operators.quality import dedup, drop_missing
+from ..sources.text_import import clean_text
+from ..spec import ColumnSpec, TableSpec
+from ..store import Store
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- loading and conforming --------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, CAST(NULL AS VARCHAR) AS c_phone FROM customer")
+def conform_columns(spark, sf_dir):
+    spec = TableSpec("CUSTOMER", (ColumnSpec("c_custkey", True, "other"), ColumnSpec("c_name", True), ColumnSpec("c_mktsegment"), ColumnSpec("c_phone", True)))
+    return conform(table(spark, sf_dir, "customer"), spec, "parquet")
+
+
+@query("""
+SELECT o_orderkey,
+    CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS from_csv,
+    CASE WHEN o_orderkey % 3 IN (0, 2) THEN CAST(o_orderdate AS DATE) END AS from_parquet,
+    CAST(o_orderdate AS DATE) AS all_iso
+FROM orders
+""")
+def repair_dates_by_column(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    kind = F.col("o_orderkey") % 3
+    text = F.when(kind == 0, F.date_format(day, "yyyyMMdd")).when(kind == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("from_csv"), text.alias("from_parquet"), F.date_format(day, "yyyy-MM-dd").alias("all_iso"))
+    return repair_dates(repair_dates(df, ["from_csv", "all_iso"], "csv"), ["from_parquet"], "parquet")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN CAST(o_orderdate AS DATE) END AS day FROM orders
+""")
+def repair_dates_by_row(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    kind = F.col("o_orderkey") % 3
+    text = F.when(kind == 0, F.date_format(day, "yyyyMMdd")).when(kind == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", any_date(text).alias("day"))
+
+
+@query("""
+SELECT event_id, TRY_CAST(CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y/%m/%d')
+    WHEN 2 THEN strftime(ts, '%Y%m%d') ELSE event_type END AS DATE) AS day FROM events
+""")
+def date_try_cast(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd")).when(kind == 1, F.date_format("ts", "yyyy/MM/dd")).when(kind == 2, F.date_format("ts", "yyyyMMdd")).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", iso_date(text).alias("day"))
+
+
+_EVENT_TEXT = "CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN '' WHEN 1 THEN 'NA' WHEN 2 THEN NULL ELSE event_type END"
+
+
+def _sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, "").when(kind == 1, "NA").when(kind == 2, F.lit(None)).otherwise(F.col("event_type"))
+    number = F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("label"), number.alias("amount"))
+
+
+@query(f"SELECT event_id, NULLIF(label, '') AS label FROM (SELECT event_id, {_EVENT_TEXT} AS label FROM events)")
+def blank_to_null(spark, sf_dir):
+    return blanks_to_null(_sparse_events(spark, sf_dir).select("event_id", "label"), ["label"])
+
+
+@query("SELECT p_partkey, trim(p_name) AS part, CAST(DATE '2024-01-01' + p_size AS DATE) AS day FROM part WHERE p_size > 5")
+def trim_import(spark, sf_dir):
+    raw = table(spark, sf_dir, "part").select(
+        F.col("p_partkey"), F.concat(F.lit(" \t"), F.col("p_name"), F.lit(" \n")).alias("p_name"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")), "yyyyMMdd").alias("day"), "p_size"
+    )
+    out = clean_text(raw, {"p_partkey": "p_partkey", "p_name": "part", "day": "day", "p_size": "size"}, ["day"], F.col("size").cast("int") > 5)
+    return out.select(F.col("p_partkey").cast("long").alias("p_partkey"), "part", "day")
+
+
+@query("SELECT p_partkey, upper(p_name) AS folded FROM part")
+def fold_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", folded(F.col("p_name")).alias("folded"))
+
+
+# ---- quality -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT event_id, label FROM (SELECT event_id, {_EVENT_TEXT} AS label FROM events) WHERE label IS NOT NULL AND label NOT IN ('', 'NA')")
+def drop_missing_text(spark, sf_dir):
+    return drop_missing(_sparse_events(spark, sf_dir).select("event_id", "label"), ["label"])
+
+
+@query("SELECT event_id, amount FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS amount FROM events) WHERE amount IS NOT NULL")
+def drop_missing_numeric(spark, sf_dir):
+    return drop_missing(_sparse_events(spark, sf_dir).select("event_id", "amount"), ["amount"])
+
+
+@query("SELECT DISTINCT text, lang FROM documents")
+def dedup_full_row(spark, sf_dir):
+    return dedup(table(spark, sf_dir, "documents").select("text", "lang"))[0]
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_keep_first(spark, sf_dir):
+    return dedup(table(spark, sf_dir, "documents"), ["text"], "keep_first", "doc_id")[0].select("doc_id")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT min(doc_id) FROM documents GROUP BY text)")
+def dedup_removed(spark, sf_dir):
+    return dedup(table(spark, sf_dir, "documents"), ["text"], "keep_first", "doc_id")[1].select("doc_id", "lang", "source")
+
+
+@query("""
+SELECT (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS n_ids,
+    (SELECT count(*) FROM lineitem) AS n_shaped, 'LINEITEM' AS ori_table
+""")
+def assign_ids_counts(spark, sf_dir):
+    ids = assign_ids(table(spark, sf_dir, "lineitem"), "LINEITEM")
+    shaped = F.col("unique_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return ids.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("unique_id").alias("n_ids"), F.count_if(shaped).alias("n_shaped"), F.max("ori_table").alias("ori_table"))
+
+
+# ---- store -------------------------------------------------------------------------------------
+
+
+@query("SELECT p_brand, p_type, CAST(length(p_type) AS INTEGER) AS type_length FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 10)")
+def pipeline_steps(spark, sf_dir):
+    store = Store(spark)
+    store.put("part", table(spark, sf_dir, "part"))
+    store.add_step("parts", "SELECT p_brand, p_type FROM %s WHERE p_size > 10", base="part")
+    store.add_step("parts", lambda df: df.distinct())
+    store.add_step("parts", "SELECT p_brand, p_type, length(p_type) AS type_length FROM {prev}")
+    return store.get("parts")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {t}" for t in TABLES))
+def count_rows(spark, sf_dir):
+    store = Store(spark)
+    for t in TABLES:
+        store.put(t, table(spark, sf_dir, t))
+    return row_counts(store)
+
+
+@query("SELECT c_nationkey AS nation, c_mktsegment AS label FROM customer UNION SELECT s_nationkey, 'SUPPLIER' FROM supplier")
+def append_tables(spark, sf_dir):
+    store = Store(spark)
+    store.put("customer", table(spark, sf_dir, "customer").withColumnsRenamed({"c_nationkey": "nation", "c_mktsegment": "label"}))
+    store.put("supplier", table(spark, sf_dir, "supplier").withColumn("kind", F.lit("SUPPLIER")))
+    return append_distinct(store, {"customer": ["nation", "label"], "supplier": ["s_nationkey", "kind"]}, "all")
+
+
+@query("""
+SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem
+""")
+def append_day_numbers(spark, sf_dir):
+    store = Store(spark)
+    for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+        store.put(t, table(spark, sf_dir, t).select(F.unix_date(F.col(c).cast("date")).alias("day")))
+    return append_distinct(store, {"orders": ["day"], "lineitem": ["day"]}, date_columns=["day"])
+
+
+# ---- vocabulary --------------------------------------------------------------------------------
+
+
+@query("""
+SELECT p_type AS code, p_brand AS vocabulary, count(*) AS n, 'p_type' AS source_column FROM part GROUP BY ALL
+UNION ALL SELECT event_type, CAST(NULL AS VARCHAR), count(*), 'event_type' FROM events GROUP BY event_type
+""")
+def inventory(spark, sf_dir):
+    get = lambda t: table(spark, sf_dir, t)
+    parts, events = code_inventory(get, [InventorySpec("part", ("p_brand", "p_type"), ("vocabulary", "code")), InventorySpec("events", ("event_type",), ("code",))])
+    return parts.unionByName(events, allowMissingColumns=True).withColumnRenamed("COUNT", "n").select("code", "vocabulary", "n", "source_column")
+
+
+#: Study rows: system, code, concept, tags, priority.
+STUDY = [
+    ("ATC", "PRO", "promo", "narrow", 1), ("ATC", "PROM", "promo", "broad", 2), ("ATC", "PROM", "promo", "narrow", 1),
+    ("ATC", "ECON", "economy", "narrow", 1), ("ATC", "S", "s_any", "broad", 2), ("ATC", "STANDARD", "s_any", "narrow", 1),
+    ("ATC", "ZZZ", "none", "narrow", 1), ("PRODCODEID", "Brand#1", "b1", "narrow", 1), ("PRODCODEID", "Brand#1", "b1alt", "broad", 2),
+    ("PRODCODEID", "Brand#999", "bx", "narrow", 1),
+]
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    get = lambda t: table(spark, sf_dir, t)
+    types, brands = code_inventory(get, [InventorySpec("part", ("p_type",), ("code",)), InventorySpec("part", ("p_brand",), ("code",))])
+    found = types.withColumn("coding_system", F.lit("ATC")).unionByName(brands.withColumn("coding_system", F.lit("PRODCODEID")))
+    study = spark.createDataFrame([(k, *r) for k, r in enumerate(STUDY)], "place int, coding_system string, code string, concept_id string, tags string, priority int")
+    return match_codelist(found, study, position="place").select(
+        "coding_system", F.col("COUNT").alias("n"), "source_column", F.col("`code.dap_codes`").alias("data_code"), "concept_id", F.col("`code.codelist`").alias("study_code"), "tags", "priority", "length_str", "code", "match_status"
+    )
+
+
+_MATCH_SQL = f"""
+WITH found AS (
+    SELECT 'ATC' AS coding_system, p_type AS code, count(*) AS n, 'p_type' AS source_column FROM part GROUP BY p_type
+    UNION ALL SELECT 'PRODCODEID', p_brand, count(*), 'p_brand' FROM part GROUP BY p_brand
+), study(place, coding_system, code, concept_id, tags, priority) AS (
+    VALUES {", ".join(f"({k}, '{s}', '{c}', '{i}', '{t}', {p})" for k, (s, c, i, t, p) in enumerate(STUDY))}
+), ranked AS (
+    SELECT f.coding_system, f.n, f.source_column, f.code AS data_code, s.concept_id, s.code AS study_code, s.tags, s.priority,
+        row_number() OVER (PARTITION BY f.coding_system, f.code, s.concept_id ORDER BY length(s.code) DESC, s.priority, s.place) AS best
+    FROM found f JOIN study s ON f.coding_system = s.coding_system AND (CASE WHEN f.coding_system = 'ATC' THEN starts_with(f.code, s.code) ELSE f.code = s.code END)
+), matched AS (
+    SELECT * EXCLUDE (best) FROM ranked WHERE best = 1 OR coding_system <> 'ATC'
+), labelled AS (
+    SELECT *, 'MATCHED' AS match_status FROM matched
+    UNION ALL SELECT coding_system, n, source_column, code, NULL, NULL, NULL, NULL, 'ONLY_IN_DATA' FROM found f
+        WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.coding_system = f.coding_system AND m.data_code = f.code)
+    UNION ALL SELECT coding_system, NULL, NULL, NULL, concept_id, code, tags, priority, 'ONLY_IN_CODELIST' FROM study s
+        WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.coding_system = s.coding_system AND m.study_code = s.code)
+)
+SELECT coding_system, n, source_column, data_code, concept_id, study_code, tags, priority, length(study_code) AS length_str, CASE WHEN match_status = 'MATCHED' THEN data_code END AS code, match_status
+FROM labelled
+"""
+
+
+# Numbers that may be NULL come as text: what reads both results may turn them into floating point.
+@query(f"SELECT * REPLACE (CAST(n AS VARCHAR) AS n, CAST(priority AS VARCHAR) AS priority, CAST(length_str AS VARCHAR) AS length_str) FROM ({_MATCH_SQL})")
+def match_status(spark, sf_dir):
+    return _matched(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("n", "priority", "length_str")})
+
+
+@query(f"SELECT data_code, concept_id, study_code, n FROM ({_MATCH_SQL}) WHERE match_status = 'MATCHED' AND coding_system = 'ATC'")
+def match_prefix(spark, sf_dir):
+    return _matched(spark, sf_dir).where("match_status = 'MATCHED' AND coding_system = 'ATC'").select("data_code", "concept_id", "study_code", "n")
+
+
+@query(f"SELECT data_code, concept_id, study_code, n FROM ({_MATCH_SQL}) WHERE match_status = 'MATCHED' AND coding_system = 'PRODCODEID'")
+def match_exact(spark, sf_dir):
+    return _matched(spark, sf_dir).where("match_status = 'MATCHED' AND coding_system = 'PRODCODEID'").select("data_code", "concept_id", "study_code", "n")
+
+
+@query(f"SELECT coding_system, coalesce(data_code, study_code) AS code, match_status FROM ({_MATCH_SQL}) WHERE match_status <> 'MATCHED'")
+def match_leftovers(spark, sf_dir):
+    return _matched(spark, sf_dir).where("match_status <> 'MATCHED'").select("coding_system", F.coalesce("data_code", "study_code").alias("code"), "match_status")
+
+
+# ---- concepts ----------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Source tables with record ids that SQL can make, too."""
+    ids = lambda t, key, person: table(spark, sf_dir, t).withColumns({"ori_table": F.lit(t.upper()), "unique_id": F.col(key).cast("string"), "person_id": F.col(person).cast("string")})
+    return {
+        "EVENTS": ids("events", "event_id", "user_id").withColumns({"day": F.col("ts").cast("date"), "amount": F.col("value").cast("decimal(18,2)"), "meaning_of_event": F.concat(F.lit("m_"), "event_type")}),
+        "ORDERS": ids("orders", "o_orderkey", "o_custkey").withColumns({"day": F.col("o_orderdate").cast("date"), "total": F.col("o_totalprice").cast("decimal(18,2)")}),
+        "CUSTOMER": ids("customer", "c_custkey", "c_custkey").withColumn("day", F.lit(None).cast("date")),
+    }
+
+
+def _sql_rule(rule: Rule, cutoff: str | None = None, meaning: str | None = None) -> str:
+    source = {
+        "EVENTS": "(SELECT *, 'EVENTS' AS ori_table, event_id AS rid, user_id AS pid, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS amount FROM events)",
+        "ORDERS": "(SELECT *, 'ORDERS' AS ori_table, o_orderkey AS rid, o_custkey AS pid, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders)",
+        "CUSTOMER": "(SELECT *, 'CUSTOMER' AS ori_table, c_custkey AS rid, c_custkey AS pid FROM customer)",
+    }[rule.table]
+    value = f"CAST({rule.value} AS VARCHAR)" if rule.value else "'true'"
+    where = " AND ".join(f"upper(CAST({c} AS VARCHAR)) = upper('{v}')" for c, v in rule.where)
+    late = f" AND {rule.date} >= DATE '{cutoff}'" if cutoff and rule.date else ""
+    code = f"'{rule.code}'" if rule.code else "CAST(NULL AS VARCHAR)"
+    return (
+        f"SELECT ori_table, CAST(rid AS VARCHAR) AS unique_id, CAST(pid AS VARCHAR) AS person_id, {code} AS code, {code} AS coding_system, {value} AS value, "
+        f"'{rule.concept_id}' AS concept_id, {rule.date or 'CAST(NULL AS DATE)'} AS date{f', {meaning} AS meaning' if meaning else ''} FROM {source} WHERE {where}{late}"
+    )
+
+
+def _union(rules: list[Rule], cutoff: str | None = None, meaning: str | None = None) -> str:
+    return " UNION ALL ".join(_sql_rule(r, cutoff, meaning) for r in rules)
+
+
+MULTI = [
+    Rule("c_purchase", "EVENTS", (("event_type", "purchase"),), "amount", "day", "D1"),
+    Rule("c_error", "EVENTS", (("event_type", "Error"),), None, "day", "D2"),
+    Rule("c_click", "EVENTS", (("event_type", "CLICK"),), "props", None, "D3"),
+    Rule("c_any_purchase", "EVENTS", (("event_type", "purchase"),), None, None, "D4"),
+]
+PAIRED = [
+    Rule("o_urgent", "ORDERS", (("o_orderstatus", "O"), ("o_orderpriority", "1-URGENT")), "total", "day", "P1"),
+    Rule("o_low", "ORDERS", (("o_orderpriority", "5-low"), ("o_orderstatus", "f")), "o_orderpriority", "day", "P2"),
+    Rule("c_building", "CUSTOMER", (("c_mktsegment", "building"),), None, None, "P3"),
+    Rule("e_view", "EVENTS", (("event_type", "view"),), "event_type", "day", "P4"),
+]
+WIDE = [
+    {"concept_id": "w_signup", "cdm_table_name": "EVENTS", "column_name_1": "event_type", "expected_value_1": "signup", "column_name_2": None, "expected_value_2": None, "keep_value_column_name": "amount", "keep_date_column_name": "day", "dap_spec_id": "W1"},
+    {"concept_id": "w_done", "cdm_table_name": "ORDERS", "column_name_1": "o_orderstatus", "expected_value_1": "F", "column_name_2": "NA", "expected_value_2": "NA", "keep_value_column_name": None, "keep_date_column_name": "day", "dap_spec_id": "W2"},
+    {"concept_id": "w_both", "cdm_table_name": "ORDERS", "column_name_1": "o_orderstatus", "expected_value_1": "o", "column_name_2": "o_orderpriority", "expected_value_2": "2-HIGH", "keep_value_column_name": "total", "keep_date_column_name": None, "dap_spec_id": "W3"},
+]
+
+
+@query(_union(PAIRED))
+def concept_extract(spark, sf_dir):
+    return extract_concepts(_sources(spark, sf_dir), PAIRED)
+
+
+@query(_union(PAIRED, "1997-01-01"))
+def concept_cutoff(spark, sf_dir):
+    return extract_concepts(_sources(spark, sf_dir), PAIRED, cutoff="1997-01-01")
+
+
+@query(_union([r for r in MULTI + PAIRED if r.value is None]))
+def concept_flag(spark, sf_dir):
+    return extract_concepts(_sources(spark, sf_dir), [r for r in MULTI + PAIRED if r.value is None])
+
+
+@query(_union(MULTI, "2024-01-15"))
+def concept_multi_rule(spark, sf_dir):
+    return extract_concepts(_sources(spark, sf_dir), MULTI, cutoff="2024-01-15")
+
+
+@query(_union(MULTI, meaning="'m_' || event_type"))
+def concept_meaning(spark, sf_dir):
+    return extract_concepts(_sources(spark, sf_dir), MULTI, meaning=True)
+
+
+@query(_union(rules_from_wide(WIDE)))
+def concept_wide_map(spark, sf_dir):
+    return extract_concepts(_sources(spark, sf_dir), rules_from_wide(WIDE))
+
+
+@query(f"SELECT concept_id, count(*) AS n, count(DISTINCT person_id) AS persons, min(date) AS first_day, max(date) AS last_day FROM ({_union(MULTI + PAIRED)}) GROUP BY concept_id")
+def concept_summary(spark, sf_dir):
+    found = extract_concepts(_sources(spark, sf_dir), MULTI + PAIRED)
+    return found.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("person_id").alias("persons"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
+# ---- provenance --------------------------------------------------------------------------------
+
+
+def _cases(spark: SparkSession, sf_dir: str, store: Store) -> DataFrame:
+    """The records behind two concepts, and a table that doesn't exist."""
+    for t, df in _sources(spark, sf_dir).items():
+        store.put(t, df)
+    found = extract_concepts(store, [PAIRED[0], MULTI[1]]).select("ori_table", "unique_id")
+    return found.unionByName(spark.createDataFrame([("NOWHERE", "1")], "ori_table string, unique_id string"))
+
+
+_URGENT = "o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'"
+
+
+@query(f"""
+SELECT 'ORDERS' AS ori_table, CAST(o_orderkey AS VARCHAR) AS unique_id, 'o_orderpriority' AS column_origin, o_orderpriority AS value FROM orders WHERE {_URGENT}
+UNION SELECT 'ORDERS', CAST(o_orderkey AS VARCHAR), 'total', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders WHERE {_URGENT}
+UNION SELECT 'EVENTS', CAST(event_id AS VARCHAR), 'event_type', event_type FROM events WHERE event_type = 'error'
+""")
+def trace_values(spark, sf_dir):
+    store = Store(spark)
+    cases = _cases(spark, sf_dir, store)
+    return origin_values(store, cases, [("ORDERS", "o_orderpriority"), ("ORDERS", "total"), ("EVENTS", "event_type"), ("EVENTS", "no_such"), ("NOWHERE", "x")])
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, 'ORDERS' AS ori_table, CAST(o_orderkey AS VARCHAR) AS unique_id FROM orders WHERE {_URGENT}")
+def trace_rows(spark, sf_dir):
+    store = Store(spark)
+    cases = _cases(spark, sf_dir, store)
+    return origin_rows(store, cases.unionByName(cases), ["ORDERS", "EVENTS"])["ORDERS"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "ori_table", "unique_id")
