@@ -179,11 +179,12 @@ class _Digest:
     def row(self) -> tuple:
         self.machine.end()
         m = self.machine
-        return self.conv, m.turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, m.violation is None, m.violation
+        return self.conv, m.turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, m.violation is None, -1 if m.violation is None else m.violation
 
 
 def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """One row per conversation, read from the rows of ``format_turns`` as they come."""
+    """One row per conversation, read from the rows of ``format_turns`` as they come. first_violation: the
+    turn that may not stand where it does (the number of turns, if the end is wrong), else -1."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "first_violation"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
 

@@ -47,7 +47,7 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(marks + length(text) + escapes) AS BIGINT) AS formatted_chars,
     min(wrong) IS NULL AND arg_max(role, n) = 'assistant' AS valid,
-    coalesce(min(wrong), CASE WHEN arg_max(role, n) <> 'assistant' THEN count(*) END) AS first_violation
+    coalesce(min(wrong), CASE WHEN arg_max(role, n) <> 'assistant' THEN count(*) ELSE -1 END) AS first_violation
 FROM (SELECT *, len(regexp_extract_all(text, '\[\\*/?(INST|SYS|ROLE)\]|\[\\*/TURN\]|<\\*/?s>')) AS escapes FROM judged)
 GROUP BY conv_id
 """
