@@ -1,0 +1,66 @@
+import json
+
+from cdm_engine import Config, Engine
+
+CONFIG = {
+    "file_format": "csv",
+    "operations": {"DuplicateRemover": True, "MissingRemover": True, "UniqueIdGenerator": True, "ReportGenerator": True, "Nothing": True, "Skipped": False},
+    "duplicate_remover": {"save_path": None, "save_deleted": False, "cdm_tables_columns": {"PERSONS": "*", "VACCINES": ["nothing"]}, "to_view": False},
+    "missing_remover": {"columns": {"PERSONS": ["country"], "GONE": ["x"]}, "to_view": False},
+    "cdm_tables_names": ["PERSONS", "VACCINES"],
+    "unique_id_generator": {"instance_name": "", "to_view": False},
+    "report_generator": {"report_path": ".", "report_name": "counts.csv"},
+}
+META = [{"TABLE": t, "Variable": v, "Mandatory": "Yes", "Format": "Character"} for t, v in [("PERSONS", "person_id"), ("PERSONS", "country"), ("VACCINES", "person_id")]]
+
+
+def build(tmp_path, **changes):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in/PERSONS.csv").write_text("person_id,country\n1,PT\n1,PT\n2,\n3,NA\n4,ES\n")
+    (tmp_path / "in/VACCINES.csv").write_text("person_id\n1\n1\n")
+    return {**CONFIG, "report_generator": {"report_path": str(tmp_path), "report_name": "counts.csv"}, **changes}
+
+
+def test_configured_run(spark, tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(build(tmp_path)))
+    engine = Engine(spark, str(path), META).load(str(tmp_path / "in"), save_to=str(tmp_path / "saved")).run()
+    assert engine.planned() == ["DuplicateRemover", "MissingRemover", "UniqueIdGenerator", "ReportGenerator", "Nothing"]
+    assert sorted(r.person_id for r in engine.table("PERSONS").collect()) == ["1", "4"]
+    assert engine.table("PERSONS").columns[:2] == ["ori_table", "unique_id"]
+    assert (tmp_path / "counts.csv").read_text() == "name,row_count\nPERSONS,2\nVACCINES,2\n"
+    said = engine.notes.of("warning")
+    assert any("Nothing" in s for s in said) and any("VACCINES" in s for s in said) and any("GONE" in s for s in said)
+
+
+def test_views_share_a_pipeline(spark, tmp_path):
+    config = build(
+        tmp_path,
+        duplicate_remover={"cdm_tables_columns": {"PERSONS": "*"}, "to_view": True, "pipeline_extension": "_v"},
+        missing_remover={"columns": {"PERSONS": ["country", "person_id"]}, "to_view": True, "pipeline_extension": "_v"},
+        unique_id_generator={"to_view": True, "pipeline_extension": "_v"},
+    )
+    engine = Engine(spark, Config.of(config), META).load(str(tmp_path / "in")).run()
+    assert engine.store.pipelines()["PERSONS_v"] == "PERSONS_v_view_4"
+    first, again = (sorted(r.unique_id for r in engine.table("PERSONS_v").collect()) for _ in range(2))
+    assert len(first) == 2 and first == again
+    assert engine.table("PERSONS").count() == 5
+
+
+def test_removed_rows_are_saved(spark, tmp_path):
+    config = build(tmp_path, duplicate_remover={"cdm_tables_columns": {"VACCINES": ["person_id"]}, "save_deleted": True, "save_path": str(tmp_path / "gone"), "add_postfix": "x"})
+    engine = Engine(spark, config, META).load(str(tmp_path / "in"), save_to=str(tmp_path / "saved"))
+    engine.run()
+    assert engine.table("VACCINES").count() == 1
+    (saved,) = (tmp_path / "gone").iterdir()
+    assert spark.read.option("header", True).csv(str(saved)).count() == 1
+
+
+def test_own_steps(spark):
+    class Mark:
+        def run(self, engine):
+            engine.store.put("MARK", engine.store.spark.range(3))
+
+    engine = Engine(spark, {"operations": {"Mark": True}}, steps={"Mark": Mark}).run()
+    assert engine.table("MARK").count() == 3
+    assert Engine(spark, {}).run([Mark()]).table("MARK").count() == 3
