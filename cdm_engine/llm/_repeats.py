@@ -69,12 +69,15 @@ def refine(levels: list[tuple[int, np.ndarray]], span: int) -> np.ndarray:
         s, b = 2 * s, nxt
         levels.append((s, b))
     done, out = next((s, b) for s, b in reversed(levels) if s <= span)
-    if done < span:  # the last units, overlapping those done
-        s, b = next((s, b) for s, b in levels if s >= span - done)
+    while done < span:
+        fit = next(((s, b) for s, b in levels if span - done <= s <= span), None)
+        # the last units, overlapping those done; or else the next ones
+        s, b = fit or next((s, b) for s, b in reversed(levels) if s <= span - done)
+        at = span - s if fit else done
         nxt = out.copy()
-        if len(out) > span - s:
-            nxt[: len(out) - (span - s)] = mix(out[: len(out) - (span - s)], b[span - s :])
-        out = nxt
+        if len(out) > at:
+            nxt[: len(out) - at] = mix(out[: len(out) - at], b[at:])
+        out, done = nxt, at + s
     return out
 
 
