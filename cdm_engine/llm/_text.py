@@ -118,3 +118,51 @@ def gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarr
     idx[0] = s[0]
     idx[e[:-1]] = s[1:] - (s[:-1] + n[:-1] - 1)
     return values[np.cumsum(idx)]
+
+
+def _classes() -> np.ndarray:
+    c = np.full(256, 4, np.uint8)
+    c[0x21:0x7F] = 3
+    c[[0x20, 0x09, 0x0A, 0x0D]] = 0
+    c[0x41:0x5B] = c[0x61:0x7B] = 1
+    c[0x30:0x3A] = 2
+    c[0x27] = 4
+    return c
+
+
+#: Bytes: 0 blank, 1 ASCII letter, 2 digit, 3 other visible ASCII, 4 anything else.
+_CLASS = _classes()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def cut_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case, starts, lengths, words before each document, which words are plain).
+
+    Chunks between blanks that hold only ASCII without apostrophes or "<|" and the letters of Latin-1 are
+    plain: they are cut further, into runs of letters, single digits and runs of other characters, in lower
+    case. Any other chunk is one word as it stands.
+    """
+    n = int(off[-1])
+    low, kind = LOWER[data], _CLASS[data[:n]]
+    lead = np.flatnonzero(data[: max(n - 1, 0)] == 0xC3)  # letters of Latin-1 but the signs of multiplication and division
+    second = data[lead + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    upper = lead[data[lead + 1] < 0x9F] + 1
+    low[upper] += 32
+    kind[np.flatnonzero((data[: max(n - 1, 0)] == 0x3C) & (data[1:n] == 0x7C))] = 4  # special tokens begin so
+    starts, lens, _ = spans(kind > 0, off)
+    hard = np.concatenate([[0], np.cumsum(kind == 4)])
+    odd = hard[starts + lens] > hard[starts]
+    at = gather(np.arange(n), starts[odd], lens[odd])
+    kind[at] = 4
+    low[at] = data[at]
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    first = kind > 0
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2) | edge[1:n]
+    begin = np.flatnonzero(first)
+    stop = np.append(kind[1:] != kind[:-1], True) | (kind == 2) | edge[1:]
+    end = np.flatnonzero(stop & (kind > 0)) + 1
+    return low, begin, end - begin, np.searchsorted(begin, off), kind[begin] != 4

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._repeats import keyed
 from ._store import materialize
-from ._text import column, gather, hash_spans, slices, spans
+from ._text import LOWER, column, gather, hash_spans, slices, spans
 
 BLOCK_BYTES = 8 << 20
 SEGMENT_BYTES = 1 << 20
@@ -43,13 +43,11 @@ CANDIDATES = 1 << 17
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term identifiers of all words, words before each document)."""
-    low = _LOWER[data]
+    low = LOWER[data]
     starts, lens, ptr = spans(_WORD[low], off)
     return hash_spans(low, starts, lens), ptr
 

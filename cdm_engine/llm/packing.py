@@ -32,35 +32,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._store import materialize
-from ._text import column, gather, hash_spans, slices, spans
+from ._text import column, cut_words, gather, hash_spans, slices
 
 #: Distinct words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 
 
-def _classes() -> np.ndarray:
-    c = np.full(256, 4, np.uint8)
-    c[0x21:0x7F] = 3
-    c[[0x20, 0x09, 0x0A, 0x0D]] = 0
-    c[0x41:0x5B] = c[0x61:0x7B] = 1
-    c[0x30:0x3A] = 2
-    c[0x27] = 4
-    return c
-
-
-#: Bytes: 0 blank, 1 ASCII letter, 2 digit, 3 other visible ASCII, 4 anything else.
-_CLASS = _classes()
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
 class WordEncoder:
     """Token ids of texts by way of their distinct words.
 
-    Chunks between blanks that hold only ASCII without apostrophes or "<|" and the letters of Latin-1 are cut
-    further, into runs of letters, single digits and runs of other characters, in lower case - where this
-    vocabulary's own pattern cuts them; each such word has one token with the end mark, its last.
-    Any other chunk is encoded as it stands.
+    Plain words (``cut_words``) end where this vocabulary's own pattern ends them; each has one token with
+    the end mark, its last. Any other chunk is encoded as it stands.
     """
 
     def __init__(self, vocabulary: str):
@@ -106,38 +88,11 @@ class WordEncoder:
         self.lens = np.concatenate([self.lens, lens])
         self.used += len(new)
 
-    @staticmethod
-    def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes in lower case, starts, lengths, words before each document, which words are plain)."""
-        n = int(off[-1])
-        low, kind = _LOWER[data], _CLASS[data[:n]]
-        lead = np.flatnonzero(data[: max(n - 1, 0)] == 0xC3)  # letters of Latin-1 but the signs of multiplication and division
-        second = data[lead + 1]
-        lead = lead[(second != 0x97) & (second != 0xB7)]
-        kind[lead] = kind[lead + 1] = 1
-        upper = lead[data[lead + 1] < 0x9F] + 1
-        low[upper] += 32
-        kind[np.flatnonzero((data[: max(n - 1, 0)] == 0x3C) & (data[1:n] == 0x7C))] = 4  # special tokens begin so
-        starts, lens, _ = spans(kind > 0, off)
-        hard = np.concatenate([[0], np.cumsum(kind == 4)])
-        odd = hard[starts + lens] > hard[starts]
-        at = gather(np.arange(n), starts[odd], lens[odd])
-        kind[at] = 4
-        low[at] = data[at]
-        edge = np.zeros(n + 1, bool)
-        edge[off] = True
-        first = kind > 0
-        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2) | edge[1:n]
-        begin = np.flatnonzero(first)
-        stop = np.append(kind[1:] != kind[:-1], True) | (kind == 2) | edge[1:]
-        end = np.flatnonzero(stop & (kind > 0)) + 1
-        return low, begin, end - begin, np.searchsorted(begin, off), kind[begin] != 4
-
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, ids before each document)."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        low, starts, lens, ptr, plain = self.cut(data, off)
+        low, starts, lens, ptr, plain = cut_words(data, off)
         key, first, which = np.unique(hash_spans(low, starts, lens), return_index=True, return_inverse=True)
         key = key.tolist()
         new = [k for k, x in enumerate(key) if x not in self.known]
