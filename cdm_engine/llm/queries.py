@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_edits(_table(spark, sf_dir, "documents"))
+    return simhash.with_neighbours(simhash.compare_edits(_table(spark, sf_dir, "documents")))
 
 
 #: Both turns of the added conversation say this.

@@ -28,21 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import K3, column, hash_spans, is_space, mix, slices, spans
+from ._store import materialize
+from ._text import K3, LOWER, column, hash_spans, is_space, mix, slices, spans
 
 BITS = 256
 SIZE = 2
 #: Votes count in units of 1 / UNIT.
 UNIT = 1 << 10
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SIGNS = 2 * ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1) - 1
 
 
 def terms(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, shingles before each document)."""
-    low = _LOWER[data]
+    low = LOWER[data]
     starts, lens, ptr = spans(~is_space(low), off)
     words = hash_spans(low, starts, lens)
     n = np.diff(ptr)
@@ -120,6 +119,75 @@ def within(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int =
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
+def _tables(bits: int, radius: int, blocks: int):
+    """A row per fingerprint and block table: (block, key, fingerprint as bytes, n, asks)."""
+    edges = [round(k * bits / 8 / blocks) for k in range(blocks + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [bytes.fromhex(x) for x in batch.column(0).to_pylist()]
+            for b in range(blocks):
+                keys = pa.array([x[edges[b] : edges[b + 1]] for x in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), b, np.int32)), keys, pa.array(raw, pa.binary()), batch.column(1), batch.column(2)], names=["block", "key", "f", "n", "asks"])
+
+    return run
+
+
+def _counts(bits: int, radius: int, blocks: int):
+    """Rows come sorted by block, key and asking ones first: (fingerprint, rows within the radius that this table
+    is the first to find). Held are a key's asking fingerprints; the others stream past them."""
+    edges = [round(k * bits / 8 / blocks) for k in range(blocks + 1)]
+
+    def lanes(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), bits // 8)
+
+    def near(x: np.ndarray, f: np.ndarray, block: int) -> np.ndarray:
+        """Which of f lie within the radius of x and share no earlier block with it."""
+        d = f ^ x
+        hit = np.bitwise_count(d).sum(axis=1) <= radius
+        for e in range(block):
+            hit &= d[:, edges[e] : edges[e + 1]].any(axis=1)
+        return hit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros((0, bits // 8), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        now, (asking, weight, found) = None, none
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(hexed(asking), pa.string()), pa.array(found)], names=["fingerprint", "n_within"])
+
+        for batch in batches:
+            block, key = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            f, n, asks = lanes(batch.column(2)), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            cut = [k for k in range(len(key)) if not k or key[k] != key[k - 1] or block[k] != block[k - 1]] + [len(key)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if (int(block[a]), key[a]) != now:
+                    if len(asking):
+                        yield out()
+                    now, (asking, weight, found) = (int(block[a]), key[a]), none
+                if asks[a]:  # these also meet the ones that an earlier batch brought
+                    more = int(asks[a:b].sum())
+                    met = [weight[near(x, asking, now[0])].sum() for x in f[a : a + more]]
+                    asking, weight = np.concatenate([asking, f[a : a + more]]), np.concatenate([weight, n[a : a + more]])
+                    found = np.concatenate([found, np.array(met, np.int64)])
+                for q in range(len(asking)):
+                    found[q] += n[a:b][near(asking[q], f[a:b], now[0])].sum()
+        if len(asking):
+            yield out()
+
+    return run
+
+
+def count_within(rows: DataFrame, asks, radius: int = 3, blocks: int = 4, bits: int = BITS) -> DataFrame:
+    """(fingerprint, n_within): for the fingerprints of rows for which ``asks`` holds, how many of all rows
+    lie at most ``radius`` bits away, themselves included. Rows are grouped to distinct fingerprints first; no
+    pairs leave a task."""
+    distinct = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(asks), F.lit(False)).alias("asks"))
+    keyed = distinct.mapInArrow(_tables(bits, radius, blocks), "block int, key binary, f binary, n long, asks boolean")
+    dealt = keyed.repartition("block", "key").sortWithinPartitions("block", "key", F.desc("asks"), "f")
+    return dealt.mapInArrow(_counts(bits, radius, blocks), "fingerprint string, n_within long").groupBy("fingerprint").agg(F.sum("n_within").alias("n_within"))
+
+
 def _ranges(docs: DataFrame) -> list[int | None]:
     """Smallest doc_id of each of a number of ranges: as many ranges as shuffle partitions."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -191,3 +259,14 @@ def compare_edits(docs: DataFrame, bits: int = BITS, size: int = SIZE) -> DataFr
     share of differing bits stands for, 0 to 1."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).mapInArrow(_compare(bits, size), schema)
+
+
+def with_neighbours(compared: DataFrame, every: int = 100, radius: int = 3, bits: int = BITS) -> DataFrame:
+    """Adds n_within for the rows whose doc_id is divisible by ``every`` (others: null): how many other rows'
+    fingerprints lie at most ``radius`` bits away, among all rows."""
+    table = materialize(compared, "compared")
+    asks = F.col("doc_id") % every == 0
+    counts = count_within(table.select("doc_id", "fingerprint"), asks, radius, radius + 1, bits)
+    asking = table.where(asks).join(counts, "fingerprint", "left").withColumn("n_within", F.col("n_within") - 1)
+    rest = table.where(~F.coalesce(asks, F.lit(False))).withColumn("n_within", F.lit(None).cast("long"))
+    return asking.select(rest.columns).unionAll(rest)

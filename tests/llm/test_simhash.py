@@ -53,6 +53,28 @@ def test_tables_find_all_within_the_radius(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_counts_of_neighbours(spark, batch):
+    r = random.Random(11)
+    fingerprints = []
+    for _ in range(25):
+        b = r.getrandbits(128)
+        for _ in range(r.randint(1, 9)):
+            x = b
+            for bit in r.sample(range(128), r.randint(0, 4)):
+                x ^= 1 << bit
+            fingerprints += [x] * r.randint(1, 3)
+    df = spark.createDataFrame([(k, f"{x:032x}") for k, x in enumerate(fingerprints)], "doc_id long, fingerprint string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {x.doc_id: x.n_within for x in simhash.with_neighbours(df, every=4, radius=3, bits=128).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {k: sum((x ^ y).bit_count() <= 3 for y in fingerprints) - 1 if k % 4 == 0 else None for k, x in enumerate(fingerprints)}
+    assert got == want
+
+
 def test_votes_by_definition():
     (f,) = simhash.fingerprint_texts(pa.array(["b a b a b"]), 64, 1).tolist()
     import numpy as np
