@@ -47,10 +47,10 @@ def match_codelist(found: DataFrame, codelist: DataFrame, prefix_systems: tuple[
         study.where(~hierarchical("study_system")),
         F.col("coding_system").eqNullSafe(F.col("study_system")) & F.col("data_code").eqNullSafe(F.col("study_code")),
     )
-    lengths = F.broadcast(study.where(hierarchical("study_system")).agg(F.sort_array(F.collect_set("study_length")).alias("lengths")))
+    lengths = study.where(hierarchical("study_system")).agg(F.sort_array(F.collect_set("study_length"))).scalar()
     prefixes = (
         data.where(hierarchical("coding_system") & F.col("data_code").isNotNull())
-        .join(lengths)  # one row: the lengths of study codes
+        .withColumn("lengths", lengths)
         .withColumn("prefix_length", F.explode(F.filter("lengths", lambda n: n <= F.length("data_code"))))
         .withColumn("prefix", F.expr("substring(data_code, 1, prefix_length)"))
         .drop("lengths")
