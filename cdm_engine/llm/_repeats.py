@@ -92,6 +92,24 @@ def window_buckets(unit: Unit, data: np.ndarray, off: np.ndarray) -> tuple[np.nd
     return grams, whole, ptr
 
 
+#: Bytes of one document above which its windows are found in parts, so that memory stays bounded.
+LONG = 8 << 20
+
+
+def parts(unit: Unit, data: np.ndarray, off: np.ndarray, more: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, bytes before) of a slice: itself, or parts of its one long document that overlap by what
+    windows (and ``more``) need, so that each window starts in one part. (Words are a sixth of the bytes and stay whole.)"""
+    n = int(off[-1])
+    if unit.kind != "bytes" or len(off) != 2 or n <= LONG:
+        yield data, off, 0
+        return
+    for at in range(0, n, LONG):
+        end = min(n, at + LONG + unit.width - 1 + more)
+        piece = np.zeros(end - at + 8, np.uint8)
+        piece[:-8] = data[at:end]
+        yield piece, np.array([0, end - at]), at
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i:i+w]) for each i <= len(x) - w."""
     n = len(x)
@@ -157,10 +175,11 @@ def _anchor_rows(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = (batch.column(k).to_numpy() for k in (0, 1))
-            for first, end, data, off in slices(column(batch, "text")):
+            for first, end, data, off, shift in (x for a, b, d, o in slices(column(batch, "text")) for x in ((a, b, *p) for p in parts(unit, d, o))):
                 doc, h, c, lo, n, at = anchors(unit, data, off)
                 if not len(doc):
                     continue
+                lo = lo + shift
                 own = mix(mix(h, c), doc.astype(np.uint64))
                 order = np.argsort(own, kind="stable")
                 fresh = np.append(True, own[order][1:] != own[order][:-1])
@@ -202,12 +221,15 @@ def _group_rows(unit: Unit):
             flat, ptr = asked.flatten(), asked.offsets.to_numpy().astype(np.int64)
             ptr = ptr - ptr[0]
             h, lo, shape = (flat.field(k).to_numpy() for k in ("h", "lo", "shape"))
-            for first, end, data, off in slices(column(batch, "text")):
+            for first, end, data, off, shift in (x for a, b, d, o in slices(column(batch, "text")) for x in ((a, b, *p) for p in parts(unit, d, o, group + unit.width))):
                 grams, whole, units = window_buckets(unit, data, off)
-                r = slice(ptr[first], ptr[end])
+                r = np.arange(ptr[first], ptr[end])
                 row = np.repeat(np.arange(first, end), np.diff(ptr[first : end + 1]))
+                if unit.kind == "bytes" and len(off) == 2:  # a part takes the windows that start in it
+                    mine = (lo[r] >= shift) & (lo[r] < shift + LONG)
+                    r, row = r[mine], row[mine]
                 n, place = (shape[r] & 0xFFFF).astype(np.int64), (shape[r] >> 16).astype(np.int64)
-                start = units[row - first] + lo[r]
+                start = units[row - first] + lo[r] - shift
                 if not len(row):
                     continue
                 which = np.repeat(np.arange(len(row)), n)
@@ -225,7 +247,7 @@ def _group_rows(unit: Unit):
                         pa.array(th[row[who]]),
                         pa.array(h[r][who]),
                         pa.array(k.view(np.int64)),
-                        pa.array((s[head] - units[row[who] - first]).astype(np.int32)),
+                        pa.array((s[head] - units[row[who] - first] + shift).astype(np.int32)),
                         c,
                     ],
                     names=["id", "th", "h", "k", "lo", "c"],

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cdm_engine.llm import _repeats, substring_dedup, suffix_dedup
+from cdm_engine.llm._text import slices as suffix_slices
 
 
 def brute_bytes(docs, width):
@@ -68,6 +69,14 @@ def test_small_blocks_give_the_same(rows, corpus, monkeypatch):
     assert sorted(map(tuple, substring_dedup.repeat_digests(rows(corpus), 12).collect()), key=str) == brute_words(corpus, 12)
 
 
+@pytest.mark.parametrize("width", [200, 40, 12])
+def test_long_documents_in_parts_give_the_same(rows, corpus, width, monkeypatch):
+    monkeypatch.setattr(_repeats, "LONG", 2 * width + 3)
+    monkeypatch.setattr(_repeats, "slices", lambda arr, target=0: suffix_slices(arr, 1))
+    got = sorted(map(tuple, suffix_dedup.repeat_digests(rows(corpus), width).collect()), key=str)
+    assert got == brute_bytes(corpus, width)
+
+
 def test_cut_keeps_columns_and_characters(rows, corpus):
     df = rows(corpus).withColumnsRenamed({"source": "runs", "lang": "id"}).withColumn("th", F.lit(1.5))
     out = suffix_dedup.cut_repeats(df, 40)
