@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import K3, column, gather, hash_spans, is_space, mix, slices, spans
+from ._text import K3, column, cut_words, gather, hash_spans, mix, slices, spans
 
 SAMPLE_ROWS = 500
 ORDER = 5
@@ -145,7 +145,7 @@ class Models:
 
 
 class Scorer:
-    """Sums over whole texts by way of distinct white-space-separated chunks."""
+    """Sums over whole texts by way of their distinct words."""
 
     def __init__(self, models: Models):
         self.models = models
@@ -158,11 +158,11 @@ class Scorer:
     def totals(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.forget()
-        starts, lens, ptr = spans(~is_space(data), off)
-        key, first, which = np.unique(hash_spans(data, starts, lens), return_index=True, return_inverse=True)
+        low, starts, lens, ptr, _ = cut_words(data, off)
+        key, first, which = np.unique(hash_spans(low, starts, lens), return_index=True, return_inverse=True)
         new = [(k, i) for k, i in zip(key.tolist(), first.tolist(), strict=True) if k not in self.known]
         if new:
-            raw = data.tobytes()
+            raw = low.tobytes()
             a = len(self.known)
             while a + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -187,15 +187,31 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _sample(own: DataFrame, sample_rows: int) -> list[tuple]:
+    """(doc_id, lang, rank) of each language's ``sample_rows`` rows with the smallest hash of the doc_id. Only
+    hashes below a share of the range that holds some four times as many rows are ranked, so that no
+    language's rows gather in one task; should fewer lie there, all are ranked."""
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    if not counts:
+        return []
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(2**63 - 1, int(2**63 * 4 * sample_rows / n)))])
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
+    near = own.select("doc_id", "lang", place.alias("place"))
+    for rows in (near.where(F.col("place") <= share[F.col("lang")]), near):
+        ids = [(r.doc_id, r.lang, r["rank"]) for r in rows.withColumn("rank", rank).where(F.col("rank") <= sample_rows).collect()]
+        if len(ids) == sum(min(n, sample_rows) for n in counts.values()):
+            break
+    return ids
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER, margin: float = MARGIN) -> tuple[Scorer, np.ndarray] | None:
     """Models and, per language, (mean cross-entropy, tolerated excess, additional one times root of length)."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = own.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_rows)
-    ids = [(r.doc_id, r.lang, r["rank"]) for r in chosen.collect()]  # at most sample_rows per language
+    ids = _sample(own, sample_rows)
     if not ids:
         return None
-    small = docs.sparkSession.createDataFrame(ids, chosen.schema)
+    small = docs.sparkSession.createDataFrame(ids, T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("rank", T.IntegerType())]))
     texts = own.select("doc_id", "lang", "text").join(F.broadcast(small), ["doc_id", "lang"]).select("lang", "rank", "text").collect()
     counts: dict[str, Counter] = {}
     aside = []
