@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import as_frame
 from ..store import ROW_SEQ, Store
 from .conform import Diagnostics
 
@@ -24,6 +25,7 @@ def origin_values(store: Store, cases: DataFrame, scheme: list[tuple[str, str]],
     """ori_table, unique_id, column_origin, value, each once: for each (table, column) of the scheme the
     values of the cases (ori_table, unique_id) that come from that table. Absent tables and columns are noted and skipped."""
     notes = notes if notes is not None else Diagnostics()
+    cases = as_frame(store.spark, cases, "there are no cases")
     lacking = {"ori_table", "unique_id"} - set(cases.columns)
     if lacking:
         raise ValueError(f"cases lack {sorted(lacking)}")
@@ -50,6 +52,7 @@ def origin_rows(store: Store, ids: DataFrame, tables: list[str] | None = None, n
     """Table name -> its rows whose unique_id is listed for it in ``ids`` (ori_table, unique_id); repeated
     ids don't repeat rows. A table that is absent or has no ids of its own is noted and empty."""
     notes = notes if notes is not None else Diagnostics()
+    ids = as_frame(store.spark, ids, "there are no ids")
     if {"ori_table", "unique_id"} - set(ids.columns):
         notes.add("warning", "", "ids have no ori_table and unique_id")
         return {}

@@ -359,6 +359,14 @@ def concept_wide_map(spark, sf_dir):
     return extract_concepts(_sources(spark, sf_dir), rules_from_wide(WIDE))
 
 
+@query(_union(PAIRED[:2]))
+def concept_attached(spark, sf_dir):
+    """From tables of an attached namespace."""
+    store = Store(spark)
+    store.attach("origin", _sources(spark, sf_dir))
+    return extract_concepts(store, PAIRED[:2], namespace="origin")
+
+
 @query(f"SELECT concept_id, count(*) AS n, count(DISTINCT person_id) AS persons, min(date) AS first_day, max(date) AS last_day FROM ({_union(MULTI + PAIRED)}) GROUP BY concept_id")
 def concept_summary(spark, sf_dir):
     found = extract_concepts(_sources(spark, sf_dir), MULTI + PAIRED)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_text
@@ -14,23 +16,38 @@ from ..store import ROW_SEQ, Store
 from .discovery import choose
 
 
-def check_utf8(spark: SparkSession, path: str) -> None:
-    """Spark would replace bytes that aren't UTF-8; here they are an error."""
-    if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count():
-        raise ValueError(f"{path}: not UTF-8")
+def check_utf8(spark: SparkSession, paths: list[str]) -> None:
+    """Spark would replace bytes that aren't UTF-8; here they are an error. One job for all files."""
+    bad = spark.read.text(paths).where(~F.is_valid_utf8("value")).select("_metadata.file_path").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][0]}: not UTF-8")
 
 
-def read_csv(spark: SparkSession, path: str, number: int = 0) -> DataFrame:
-    """All columns as text; NA is NULL and an empty field is ''. Adds the order of rows."""
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
-    order = F.struct(F.lit(number).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return raw.select(*[csv_text(F.col(f"`{c}`")).alias(c) for c in raw.columns], order.alias(ROW_SEQ))
+def _header(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        return (reader.readLine() or "").lstrip("﻿")
+    finally:
+        reader.close()
 
 
-def read_parquet(spark: SparkSession, path: str, number: int = 0) -> DataFrame:
-    raw = spark.read.parquet(path)
-    order = F.struct(F.lit(number).alias("file"), F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("row"))
-    return raw.select(*[F.col(f"`{c}`") for c in raw.columns], order.alias(ROW_SEQ))
+def _order(row: Column, block: Column) -> Column:
+    """Rows are ordered by file name, then as they stand in the file."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row")).alias(ROW_SEQ)
+
+
+def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files with the same header. All columns are text; NA is NULL and an empty field is ''. Adds the order of rows."""
+    raw = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(paths)
+    return raw.select(*[csv_text(F.col(f"`{c}`")).alias(c) for c in raw.columns], _order(F.monotonically_increasing_id(), F.col("_metadata.file_block_start")))
+
+
+def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
+    raw = spark.read.option("mergeSchema", True).parquet(*paths)
+    return raw.select(*[F.col(f"`{c}`") for c in raw.columns], _order(F.col("_metadata.row_index"), F.lit(0).cast("long")))
 
 
 def _aligned(parts: list[DataFrame]) -> list[DataFrame]:
@@ -45,14 +62,23 @@ def _aligned(parts: list[DataFrame]) -> list[DataFrame]:
 
 def read_files(spark: SparkSession, files: list[str], ext: str) -> DataFrame:
     """One table of several files, matched by name: the first file's columns, then what others add.
-    Each file is read by itself, as a common reading would match CSV columns by position."""
+
+    CSV files that begin with the same header are read together; a common reading of different ones would
+    match columns by position. Parquet files are read together unless a column's types conflict.
+    """
     if ext == "csv":
+        check_utf8(spark, files)
+        groups: dict[str, list[str]] = {}
         for f in files:
-            check_utf8(spark, f)
-    read = read_csv if ext == "csv" else read_parquet
-    parts = _aligned([read(spark, f, n) for n, f in enumerate(files)])
+            groups.setdefault(_header(spark, f), []).append(f)
+        parts = [read_csv(spark, g) for g in groups.values()]
+    else:
+        try:
+            parts = [read_parquet(spark, files)]
+        except (PySparkException, Py4JJavaError):  # types that do not merge
+            parts = _aligned([read_parquet(spark, [f]) for f in files])
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return df.select(*[c for c in df.columns if c != ROW_SEQ], ROW_SEQ)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ROW_SEQ], ROW_SEQ)
 
 
 def load_tables(store: Store, folder: str, specs: dict[str, TableSpec], tables: list[str] | None = None, file_format: str = "auto", strict_dates: bool = True, save_to: str | None = None, notes: Diagnostics | None = None) -> Diagnostics:

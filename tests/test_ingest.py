@@ -69,6 +69,32 @@ def test_parquet_is_preferred_and_keeps_iso(spark, tmp_path):
         choose(spark, str(tmp_path), "E", "xlsx")
 
 
+def test_files_with_the_same_header_and_conflicting_types(spark, tmp_path):
+    for k in (3, 1, 2):
+        (tmp_path / f"E{k}.csv").write_text(f"a,b\n{k},x\n{k}{k},y\n")
+    (tmp_path / "E4.csv").write_text("b,a\nz,4\n")
+    store = Store(spark)
+    load_tables(store, str(tmp_path), {}, ["E"], "csv")
+    assert rows(store.get("E")) == [("1", "x"), ("11", "y"), ("2", "x"), ("22", "y"), ("3", "x"), ("33", "y"), ("4", "z")]
+    spark.createDataFrame([(1,)], "v int").coalesce(1).write.parquet(str(tmp_path / "F1.parquet"))
+    spark.createDataFrame([("x",)], "v string").coalesce(1).write.parquet(str(tmp_path / "F2.parquet"))
+    load_tables(store, str(tmp_path), {}, ["F"])
+    assert rows(store.get("F")) == [("1",), ("x",)]
+
+
+def test_tables_in_other_forms(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    from cdm_engine.functions.frames import as_frame
+
+    for data in (pd.DataFrame({"a": [1]}), pa.table({"a": [1]}), [{"a": 1}], spark.range(1)):
+        assert as_frame(spark, data).count() == 1
+    for data in (None, [], 5):
+        with pytest.raises(ValueError):
+            as_frame(spark, data)
+
+
 def test_wrong_encoding_is_an_error(spark, tmp_path):
     (tmp_path / "E.csv").write_bytes("name\nJosé\n".encode("latin-1"))
     with pytest.raises(ValueError, match="UTF-8"):
