@@ -169,6 +169,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.hash("text")})
 
 
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The column ``text``, or that field of the column ``row``, without nulls."""
+    if "text" in batch.schema.names:
+        return column(batch, "text")
+    row = batch.column(batch.schema.get_field_index("row"))
+    return column(pa.RecordBatch.from_arrays([row.field(row.type.get_field_index("text"))], names=["text"]), "text")
+
+
 def _anchor_rows(unit: Unit):
     """One row for each anchor; those alike in one document share a row, and ``also`` has the other places."""
 
@@ -221,7 +229,7 @@ def _group_rows(unit: Unit):
             flat, ptr = asked.flatten(), asked.offsets.to_numpy().astype(np.int64)
             ptr = ptr - ptr[0]
             h, lo, shape = (flat.field(k).to_numpy() for k in ("h", "lo", "shape"))
-            for first, end, data, off, shift in (x for a, b, d, o in slices(column(batch, "text")) for x in ((a, b, *p) for p in parts(unit, d, o, group + unit.width))):
+            for first, end, data, off, shift in (x for a, b, d, o in slices(texts_of(batch)) for x in ((a, b, *p) for p in parts(unit, d, o, group + unit.width))):
                 grams, whole, units = window_buckets(unit, data, off)
                 r = np.arange(ptr[first], ptr[end])
                 row = np.repeat(np.arange(first, end), np.diff(ptr[first : end + 1]))
@@ -260,12 +268,13 @@ def repeated_runs(docs: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
     """Runs of window starts that repeat, per document: (id, th, runs array<long>, first). A run is
     (first window << 16 | number of windows).
 
-    ``docs`` has id, th, text. ``earlier``: a window counts if it also starts in a document with a
+    ``docs`` has id, th and text, or in place of text a struct ``row`` with it (whole rows then travel once). ``earlier``: a window counts if it also starts in a document with a
     smaller id (``first`` is the largest of these); else if it also starts anywhere else.
     """
     if unit.width >= 1 << 15:
         raise ValueError("a window has fewer than 32,768 units")
-    found = docs.select("id", "th", "text").mapInArrow(_anchor_rows(unit), f"{KEYS}, h long, c long, lo int, shape int, also array<int>")
+    text = F.col("text" if "text" in docs.columns else "row.text").alias("text")
+    found = docs.select("id", "th", text).mapInArrow(_anchor_rows(unit), f"{KEYS}, h long, c long, lo int, shape int, also array<int>")
     same, bucket = W.partitionBy("h", "c"), W.partitionBy("h")
     times = F.sum(F.lit(1) + F.coalesce(F.size("also"), F.lit(0)))
     ranked = (

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Unit, keyed, unpack, with_runs
-from ._text import column
+from ._repeats import Unit, keyed, texts_of, unpack, with_runs
 
 #: Bytes of text in a block of documents (a longer document is a block of its own).
 BLOCK = 1 << 19
@@ -77,7 +76,7 @@ def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[list[bytes
     ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
     ptr, lo, n = unpack(batch)
     firsts = batch.column(batch.schema.get_field_index("first"))
-    texts = column(batch, "text").cast(pa.binary())
+    texts = texts_of(batch).cast(pa.binary())
 
     def block(a: int, b: int):
         words = [texts[i].as_py().split() for i in range(a, b)]
@@ -113,12 +112,12 @@ def _digests(width: int):
 
 
 def _ready(docs: DataFrame, width: int) -> DataFrame:
-    return with_runs(keyed(docs), Unit("words", width), True)
+    return with_runs(docs, Unit("words", width), True)
 
 
 def repeat_digests(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    ready = _ready(docs.select("doc_id", "text"), width)
+    ready = _ready(keyed(docs.select("doc_id", "text")), width)
     return ready.select(F.col("doc_id").cast("long").alias("doc_id"), "id", "text", "runs", "first").mapInArrow(
         _digests(width), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
@@ -128,7 +127,7 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, where there is one) after later occurrences are taken
     out; texts that lose words have their other words joined by one space, the rest stay as they are."""
     names, schema = docs.columns, docs.schema
-    ready = _ready(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text"), width)
+    ready = _ready(keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")).select("row", "id", "th"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,4 +142,4 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 parts["n_chars"] = pa.array([len(t or "") for t in texts], parts["n_chars"].type)
             yield pa.RecordBatch.from_arrays([parts[c] for c in names], names=names)
 
-    return ready.select("row", "id", "text", "runs", "first").mapInArrow(run, schema)
+    return ready.select("row", "id", "runs", "first").mapInArrow(run, schema)

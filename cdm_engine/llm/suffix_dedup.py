@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Unit, cover, keyed, unpack, with_runs
-from ._text import buffers, column
+from ._repeats import Unit, cover, keyed, texts_of, unpack, with_runs
+from ._text import buffers
 
 
 def _masks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, bytes, which of them go) of each row."""
-    data, off = buffers(column(batch, "text"))
+    data, off = buffers(texts_of(batch))
     ptr, lo, n = unpack(batch)
     for i in range(batch.num_rows):
         a, b = ptr[i], ptr[i + 1]
@@ -72,7 +72,7 @@ def cut_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, where there is one) after the repeats are taken out.
     Rows stay, also those of which nothing is left."""
     names, schema = docs.columns, docs.schema
-    own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text"))
+    own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")).select("row", "id", "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,4 +83,4 @@ def cut_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
                 parts["n_chars"] = chars.cast(parts["n_chars"].type)
             yield pa.RecordBatch.from_arrays([parts[c] for c in names], names=names)
 
-    return with_runs(own, Unit("bytes", width), False).select("row", "text", "runs").mapInArrow(run, schema)
+    return with_runs(own, Unit("bytes", width), False).select("row", "runs").mapInArrow(run, schema)
