@@ -13,7 +13,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="cdm_engine_")
         spark.conf.set("spark.checkpoint.dir", root)

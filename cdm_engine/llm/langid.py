@@ -15,7 +15,7 @@ model, and by more than the largest excess seen among the language's own rows, s
 root of the length (short texts vary more).
 
 Fitting uses at most ``sample_rows`` labelled rows per language (those with the smallest hash of the
-doc_id); everything else reads all rows. Defined cases: null texts and texts without letters are
+doc_id) and the ``LANGUAGES`` labels with the most rows; everything else reads all rows. Defined cases: null texts and texts without letters are
 ``und``; without training rows every text is ``und``; null doc_ids count as the empty text for the fold.
 """
 
@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from ._text import K3, column, cut_words, gather, hash_spans, mix, slices, spans
 
 SAMPLE_ROWS = 500
+#: Labels that are learned at most: those with the most rows.
+LANGUAGES = 512
 ORDER = 5
 #: Part of the way from the own language's mean to other languages' at which rejection starts.
 MARGIN = 0.5
@@ -191,13 +193,14 @@ def _sample(own: DataFrame, sample_rows: int) -> list[tuple]:
     """(doc_id, lang, rank) of each language's ``sample_rows`` rows with the smallest hash of the doc_id. Only
     hashes below a share of the range that holds some four times as many rows are ranked, so that no
     language's rows gather in one task; should fewer lie there, all are ranked."""
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    numbers = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in numbers.collect()}
     if not counts:
         return []
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(2**63 - 1, int(2**63 * 4 * sample_rows / n)))])
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
-    near = own.select("doc_id", "lang", place.alias("place"))
+    near = own.select("doc_id", "lang", place.alias("place")).where(share[F.col("lang")].isNotNull())
     for rows in (near.where(F.col("place") <= share[F.col("lang")]), near):
         ids = [(r.doc_id, r.lang, r["rank"]) for r in rows.withColumn("rank", rank).where(F.col("rank") <= sample_rows).collect()]
         if len(ids) == sum(min(n, sample_rows) for n in counts.values()):
