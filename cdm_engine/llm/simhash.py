@@ -204,8 +204,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = _ranges(own)
     if not firsts:
         return own.select(F.lit(0).alias("part"), F.lit(False).alias("ghost"), "doc_id", "text").where(F.lit(False))
-    bounds = F.array(*[F.lit(x) for x in firsts])
-    part = F.size(F.filter(bounds, lambda b: b <= F.col("id"))) - 1
+    bounds, step = F.array(*[F.lit(x) for x in firsts]), 64
+    # the last bound that isn't above the id: first among every 64th, then among the 64 from there
+    coarse = F.size(F.filter(F.array(*[F.lit(x) for x in firsts[::step]]), lambda b: b <= F.col("id"))) - 1
+    part = coarse * step + F.size(F.filter(F.slice(bounds, coarse * step + 1, step), lambda b: b <= F.col("id"))) - 1
     # the rows of a range's smallest doc_id (few: one, where ids don't repeat) also go to the range before
     back = F.when(F.element_at(bounds, F.col("part") + 1) == F.col("id"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     dealt = own.withColumn("part", part).select("*", F.explode(back).alias("ghost"))

@@ -37,6 +37,20 @@ def test_null_and_repeated_ids_and_one_row(rows):
     assert simhash.compare_edits(rows([(1, "a")]).where("false")).count() == 0
 
 
+def test_many_ranges(spark, rows):
+    docs = [(i, f"w{i} x") for i in range(700)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 150)
+    try:
+        dealt = simhash.with_next(rows(docs))
+        parts = {(r.part, r.ghost, r.doc_id) for r in dealt.select("part", "ghost", "doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    real = sorted((i, p) for p, g, i in parts if not g)
+    assert [i for i, _ in real] == list(range(700)) and [p for _, p in real] == sorted(p for _, p in real)
+    assert len({p for _, p in real}) > 100 and sum(g for _, g, _ in parts) == len({p for _, p in real})
+
+
 def test_tables_find_all_within_the_radius(spark):
     r = random.Random(7)
     base = [r.getrandbits(128) for _ in range(60)]
