@@ -33,7 +33,7 @@ def test_rules_share_one_scan_and_a_hash_join(records):
     text = plan(extract_concepts({"R": records}, rules, cutoff="2020-01-01"))
     assert text.count("Scan parquet") == 2  # listed once in the tree and once in the details
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
-    assert "unused" not in text and "Python" not in text
+    assert "unused" not in text and "EvalPython" not in text
 
 
 def test_prefixes_are_hash_joined(spark, records):
