@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from cdm_engine.llm.queries import oracle_sql, queries
 from test_decontaminate import brute as leaked
@@ -55,3 +57,17 @@ def test_stages(spark, folder):
 def test_registered_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries()) and len(P.STAGES) == 5
+
+
+def test_clashing_columns_and_empty_tables(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for k, name in enumerate(("row", "id", "th", "f", "runs", "hits", "rejected", "n", "block")):
+        docs = docs.withColumn(name, F.lit(k))
+    columns, empty = docs.columns, docs.where("false")
+    for _, stage in P.STAGES[:-1]:
+        docs, empty = stage(spark, docs, path), stage(spark, empty, path)
+        assert docs.columns == columns == empty.columns
+    assert empty.count() == 0 and docs.count() > 100
+    assert {(r.row, r.th, r.block) for r in docs.select("row", "th", "block").collect()} == {(0, 2, 8)}
+    assert P.STAGES[-1][1](spark, empty, path).count() == 0
