@@ -225,7 +225,7 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 4096, end_id: in
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
     base = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["length", "task"]).withColumn("place", F.col("base") + F.col("rank"))
+    ranked = pieces.join(base.hint("merge"), ["length", "task"]).withColumn("place", F.col("base") + F.col("rank"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * keep_ids)]
     schema = PIECES.split(", task")[0] + more + ", sequence_id long, offset long"
     return ranked.select(*names, "task", "place").mapInArrow(_placed(plan(histogram, capacity)), schema)
