@@ -10,7 +10,9 @@ from ..store import ROW_SEQ
 
 def stable_id(*parts: Column) -> Column:
     """A UUID-shaped text that depends on the parts alone (SHA-256, 128 bits shown)."""
-    h = F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{k}") for k, p in enumerate(parts)])), 256)
+    # every part with its length before it, so that no two lists of parts read alike; NULL is '-'
+    texts = [p.cast("string") for p in parts]
+    h = F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 

@@ -62,6 +62,12 @@ def test_ids_are_stable_unique_and_not_doubled(spark):
     assert tuples(one) == tuples(two) and one.select("unique_id").distinct().count() == 2
 
 
+def test_ids_tell_parts_apart(spark):
+    rows = [("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("-", "ab"), ("a|b", None), (None, None), ("1:a", "b")]
+    ids = assign_ids(spark.createDataFrame(rows, "x string, y string"), "T")
+    assert ids.select("unique_id").distinct().count() == len(rows)
+
+
 def test_append_counts_and_layout(spark):
     store = Store(spark)
     store.put("a", spark.createDataFrame([(1, 19000), (1, 19000)], "id int, day int"))
