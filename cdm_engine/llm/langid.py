@@ -251,7 +251,7 @@ def _predict(shared):
         scorer = Scorer(models)
         names = np.array([*models.languages, "und"], object)
         for batch in batches:
-            for lo, hi, data, off in slices(column(batch, "text")):
+            for lo, hi, data, off in slices(column(batch, "text"), 1 << 19):
                 totals = scorer.totals(data, off)
                 best, cross, score = scorer.judged(totals)
                 none = totals[:, -1] == 0
