@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import near_copies
 from ._repeats import keyed
 from ._store import materialize
 from ._text import column
@@ -177,11 +178,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges.where("not through").select("a", "b").unionByName(shared.select("a", "b")).distinct()
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """(f, component_id): the smallest id of each fingerprint's component; null doc_ids only where there is no other."""
+def _named(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(f, component_id): the smallest id of each fingerprint's component; null doc_ids only where there is no other.
+    The links are those of fingerprints, or ``found``."""
     named = F.when(F.col("id") != NO_ID, F.col("id"))
     distinct = rows.groupBy("f").agg(F.min(named).alias("first"))
-    label = components(links(distinct))
+    label = components(links(distinct) if found is None else found)
     smallest = distinct.join(label, distinct.f == label.node, "left").select("f", "first", F.coalesce("label", "f").alias("label"))
     return smallest.join(smallest.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("f", "component_id")
 
@@ -193,13 +195,26 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return rows.join(_named(rows), "f").select(doc_id, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (a null one only if there is
-    no other; of several with that doc_id, one)."""
+def _first_rows(docs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
-    rows = materialize(fingerprints(docs, size), "fingerprints")
-    member = rows.join(_named(rows), "f").withColumn("component", F.coalesce("component_id", "f"))
+    member = rows.join(named, "f").withColumn("component", F.coalesce("component_id", "f"))
     order = F.struct(F.when(F.col("id") == NO_ID, 1).otherwise(0).alias("none"), "id", "th")
     chosen = member.groupBy(F.col("component_id").isNull(), "component").agg(F.min(order).alias("best")).select("best.id", "best.th")
     once = F.row_number().over(W.partitionBy("id", "th").orderBy("id"))
     return own.join(chosen, ["id", "th"], "left_semi").withColumn("n", once).where("n = 1").select("row.*")
+
+
+def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (a null one only if there is
+    no other; of several with that doc_id, one)."""
+    rows = materialize(fingerprints(docs, size), "fingerprints")
+    return _first_rows(docs, rows, _named(rows))
+
+
+def keep_unlike(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """As ``keep_one``, with the links of ``near_copies``: shingles of ``size`` words, Jaccard ``least`` or more."""
+    rows = materialize(near_copies.sketches(docs, size), "sketches")
+    chosen = rows.groupBy("f").agg(F.min(F.struct("id", "th")).alias("one")).select("f", "one.*")
+    found = near_copies.links(rows.select("f", "bits").distinct(), docs, chosen, size, least)
+    rows = rows.select("id", "th", "f")
+    return _first_rows(docs, rows, _named(rows, found))
