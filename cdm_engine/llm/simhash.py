@@ -10,6 +10,10 @@ block tables: the bits are cut into ``blocks`` blocks, and for each choice of bl
 spoils - 1 table is keyed by the other blocks' bits, brought to the front; two fingerprints within the
 radius agree on at least ``blocks - radius`` blocks, so in one table's key.
 
+``count_within`` counts the rows within a radius (``with_neighbours``: 27 of 256 bits, chosen from distances of near
+copies, see README) for the few rows that ask: of 14 blocks one has at most one bit of difference, so that a row's 14
+blocks meet those of an asking row or one of their neighbours. All rows within the radius are found.
+
 ``with_next`` pairs each row with the next by ascending doc_id without a global window: rows are dealt to
 ranges of doc_id, and the first row of each range is also sent to the range before it.
 
@@ -35,6 +39,10 @@ BITS = 256
 SIZE = 2
 #: Votes count in units of 1 / UNIT.
 UNIT = 1 << 10
+#: Bits of difference up to which ``with_neighbours`` counts a text as near.
+RADIUS = 27
+#: Pairs of fingerprints compared at a time.
+PAIRS = 1 << 15
 
 _SIGNS = 2 * ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1) - 1
 
@@ -119,72 +127,99 @@ def within(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int =
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
-def _tables(bits: int, radius: int, blocks: int):
-    """A row per fingerprint and block table: (block, key, fingerprint as bytes, n, asks)."""
-    edges = [round(k * bits / 8 / blocks) for k in range(blocks + 1)]
+def _segments(bits: int, blocks: int) -> list[tuple[int, int]]:
+    edges = [round(k * bits / blocks) for k in range(blocks + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _tables(bits: int, blocks: int):
+    """(key, f, n) of each fingerprint and block, and (key, f, 0) of each asking one's block and of all that lie one
+    bit from it. f is the fingerprint's lanes of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [bytes.fromhex(x) for x in batch.column(0).to_pylist()]
-            for b in range(blocks):
-                keys = pa.array([x[edges[b] : edges[b + 1]] for x in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), b, np.int32)), keys, pa.array(raw, pa.binary()), batch.column(1), batch.column(2)], names=["block", "key", "f", "n", "asks"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(bytes.fromhex("".join(part.column(0).to_pylist())), np.uint8).reshape(part.num_rows, bits // 8)
+                lanes, each = raw.view("<u8"), np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
+                n, asks = part.column(1).to_numpy(), np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
+                keys, rows, counts = [], [], []
+                for b, (lo, hi) in enumerate(_segments(bits, blocks)):
+                    place = np.uint64(1) << np.arange(hi - lo, dtype=np.uint64)
+                    v = each[:, lo:hi] @ place
+                    probes = v[asks, None] ^ np.append(np.uint64(0), place)
+                    keys += [mix(x, np.full(len(x), np.uint64(b))) for x in (v, probes.ravel())]
+                    rows += [np.arange(len(v)), np.repeat(asks, probes.shape[1])]
+                    counts += [n, np.zeros(probes.size, np.int64)]
+                row = np.concatenate(rows)
+                columns = [np.concatenate(keys).view(np.int64), *(lanes[row, k].view(np.int64) for k in range(bits // 64)), np.concatenate(counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", *(f"f{k}" for k in range(bits // 64)), "n"])
 
     return run
 
 
 def _counts(bits: int, radius: int, blocks: int):
-    """Rows come sorted by block, key and asking ones first: (fingerprint, rows within the radius that this table
+    """Rows come sorted by key and asking ones (n = 0) first: (fingerprint, rows within the radius that this block
     is the first to find). Held are a key's asking fingerprints; the others stream past them."""
-    edges = [round(k * bits / 8 / blocks) for k in range(blocks + 1)]
+    masks = np.packbits([[lo <= k < hi for k in range(bits)] for lo, hi in _segments(bits, blocks)], axis=1, bitorder="little").view("<u8")
 
-    def lanes(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), bits // 8)
-
-    def near(x: np.ndarray, f: np.ndarray, block: int) -> np.ndarray:
-        """Which of f lie within the radius of x and share no earlier block with it."""
-        d = f ^ x
-        hit = np.bitwise_count(d).sum(axis=1) <= radius
-        for e in range(block):
-            hit &= d[:, edges[e] : edges[e + 1]].any(axis=1)
-        return hit
+    def met(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which differences are within the radius, and the first block in which each has one bit at most."""
+        hit = np.flatnonzero(np.bitwise_count(d).sum(axis=1, dtype=np.int64) <= radius)
+        return hit, np.array([np.bitwise_count(d[hit] & m).sum(axis=1) <= 1 for m in masks]).reshape(len(masks), -1).argmax(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros((0, bits // 8), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        now, (asking, weight, found) = None, none
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(hexed(asking), pa.string()), pa.array(found)], names=["fingerprint", "n_within"])
-
+        held_key, held = None, np.zeros((0, bits // 64), np.uint64)
         for batch in batches:
-            block, key = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            f, n, asks = lanes(batch.column(2)), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
-            cut = [k for k in range(len(key)) if not k or key[k] != key[k - 1] or block[k] != block[k - 1]] + [len(key)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if (int(block[a]), key[a]) != now:
-                    if len(asking):
-                        yield out()
-                    now, (asking, weight, found) = (int(block[a]), key[a]), none
-                if asks[a]:  # these also meet the ones that an earlier batch brought
-                    more = int(asks[a:b].sum())
-                    met = [weight[near(x, asking, now[0])].sum() for x in f[a : a + more]]
-                    asking, weight = np.concatenate([asking, f[a : a + more]]), np.concatenate([weight, n[a : a + more]])
-                    found = np.concatenate([found, np.array(met, np.int64)])
-                for q in range(len(asking)):
-                    found[q] += n[a:b][near(asking[q], f[a:b], now[0])].sum()
-        if len(asking):
-            yield out()
+            if not batch.num_rows:
+                continue
+            key, n = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            f = np.column_stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(bits // 64)])
+            if len(held) and key[0] == held_key:
+                key, n, f = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([np.zeros(len(held), np.int64), n]), np.concatenate([held, f])
+            asking = np.flatnonzero(n == 0)
+            there = np.flatnonzero(n > 0)
+            first, end = (np.searchsorted(key[asking], key[there], side=x) for x in ("left", "right"))
+            some = end > first
+            there, first, many = there[some], first[some], (end - first)[some]
+            total, at = np.append(0, np.cumsum(many)), 0
+            while at < len(there):  # about PAIRS of them at a time
+                to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+                size = many[at:to]
+                t = np.repeat(there[at:to], size)
+                a = asking[np.repeat(first[at:to] - (total[at:to] - total[at]), size) + np.arange(len(t))]
+                hit, block = met(f[a] ^ f[t])
+                # only under that block's key does a pair count
+                x = f[t[hit]]
+                own = np.zeros(len(hit), bool)
+                for b, (lo, hi) in enumerate(_segments(bits, blocks)):
+                    mine = np.flatnonzero(block == b)
+                    if len(mine):
+                        v = np.unpackbits(np.ascontiguousarray(x[mine]).view(np.uint8), axis=1, bitorder="little")[:, lo:hi].astype(np.uint64) @ (np.uint64(1) << np.arange(hi - lo, dtype=np.uint64))
+                        own[mine] = mix(v, np.full(len(v), np.uint64(b))).view(np.int64) == key[t[hit[mine]]]
+                hit = hit[own]
+                if len(hit):
+                    who, which = np.unique(a[hit], return_inverse=True)
+                    found = np.bincount(which, n[t[hit]]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hexed(np.ascontiguousarray(f[who]).view(np.uint8)), pa.string()), pa.array(found)], names=["fingerprint", "n_within"])
+                at = to
+            held_key = key[-1]
+            held = f[(key == held_key) & (n == 0)]
 
     return run
 
 
-def count_within(rows: DataFrame, asks, radius: int = 3, blocks: int = 4, bits: int = BITS) -> DataFrame:
+def count_within(rows: DataFrame, asks, radius: int = RADIUS, blocks: int = 0, bits: int = BITS) -> DataFrame:
     """(fingerprint, n_within): for the fingerprints of rows for which ``asks`` holds, how many of all rows
     lie at most ``radius`` bits away, themselves included. Rows are grouped to distinct fingerprints first; no
-    pairs leave a task."""
+    pairs leave a task. With more than ``radius`` / 2 ``blocks``, one has at most one bit of difference: rows are sent
+    once for each block, and the few that ask also to all blocks one bit away."""
+    blocks = blocks or radius // 2 + 1
+    if not radius < 2 * blocks or bits % 64 or bits > 64 * blocks:
+        raise ValueError("radius < 2 * blocks, and blocks of 64 bits at most")
     distinct = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(asks), F.lit(False)).alias("asks"))
-    keyed = distinct.mapInArrow(_tables(bits, radius, blocks), "block int, key binary, f binary, n long, asks boolean")
-    dealt = keyed.repartition("block", "key").sortWithinPartitions("block", "key", F.desc("asks"), "f")
+    lanes = "".join(f"f{k} long, " for k in range(bits // 64))
+    dealt = distinct.mapInArrow(_tables(bits, blocks), f"key long, {lanes}n long").repartition("key").sortWithinPartitions("key", "n")
     return dealt.mapInArrow(_counts(bits, radius, blocks), "fingerprint string, n_within long").groupBy("fingerprint").agg(F.sum("n_within").alias("n_within"))
 
 
@@ -263,12 +298,12 @@ def compare_edits(docs: DataFrame, bits: int = BITS, size: int = SIZE) -> DataFr
     return with_next(docs).mapInArrow(_compare(bits, size), schema)
 
 
-def with_neighbours(compared: DataFrame, every: int = 100, radius: int = 3, bits: int = BITS) -> DataFrame:
+def with_neighbours(compared: DataFrame, every: int = 100, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """Adds n_within for the rows whose doc_id is divisible by ``every`` (others: null): how many other rows'
     fingerprints lie at most ``radius`` bits away, among all rows."""
     table = materialize(compared, "compared")
     asks = F.col("doc_id") % every == 0
-    counts = count_within(table.select("doc_id", "fingerprint"), asks, radius, radius + 1, bits)
+    counts = count_within(table.select("doc_id", "fingerprint"), asks, radius, bits=bits)
     asking = table.where(asks).join(counts, "fingerprint", "left").withColumn("n_within", F.col("n_within") - 1)
     rest = table.where(~F.coalesce(asks, F.lit(False))).withColumn("n_within", F.lit(None).cast("long"))
     return asking.select(rest.columns).unionAll(rest)
