@@ -15,7 +15,7 @@ model, and by more than the largest excess seen among the language's own rows, s
 root of the length (short texts vary more).
 
 Fitting uses at most ``sample_rows`` labelled rows per language (those with the smallest hash of the
-doc_id) and the ``LANGUAGES`` labels with the most rows; everything else reads all rows. Defined cases: null texts and texts without letters are
+doc_id), of every label; everything else reads all rows. Defined cases: null texts and texts without letters are
 ``und``; without training rows every text is ``und``; null doc_ids count as the empty text for the fold.
 """
 
@@ -34,8 +34,6 @@ from pyspark.sql import types as T
 from ._text import K3, column, cut_words, gather, hash_spans, mix, slices, spans
 
 SAMPLE_ROWS = 500
-#: Labels that are learned at most: those with the most rows.
-LANGUAGES = 512
 ORDER = 5
 #: Part of the way from the own language's mean to other languages' at which rejection starts.
 MARGIN = 0.5
@@ -44,6 +42,8 @@ SCALE = 1 << 16
 #: Symbols of evidence that the score counts at most.
 EVIDENCE = 24
 REMEMBERED = 300_000
+#: Languages above which fewer words are held at a time, so that the sums of words by languages don't grow.
+WIDE = 16
 
 
 def letters(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,14 +151,18 @@ class Scorer:
 
     def __init__(self, models: Models):
         self.models = models
+        self.share = max(1, len(models.languages) / WIDE)
         self.forget()
 
+    def slices(self, texts: pa.Array, target: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        return slices(texts, max(1, int(target / self.share)))
+
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.rows = np.zeros((1 << 14, len(self.models.languages) + 1), np.int64)
+        self.rows = np.zeros((int((1 << 14) / self.share) + 1, len(self.models.languages) + 1), np.int64)
 
     def totals(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED / self.share:
             self.forget()
         low, starts, lens, ptr, _ = cut_words(data, off)
         key, first, which = np.unique(hash_spans(low, starts, lens), return_index=True, return_inverse=True)
@@ -193,15 +197,16 @@ def _sample(own: DataFrame, sample_rows: int) -> list[tuple]:
     """(doc_id, lang, rank) of each language's ``sample_rows`` rows with the smallest hash of the doc_id. Only
     hashes below a share of the range that holds some four times as many rows are ranked, so that no
     language's rows gather in one task; should fewer lie there, all are ranked."""
-    numbers = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    numbers = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.lang: r.n for r in numbers.collect()}
     if not counts:
         return []
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(2**63 - 1, int(2**63 * 4 * sample_rows / n)))])
+    share = [(lang, min(2**63 - 1, int(2**63 * 4 * sample_rows / n))) for lang, n in counts.items()]
+    share = own.sparkSession.createDataFrame(share, T.StructType([own.schema["lang"], T.StructField("most", T.LongType())]))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
-    near = own.select("doc_id", "lang", place.alias("place")).where(share[F.col("lang")].isNotNull())
-    for rows in (near.where(F.col("place") <= share[F.col("lang")]), near):
+    near = own.select("doc_id", "lang", place.alias("place")).join(F.broadcast(share), "lang")
+    for rows in (near.where("place <= most"), near):
         ids = [(r.doc_id, r.lang, r["rank"]) for r in rows.withColumn("rank", rank).where(F.col("rank") <= sample_rows).collect()]
         if len(ids) == sum(min(n, sample_rows) for n in counts.values()):
             break
@@ -227,8 +232,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER, mar
         if lang not in counts:
             counts[lang] = Counter(text.split())
     scorer = Scorer(Models(counts, order))
-    sums = np.concatenate([scorer.totals(data, off) for _, _, data, off in slices(pa.array([t for _, t in aside], pa.string()))] or [np.zeros((0, len(counts) + 1), np.int64)])
-    label = np.array([scorer.models.languages.index(x) for x, _ in aside], np.int64)
+    sums = np.concatenate([scorer.totals(data, off) for _, _, data, off in scorer.slices(pa.array([t for _, t in aside], pa.string()), 1 << 20)] or [np.zeros((0, len(counts) + 1), np.int64)])
+    number = {x: k for k, x in enumerate(scorer.models.languages)}
+    label = np.array([number[x] for x, _ in aside], np.int64)
     some = sums[:, -1] > 0
     sums, label = sums[some], label[some]
     cross = -sums[:, :-1] / (np.maximum(sums[:, -1:], 1) * SCALE)
@@ -251,7 +257,7 @@ def _predict(shared):
         scorer = Scorer(models)
         names = np.array([*models.languages, "und"], object)
         for batch in batches:
-            for lo, hi, data, off in slices(column(batch, "text"), 1 << 19):
+            for lo, hi, data, off in scorer.slices(column(batch, "text"), 1 << 19):
                 totals = scorer.totals(data, off)
                 best, cross, score = scorer.judged(totals)
                 none = totals[:, -1] == 0

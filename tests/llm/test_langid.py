@@ -88,3 +88,14 @@ def edge(models, word):
         k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
         p[live & (keys[k] == g)] += seen[k[live & (keys[k] == g)], 0]
     return np.log(p[-1]) * langid.SCALE
+
+
+def test_rare_labels_are_learned(spark, labelled):
+    """600 labels with more rows than the last one, which has an alphabet of its own."""
+    r = random.Random(8)
+    many = [(10_000 + 3 * k + j, f"ba{chr(97 + k % 26)}{chr(97 + k // 26)} ka", f"l{k:03}") for k in range(600) for j in range(3)]
+    make = lambda: " ".join("".join(r.choice("жщюэы") for _ in range(5)) for _ in range(20))
+    learned = next(i for i in range(90_000, 91_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    probe = next(i for i in range(95_000, 96_000) if zlib.crc32(str(i).encode()) % 3 == 1)
+    got = {x.doc_id: x for x in langid.identify(frame(spark, many + [(learned, make(), "zz"), (probe, make(), "zz")])).where("doc_id >= 90000").collect()}
+    assert got[probe].lang_pred == "zz"
