@@ -276,7 +276,7 @@ def repeated_runs(docs: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
     text = F.col("text" if "text" in docs.columns else "row.text").alias("text")
     found = docs.select("id", "th", text).mapInArrow(_anchor_rows(unit), f"{KEYS}, h long, c long, lo int, shape int, also array<int>")
     same, bucket = W.partitionBy("h", "c"), W.partitionBy("h")
-    times = F.sum(F.lit(1) + F.coalesce(F.size("also"), F.lit(0)))
+    times = F.sum(F.lit(1) + F.when(F.col("also").isNull(), 0).otherwise(F.size("also")))
     ranked = (
         found.repartition("h")
         .withColumn("rank", F.row_number().over(same.orderBy("id")))

@@ -101,3 +101,19 @@ def test_anchors_cover_every_window():
     doc, _, _, lo, n, _ = _repeats.anchors(_repeats.Unit("bytes", 20), data, off)
     windows = [(d, s) for d, a, k in zip(doc.tolist(), lo.tolist(), n.tolist(), strict=True) for s in range(a, a + k)]
     assert sorted(windows) == [(d, s) for d in range(5) for s in range(max(0, int(off[d + 1] - off[d]) - 19))]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_passage_of_two_documents_in_any_session(spark, rows, ansi):
+    """size(null) is -1 without ANSI mode."""
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = make(3000)
+    docs = [(1, make(250) + passage + make(60)), (2, make(80) + passage + make(210))]
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = sorted(map(tuple, suffix_dedup.repeat_digests(rows(docs), 200).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+    assert got == brute_bytes(docs, 200) and got[0][2] >= 3000
