@@ -92,17 +92,30 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends - starts, np.searchsorted(starts, off)
 
 
+#: Bytes of a span up to which its 8-byte words are mixed one after the other.
+SHORT = 64
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A 64-bit identifier of each span's bytes."""
+    """A 64-bit identifier of each span's bytes. A span above ``SHORT`` bytes has its 8-byte words mixed
+    with their places and summed, so that the time is linear whatever the longest span."""
     words = loads(data)
     h = mix(lens.astype(np.uint64), np.full(len(lens), K3))
-    at = np.arange(len(lens))
-    pos, left = starts, lens
+    at = np.flatnonzero(lens <= SHORT)
+    pos, left = starts[at], lens[at]
     while len(at):
         v = words[pos] & MASK[np.minimum(left, 8)]
         h[at] = mix(h[at], v)
         more = left > 8
         at, pos, left = at[more], pos[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lens > SHORT).tolist():
+        start, n = int(starts[i]), int(lens[i])
+        total = np.uint64(0)
+        for a in range(0, n, 1 << 20):
+            pos = np.arange(a, min(n, a + (1 << 20)), 8)
+            v = words[start + pos] & MASK[np.minimum(n - pos, 8)]
+            total = total + mix(v, pos.astype(np.uint64)).sum(dtype=np.uint64)
+        h[i : i + 1] = mix(h[i : i + 1], np.array([total]))
     return h
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import near_copies
-from ._repeats import keyed
+from ._rows import KEY, KEYS, NO_ID, keyed, whole
 from ._store import materialize
 from ._text import column
 from .components import components
@@ -36,8 +36,6 @@ from .golay import join_keys
 
 LARGE = 2048
 RADIUS = 2
-#: Stands for a null doc_id in row keys.
-NO_ID = -(2**63)
 
 
 def _votes(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -88,8 +86,8 @@ def _fingerprints(size: int):
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(id, th, f): row keys (see ``keyed``) and a fingerprint's 64 bits as a signed number."""
-    return keyed(docs.select("doc_id", "text")).select("id", "th", "text").mapInArrow(_fingerprints(size), "id long, th int, f long")
+    """(id, ka, kb, f): row keys (see ``keyed``) and a fingerprint's 64 bits as a signed number."""
+    return keyed(docs.select("doc_id", "text")).select("id", *KEY, "text").mapInArrow(_fingerprints(size), f"id long, {KEYS}, f long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +194,12 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def _first_rows(docs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
-    own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
     member = rows.join(named, "f").withColumn("component", F.coalesce("component_id", "f"))
-    order = F.struct(F.when(F.col("id") == NO_ID, 1).otherwise(0).alias("none"), "id", "th")
-    chosen = member.groupBy(F.col("component_id").isNull(), "component").agg(F.min(order).alias("best")).select("best.id", "best.th")
-    once = F.row_number().over(W.partitionBy("id", "th").orderBy("id"))
-    return own.join(chosen, ["id", "th"], "left_semi").withColumn("n", once).where("n = 1").select("row.*")
+    order = F.struct(F.when(F.col("id") == NO_ID, 1).otherwise(0).alias("none"), "id", *KEY)
+    chosen = member.groupBy(F.col("component_id").isNull(), "component").agg(F.min(order).alias("best")).select(*[f"best.{k}" for k in KEY])
+    # copies of one row have equal keys; one of them stays (tasks cut to rank 1 before the shuffle)
+    once = F.row_number().over(W.partitionBy(*KEY).orderBy("id"))
+    return whole(docs).join(chosen, KEY, "left_semi").withColumn("n", once).where("n = 1").select("row.*")
 
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -214,7 +212,7 @@ def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
 def keep_unlike(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """As ``keep_one``, with the links of ``near_copies``: shingles of ``size`` words, Jaccard ``least`` or more."""
     rows = materialize(near_copies.sketches(docs, size), "sketches")
-    chosen = rows.groupBy("f").agg(F.min(F.struct("id", "th")).alias("one")).select("f", "one.*")
+    chosen = rows.groupBy("f").agg(F.min(F.struct("id", *KEY)).alias("one")).select("f", "one.*")
     found = near_copies.links(rows.select("f", "bits").distinct(), docs, chosen, size, least)
-    rows = rows.select("id", "th", "f")
+    rows = rows.select("id", *KEY, "f")
     return _first_rows(docs, rows, _named(rows, found))

@@ -1,11 +1,12 @@
 """Suffix-array dedup by bucket-pointer refinement (operator 9).
 
-Every byte covered by a ``width``-byte string that also starts anywhere else is found. ``_repeats``
-describes the refinement: q-gram buckets, refined by the bucket identifiers of later offsets, each
-level reusing the one below; singletons drop out at each level, as in the published algorithm.
-Where that sorts every suffix of one text in memory, here only the suffixes that represent windows
-are dealt out over the cluster, which gives the same spans (buckets are 64-bit identifiers, and
-final ones are compared within their initial bucket, so 128 bits decide).
+Every byte covered by a ``width``-byte string that also starts anywhere else is found. ``_repeats`` describes the
+refinement: initial q-gram buckets, refined by the bucket identifiers of later offsets, each level reusing the
+identifiers of the one below; buckets with one member drop out at every level.
+
+The published algorithm keeps a bucket pointer for every suffix of one text in memory. Here only the suffixes
+that represent windows (some 1.5 % of bytes) become rows of a distributed table, which gives the same spans; README has the
+figures of a pointer for each suffix. Identifiers are 64 bits a level; two levels, 128 bits, decide.
 
 Defined cases: null text counts as empty and stays so; texts shorter than ``width`` bytes keep all;
 overlapping repeats inside one text count; rows with equal doc_id are separate documents; an empty
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Unit, cover, keyed, texts_of, unpack, with_runs
+from ._repeats import Unit, cover, unpack, with_runs
+from ._rows import KEY, keyed, texts_of, whole, with_text
 from ._text import buffers
 
 
@@ -63,24 +65,16 @@ def _cut(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, pa.Array]:
 
 def repeat_digests(docs: DataFrame, width: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    own = keyed(docs.select("doc_id", "text"))
-    ready = with_runs(own, Unit("bytes", width), False).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    own = keyed(docs.select("doc_id", "text")).select("doc_id", "text", *KEY)
+    ready = with_runs(own, Unit("bytes", width)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
     return ready.mapInArrow(_digests(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, where there is one) after the repeats are taken out.
     Rows stay, also those of which nothing is left."""
-    names, schema = docs.columns, docs.schema
-    own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")).select("row", "id", "th")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column(0)
-            parts = {f.name: row.field(i) for i, f in enumerate(row.type)}
-            parts["text"], chars = _cut(batch, width)
-            if "n_chars" in parts:
-                parts["n_chars"] = chars.cast(parts["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([parts[c] for c in names], names=names)
-
-    return with_runs(own, Unit("bytes", width), False).select("row", "runs").mapInArrow(run, schema)
+            yield with_text(batch, *_cut(batch, width))
+
+    return with_runs(whole(docs).select("row", *KEY), Unit("bytes", width)).select("row", "runs").mapInArrow(run, docs.schema)
