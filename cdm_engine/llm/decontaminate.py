@@ -1,18 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index (operator 10).
 
-*Index.* Documents are cut into segments of about a megabyte; each segment is a row of the index
-table, written to the shared folder: its documents, their numbers of words, and for every term of
-the benchmark the sorted list of places where it stands (places of neighbouring documents are more
+*Index.* Documents are cut into segments of about ``SEGMENT_BYTES``; each segment is a row of the index
+table, written once to the shared folder: its documents, their numbers of words, and for every term that stands in
+them the sorted list of its places (places of neighbouring documents are more
 than a phrase apart). A term's postings thus lie in many segments, and no term, however common,
 gathers in one task; nothing but small rows is shuffled.
 
 *Search.* For each phrase a segment starts from the postings of the phrase's rarest term there,
 subtracts the term's offset, and intersects with the offset-adjusted postings of the next rarer
-terms, one after the other. With ``slop`` above 0 a term may stand so many places off (proximity).
+terms, one after the other. With ``slop`` above 0 (proximity) each term may stand so many places from where an exact match
+with that start would have it.
 
 *Phrases.* A window is ``width`` consecutive words of an item; an item of fewer words, but not none,
-is one window. The benchmark is dealt with in blocks of at most ``BLOCK_BYTES`` of text, so that what
-is sent to every task has a bound whatever the benchmark's size.
+is one window. The benchmark is dealt with in blocks of about ``BLOCK_BYTES`` of text, so that what
+is sent to every task has a bound whatever the benchmark's size; every block is looked up in the same index.
 
 Words: ASCII letters in lower case, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined cases: null texts
 have no words; items without words never match; a null item_id prints as an empty string; rows with
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import keyed
-from ._store import materialize
+from ._rows import KEY, KEYS, NO_ID, keyed, whole
+from ._store import fresh_path, materialize
 from ._text import LOWER, column, gather, hash_spans, slices, spans
 
-BLOCK_BYTES = 8 << 20
-SEGMENT_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 19
 #: Places between the last word of a document and the first of the next are more than this.
 GAP = 1 << 10
 
@@ -71,50 +72,50 @@ class Phrases:
         for r, p in enumerate(found):
             self.phrases[r, : len(p)] = np.searchsorted(self.terms, np.array(p, np.uint64))
         self.sizes = np.array([len(p) for p in found], np.int64)
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def numbers(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, term numbers) of the tokens that are terms of the block."""
-        at = np.flatnonzero(self.sieve[(tokens & np.uint64(0xFFFFF)).astype(np.int64)])
-        if not len(self.terms):
-            return at[:0], at[:0]
-        no = np.minimum(np.searchsorted(self.terms, tokens[at]), len(self.terms) - 1)
-        same = self.terms[no] == tokens[at]
-        return at[same], no[same]
 
+SEGMENT = "id array<long>, ka array<long>, kb array<long>, n_words array<long>, terms array<long>, counts array<int>, gaps array<int>"
 
-SEGMENT = "ids array<long>, th array<int>, n_words array<long>, terms array<int>, counts array<int>, places array<int>"
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(x: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(kind, copy=False)))
 
-def _segments(block: Phrases):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, th = (batch.column(k).to_numpy() for k in (0, 1))
-            for lo, hi, data, off in slices(column(batch, "text"), SEGMENT_BYTES):
-                words, ptr = tokens(data, off)
-                at, no = block.numbers(words)
-                place = at + (np.searchsorted(ptr, at, side="right") - 1) * GAP
-                order = np.argsort(no, kind="stable")
-                term, first, count = np.unique(no[order], return_index=True, return_counts=True)
-                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(kind)))
-                yield pa.RecordBatch.from_arrays(
-                    [one(ids[lo:hi], np.int64), one(th[lo:hi], np.int32), one(np.diff(ptr), np.int64), one(term, np.int32), one(count, np.int32), one(place[order], np.int32)],
-                    names=["ids", "th", "n_words", "terms", "counts", "places"],
-                )
-
-    return run
-
-
-def build_index(docs: DataFrame, block: Phrases) -> DataFrame:
-    """The index table over every row of ``docs`` (id, th, text): one row per segment."""
-    return materialize(docs.select("id", "th", "text").mapInArrow(_segments(block), SEGMENT), "postings")
-
-
-def intersect(block: Phrases, term: np.ndarray, count: np.ndarray, place: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase numbers, places of their first words) of all matches in a segment."""
+    for batch in batches:
+        own = [batch.column(k).to_numpy() for k in range(3)]
+        for lo, hi, data, off in slices(column(batch, "text"), SEGMENT_BYTES):
+            words, ptr = tokens(data, off)
+            order = np.argsort(words, kind="stable")
+            at = order + (np.searchsorted(ptr, order, side="right") - 1) * GAP
+            term, first = np.unique(words[order], return_index=True)
+            gap = np.diff(at, prepend=0)  # within a term; its first place stands as it is
+            gap[first] = at[first]
+            columns = [*((x[lo:hi], np.int64) for x in own), (np.diff(ptr), np.int64), (term.view(np.int64), np.int64), (np.diff(np.append(first, len(at))), np.int32), (gap, np.int32)]
+            yield pa.RecordBatch.from_arrays([one(*c) for c in columns], names=["id", *KEY, "n_words", "terms", "counts", "gaps"])
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index table over every word of every row of ``docs`` (id, ka, kb, text): one row per segment."""
+    return materialize(docs.select("id", *KEY, "text").mapInArrow(_segments, SEGMENT), "postings")
+
+
+def postings(block: Phrases, terms: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term numbers of the block, their counts, their places) in a segment."""
+    terms = terms.view(np.uint64)
+    no = np.minimum(np.searchsorted(block.terms, terms), max(len(block.terms) - 1, 0))
+    have = np.flatnonzero(block.terms[no] == terms) if len(block.terms) else no[:0]
+    count = counts[have].astype(np.int64)
+    first = (np.cumsum(counts, dtype=np.int64) - counts)[have]
+    total = np.cumsum(gather(gaps, first, count).astype(np.int64))
+    before = np.append(0, total)[np.cumsum(count) - count]
+    return no[have], count, total - np.repeat(before, count)
+
+
+def intersect(block: Phrases, term: np.ndarray, count: np.ndarray, place: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase numbers, places of their first words, places of their rarest words) of all matches in a segment."""
+    none = np.zeros(0, np.int64)
     if not len(term) or not len(block.phrases):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
     n = np.zeros(len(block.terms) + 1, np.int64)
     n[term] = count
     first = np.zeros(len(block.terms) + 1, np.int64)
@@ -123,113 +124,132 @@ def intersect(block: Phrases, term: np.ndarray, count: np.ndarray, place: np.nda
     have = n[block.phrases]
     alive = np.flatnonzero(have.min(axis=1) > 0)
     if not len(alive):
-        return alive, place[:0]
+        return none, none, none
     rare = np.argsort(have[alive], axis=1, kind="stable")
     seed = block.phrases[alive, rare[:, 0]]
     posting = (np.repeat(term, count).astype(np.int64) << 32) + place
-    found, starts = [], []
+    shifts = np.arange(-slop, slop + 1)
+    found, starts, seeds = [none], [none], [none]
     edge = np.searchsorted(np.cumsum(n[seed]), np.arange(CANDIDATES, int(n[seed].sum()) + CANDIDATES, CANDIDATES))
     for a, b in zip(np.append(0, edge[:-1] + 1).tolist(), (edge + 1).tolist(), strict=True):
         part = slice(a, b)  # phrases with about CANDIDATES candidates, so that memory stays bounded
-        start = gather(place, first[seed[part]], n[seed[part]]) - np.repeat(rare[part, 0], n[seed[part]])
-        row = np.repeat(np.arange(len(alive))[part], n[seed[part]])
+        at = np.repeat(gather(place, first[seed[part]], n[seed[part]]), len(shifts))
+        row = np.repeat(np.arange(len(alive))[part], n[seed[part]] * len(shifts))
+        start = at - rare[row, 0] + np.resize(shifts, len(at))
         for k in range(1, block.width):
             offset = rare[row, k]
             want = block.phrases[alive[row], offset]
             lowest = (want << 32) + np.maximum(start + offset - slop, 0)
-            at = np.minimum(np.searchsorted(posting, lowest), len(posting) - 1)
-            ok = (want < 0) | ((posting[at] >= lowest) & (posting[at] <= (want << 32) + start + offset + slop))
-            row, start = row[ok], start[ok]
+            to = np.minimum(np.searchsorted(posting, lowest), len(posting) - 1)
+            ok = (want < 0) | ((posting[to] >= lowest) & (posting[to] <= (want << 32) + start + offset + slop))
+            row, start, at = row[ok], start[ok], at[ok]
         found.append(alive[row])
         starts.append(start)
-    return np.concatenate([alive[:0], *found]), np.concatenate([place[:0], *starts])
+        seeds.append(at)
+    return np.concatenate(found), np.concatenate(starts), np.concatenate(seeds)
+
+
+HITS = f"{KEYS}, starts array<long>, lens array<long>, items array<string>, near array<string>"
+
+
+def _search(shared, slop: int):
+    """Rows of the documents in which phrases match; ``near``: the items with a match within ``slop`` places."""
 
+    def strings(block: Phrases, phrase: np.ndarray, doc: np.ndarray, docs: np.ndarray) -> pa.Array:
+        which = np.searchsorted(doc, docs, side="left"), np.searchsorted(doc, docs, side="right")
+        return pa.array([sorted({x for p in np.unique(phrase[a:b]).tolist() for x in block.items[p]}) for a, b in zip(*which, strict=True)], pa.list_(pa.string()))
 
-def _search(block: Phrases, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, th, words, term, count, place = (batch.column(k)[i].values.to_numpy() for k in range(6))
-                phrase, start = intersect(block, term, count, place.astype(np.int64), slop)
+                ka, kb, words, *stored = (batch.column(k)[i].values.to_numpy() for k in range(1, 7))
+                here = postings(block, *stored)
                 base = np.concatenate([[0], np.cumsum(words + GAP)])
-                doc = np.searchsorted(base, start, side="right") - 1
-                inside = (start >= 0) & (start - base[doc] + block.sizes[phrase] <= words[np.minimum(doc, len(words) - 1)])
-                phrase, start, doc = phrase[inside], start[inside], doc[inside]
+                phrase, start, at = intersect(block, *here)
+                doc = np.searchsorted(base, at, side="right") - 1
                 order = np.argsort(doc, kind="stable")
                 phrase, start, doc = phrase[order], start[order], doc[order]
-                docs, edge = np.unique(doc, return_index=True)
-                edge = np.append(edge, len(doc)).astype(np.int32)
-                items = [sorted({x for p in np.unique(phrase[a:b]).tolist() for x in block.items[p]}) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                close, _, at = intersect(block, *here, slop) if slop else (phrase, start, base[doc])
+                other = np.searchsorted(base, at, side="right") - 1
+                order = np.argsort(other, kind="stable")
+                close, other = close[order], other[order]
+                docs = np.union1d(doc, other)
+                edge = pa.array(np.append(np.searchsorted(doc, docs), len(doc)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[docs]),
-                        pa.array(th[docs]),
-                        pa.ListArray.from_arrays(pa.array(edge), pa.array(start - base[doc])),
-                        pa.ListArray.from_arrays(pa.array(edge), pa.array(block.sizes[phrase])),
-                        pa.array(items, pa.list_(pa.string())),
+                        pa.array(ka[docs]),
+                        pa.array(kb[docs]),
+                        pa.ListArray.from_arrays(edge, pa.array(start - base[doc])),
+                        pa.ListArray.from_arrays(edge, pa.array(block.sizes[phrase])),
+                        strings(block, phrase, doc, docs),
+                        strings(block, close, other, docs),
                     ],
-                    names=["id", "th", "starts", "lens", "items"],
+                    names=[*KEY, "starts", "lens", "items", "near"],
                 )
 
     return run
 
 
 def blocks(benchmark: DataFrame, width: int) -> Iterator[Phrases]:
-    """The benchmark's phrases, at most about ``BLOCK_BYTES`` of text at a time on the driver."""
+    """The benchmark's phrases, about ``BLOCK_BYTES`` of text at a time on the driver. It is dealt to blocks once."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) * (2 if total > BLOCK_BYTES else 1)
+    n = -(-total // BLOCK_BYTES)
+    if n > 1:
+        path = fresh_path(items.sparkSession, "benchmark")
+        items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("part").parquet(path)
+        items = items.sparkSession.read.parquet(path)
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Phrases([(r.item, r.text) for r in part.collect()], width)
+        part = items.where(F.col("part") == k) if n > 1 else items
+        yield Phrases([(r.item, r.text) for r in part.select("item", "text").collect()], width)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits). rows: id, th, n_words of every row of ``docs`` (with id, th). hits: id, th, starts,
-    lens, items - the words where phrases start, their numbers of words, the item_ids - of those that match."""
-    rows = hits = None
+    """(rows, hits). rows: id, ka, kb, n_words of every row of ``docs`` (with id, ka, kb, text). hits: ka, kb, starts,
+    lens, items, near - the words where phrases start, their numbers of words, the item_ids, and those within ``slop`` - of those that match."""
+    if not 0 < width + slop < GAP:
+        raise ValueError(f"width and slop stay below {GAP}")
+    context = docs.sparkSession.sparkContext
+    index = build_index(docs)
+    rows = index.select(F.explode(F.arrays_zip("id", *KEY, "n_words")).alias("d")).select("d.*")
+    hits = index.limit(0).mapInArrow(lambda batches: iter(()), HITS)
     for block in blocks(benchmark, width):
-        index = build_index(docs, block)
-        if rows is None:
-            rows = index.select(F.explode(F.arrays_zip("ids", "th", "n_words")).alias("d")).select(F.col("d.ids").alias("id"), "d.th", "d.n_words")
-        found = index.mapInArrow(_search(block, slop), "id long, th int, starts array<long>, lens array<long>, items array<string>")
-        hits = found if hits is None else hits.unionByName(found)
-    if rows is None:
-        return matches(docs, benchmark.sparkSession.createDataFrame([("", "-")], "item_id string, text string"), width, slop)
-    grouped = hits.groupBy("id", "th").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items")])
-    return rows, grouped
+        hits = hits.unionByName(index.mapInArrow(_search(context.broadcast(block), slop), HITS))
+    return rows, hits.groupBy(*KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items", "near")])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_hit, n_items, sha = [], [], []
-        for n, starts, lens, items in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+        n_hit, n_items, n_near, sha = [], [], [], []
+        for n, starts, lens, items, near in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
             mark = np.zeros(n + 1, np.int32)
             np.add.at(mark, starts or [], 1)
             np.add.at(mark, [s + x for s, x in zip(starts or [], lens or [], strict=True)], -1)
             n_hit.append(int((np.cumsum(mark)[:n] > 0).sum()))
             own = sorted(set(items or []))
             n_items.append(len(own))
+            n_near.append(len(set(near or [])))
             sha.append(hashlib.sha256(",".join(own).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(n_near, pa.int64())],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
         )
 
 
-def hit_digests(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    rows, hits = matches(keyed(docs.select("doc_id", "text")), benchmark, width)
-    doc_id = F.when(F.col("id") != F.lit(-(2**63)), F.col("id")).alias("doc_id")
+def hit_digests(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 1) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a window within ``slop`` places) of every row."""
+    rows, hits = matches(keyed(docs.select("doc_id", "text")), benchmark, width, slop)
+    doc_id = F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias("doc_id")
     return (
-        rows.join(hits, ["id", "th"], "left")
-        .select(doc_id, "n_words", "starts", "lens", "items")
-        .mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        rows.join(hits, KEY, "left")
+        .select(doc_id, "n_words", "starts", "lens", "items", "near")
+        .mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long")
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
-    own = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
-    _, hits = matches(own, benchmark, width)
-    return own.join(hits.select("id", "th"), ["id", "th"], "left_anti").select("row.*")
+    own = whole(docs)
+    _, hits = matches(own.select("id", *KEY, F.col("row.text").alias("text")), benchmark, width)
+    return own.join(hits.select(*KEY), KEY, "left_anti").select("row.*")

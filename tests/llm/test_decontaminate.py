@@ -27,7 +27,12 @@ def brute(docs, items, width):
                 if tuple(w[k : k + len(p)]) == p:
                     hit.update(range(k, k + len(p)))
                     found |= ids
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        near = set()
+        for p, ids in windows.items():
+            for k in range(-1, len(w)):
+                if all(x in w[max(0, k + j - 1) : k + j + 2] for j, x in enumerate(p)):
+                    near |= ids
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out, key=str)
 
 
@@ -47,7 +52,7 @@ def test_against_brute_force(spark, rows, tables, width, candidates, block, monk
     docs, items = tables
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(map(tuple, decontaminate.hit_digests(rows(docs), bench, width).collect()), key=str) == brute(docs, items, width)
-    kept = decontaminate.decontaminate(rows(docs).withColumnRenamed("lang", "hits").withColumnRenamed("source", "th"), bench, width)
+    kept = decontaminate.decontaminate(rows(docs).withColumnRenamed("lang", "hits").withColumnRenamed("source", "ka"), bench, width)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _, n, *_ in brute(docs, items, width) if not n), key=str)
 
 
@@ -56,7 +61,9 @@ def test_proximity(spark, rows):
     docs = decontaminate.keyed(rows([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha x y z beta gamma")]))
     _, exact = decontaminate.matches(docs, bench, 10)
     _, near = decontaminate.matches(docs, bench, 10, slop=1)
-    assert [r.id for r in exact.collect()] == [1] and sorted(r.id for r in near.collect()) == [1, 2]
+    names = {(r.ka, r.kb): r.id for r in docs.collect()}
+    told = lambda hits, c: sorted(names[r.ka, r.kb] for r in hits.collect() if r[c])
+    assert told(exact, "items") == [1] == told(near, "items") and told(near, "near") == [1, 2]
 
 
 def test_empty_tables(spark, rows):
