@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms in which dates are written.
 EIGHT_DIGITS = r"^[0-9]{8}$"
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _LOOSE = r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,2}"

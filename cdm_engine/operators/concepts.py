@@ -103,9 +103,8 @@ def extract_concepts(tables: Store | Mapping[str, DataFrame], rules: list[Rule],
         names = [f"_expected_{k}" for k in range(len(columns))]
         listed = []
         for r in own:
-            if len({c for c, _ in r.where}) < len(r.where):
-                if len(dict.fromkeys(r.where)) > len(columns):
-                    continue  # two values for one column: nothing can match
+            if len({(c, v.upper()) for c, v in r.where}) > len(columns):
+                continue  # two values for one column: nothing can match
             by = dict(r.where)
             listed.append((r.concept_id, r.code, r.value, r.date, *[by[c] for c in columns]))
         spec = "_concept string, _code string, _value string, _date string, " + ", ".join(f"{n} string" for n in names)

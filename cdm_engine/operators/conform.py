@@ -39,11 +39,12 @@ def keep_standard(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def repair_dates(df: DataFrame, columns: list[str], source: str = "csv", strict: bool = True) -> DataFrame:
-    """Text columns to DATE. ``strict``: one aggregate over the table decides, column by column, whether
+    """Text columns to DATE (and TIMESTAMP columns, without their time). ``strict``: one aggregate over the table decides, column by column, whether
     all values are ISO dates; if not, the column is yyyymmdd (``repaired``) and the rest becomes NULL. Not strict:
     every value by itself, without reading the table first."""
     kinds = dict(df.dtypes)
     text = [c for c in columns if kinds.get(c) == "string"]
+    df = df.withColumns({c: F.col(f"`{c}`").cast("date") for c in columns if (kinds.get(c) or "").startswith("timestamp")})
     if not text:
         return df
     if not strict:

@@ -29,9 +29,10 @@ def dedup(df: DataFrame, keys: list[str] | str = "*", mode: str = "full_row", or
     """(kept, removed).
 
     ``full_row``: one of each set of rows alike in all columns; removed is None, as copies can't be told apart.
-    ``keep_first``: of rows alike in ``keys`` (NULLs are alike) the one that ``order``, a column without
-    repeats, puts first. The smallest order of each key is a partial aggregate and the split a semi-join
-    on it, so that a key with very many rows doesn't gather in one task.
+    ``keep_first``: of rows alike in ``keys`` (NULLs are alike) the one that ``order`` puts first; of several with that order
+    the one with the smallest 128-bit hash of all its columns (rows alike in all columns can't be told apart and stay
+    together). The first of each key is a partial aggregate and the split a semi-join on key, order and
+    hash, so that a key with very many rows doesn't gather in one task.
     """
     data = [c for c in df.columns if c != ROW_SEQ]
     keys = data if keys == "*" else list(keys)
@@ -41,8 +42,10 @@ def dedup(df: DataFrame, keys: list[str] | str = "*", mode: str = "full_row", or
     if mode != "keep_first":
         raise ValueError("mode is full_row or keep_first")
     _known(df, [order])
-    first = df.groupBy(*keys).agg(F.min(order).alias("_first")).select("_first")
-    same = df[order] == first["_first"]
+    row = [F.col(f"`{c}`") for c in data]
+    place = F.struct(F.col(f"`{order}`"), F.xxhash64(*row), F.xxhash64(F.lit(7), *row))
+    first = df.groupBy(*[F.col(f"`{k}`").alias(f"_key{n}") for n, k in enumerate(keys)]).agg(F.min(place).alias("_first"))
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)], place.eqNullSafe(F.col("_first")))
     return df.join(first, same, "left_semi"), df.join(first, same, "left_anti")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import any_date, iso_date
+from ..functions.frames import as_frame
 from ..functions.text import folded
 from ..operators.codelist import match_codelist
 from ..operators.combine import append_distinct, row_counts
@@ -15,11 +18,16 @@ from ..operators.concepts import Rule, extract_concepts, rules_from_wide
 from ..operators.conform import blanks_to_null, conform, repair_dates
 from ..operators.identity import assign_ids
 from ..operators.inventory import InventorySpec, code_inventory
+from ..operators.layout import Layout, apply_layout
 from ..operators.provenance import origin_rows, origin_values
 from ..operators.quality import dedup, drop_missing
+from ..sources.files import fresh_path, put
+from ..sources.ingest import load_tables
+from ..sources.sinks import add_to_table, append_parquet, save_removed, write_report
 from ..sources.text_import import clean_text
-from ..spec import ColumnSpec, TableSpec
-from ..store import Store
+from ..spec import ColumnSpec, Config, TableSpec, read_metadata
+from ..store import ROW_SEQ, Store
+from .flow import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -123,6 +131,144 @@ def fold_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", folded(F.col("p_name")).alias("folded"))
 
 
+# ---- files in ----------------------------------------------------------------------------------
+
+
+def _csv(df: DataFrame, folder: str, name: str) -> None:
+    """One more CSV file (or folder of parts) of an instance; quoted fields may hold line ends."""
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "NA").csv(f"{folder}/{name}.csv")
+
+
+def _instance(spark: SparkSession, sf_dir: str) -> str:
+    """An instance folder: customers in two CSV files with other columns in another order, notes with line ends and quotes
+    inside, dates as yyyymmdd; a file that only ends like the table's name; orders in two parquet files whose dates
+    are timestamps; and parts in both formats."""
+    folder = fresh_path(spark, "instance")
+    customer = table(spark, sf_dir, "customer")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "yyyyMMdd")
+    note = F.concat(F.lit('he said "'), F.col("c_mktsegment"), F.lit('",\nthen left'))
+    even, odd = customer.where("c_custkey % 2 = 0"), customer.where("c_custkey % 2 = 1")
+    _csv(even.select("c_custkey", note.alias("note"), day.alias("since"), F.lit("x").alias("odd_one")), folder, "CUSTOMER_A")
+    _csv(odd.select(F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("c_name"), day.alias("since"), "c_custkey"), folder, "CUSTOMER_B")
+    _csv(customer.select("c_custkey"), folder, "OLD_CUSTOMER")
+    orders = table(spark, sf_dir, "orders")
+    orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderdate").write.parquet(f"{folder}/ORDERS_1.parquet")
+    orders.where("o_orderkey % 2 = 1").select("o_orderstatus", "o_orderdate", "o_orderkey").write.parquet(f"{folder}/ORDERS_2.parquet")
+    part = table(spark, sf_dir, "part")
+    part.select("p_partkey").write.parquet(f"{folder}/PART.parquet")
+    _csv(part.select(F.lit("wrong").alias("p_partkey")), folder, "PART")
+    return folder
+
+
+METADATA = [
+    {"TABLE": t, "Variable": v, "Mandatory": m, "Format": f}
+    for t, v, m, f in [
+        ("CUSTOMER", "c_custkey", "Yes", "Character"), ("CUSTOMER", "c_name", "Yes", "Character"), ("CUSTOMER", "note", "No", "Character"),
+        ("CUSTOMER", "since", "Yes", "Character yyyymmdd"), ("CUSTOMER", "sex", "Yes", "Character"), ("ORDERS", "o_orderkey", "Yes", "Numeric"),
+        ("ORDERS", "o_orderstatus", "No", "Character"), ("ORDERS", "o_orderdate", "Yes", "yyyymmdd"), ("PART", "p_partkey", "Yes", "Numeric"),
+    ]
+]
+
+
+def _loaded(spark: SparkSession, sf_dir: str, tables: list[str], file_format: str = "auto", save: bool = False) -> Store:
+    store, folder = Store(spark), _instance(spark, sf_dir)
+    load_tables(store, folder, read_metadata(METADATA), tables, file_format, save_to=fresh_path(spark, "loaded") if save else None)
+    return store
+
+
+_LOADED = """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 3 <> 0 THEN c_name END AS c_name,
+    CASE WHEN c_custkey % 2 = 0 THEN 'he said "' || c_mktsegment || '",' || chr(10) || 'then left' END AS note,
+    CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS DATE) AS since, CAST(NULL AS VARCHAR) AS sex FROM customer
+"""
+
+
+@query(_LOADED)
+def load_csv(spark, sf_dir):
+    """Discovery, CSV scan matched by name, line ends in quotes, and conforming, end to end."""
+    return _loaded(spark, sf_dir, ["CUSTOMER"], "csv").get("CUSTOMER").drop(ROW_SEQ)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+def load_parquet(spark, sf_dir):
+    """Parquet files with other columns, matched by name; timestamps become dates."""
+    return _loaded(spark, sf_dir, ["ORDERS"], "parquet", save=True).get("ORDERS").drop(ROW_SEQ)
+
+
+@query("SELECT p_partkey FROM part")
+def load_auto(spark, sf_dir):
+    """A table in both formats is read from parquet, one without files is skipped."""
+    return _loaded(spark, sf_dir, ["PART", "NOWHERE"]).get("PART").drop(ROW_SEQ)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r['TABLE']}', '{r['Variable']}', {r['Mandatory'] == 'Yes'}, '{'date' if 'yyyymmdd' in r['Format'] else 'text' if 'Character' in r['Format'] else 'other'}', '{f}')" for r in METADATA for f in ("csv", "json", "parquet")) + ") AS t(name, variable, mandatory, kind, source)")
+def metadata_sources(spark, sf_dir):
+    """Metadata from files of each kind."""
+    rows, found = spark.createDataFrame(METADATA), []
+    for f in ("csv", "json", "parquet"):
+        path = f"{fresh_path(spark, 'metadata')}.{f}"
+        (rows.write.option("header", True).csv if f == "csv" else getattr(rows.write, f))(path)
+        found += [(t, c.name, c.mandatory, c.kind, f) for t, s in read_metadata(path, spark).items() for c in s.columns]
+    return spark.createDataFrame(found, "name string, variable string, mandatory boolean, kind string, source string")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def frames_as_tables(spark, sf_dir):
+    """Tables in other forms (pandas, Arrow) put into a store; regions and nations are a few rows at every size."""
+    store = Store(spark)
+    store.put("nation", as_frame(spark, table(spark, sf_dir, "nation").toPandas()))
+    store.put("region", as_frame(spark, table(spark, sf_dir, "region").toArrow()))
+    return store.get("nation").join(store.get("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+_FLOW = """
+WITH kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n = 1),
+named AS (SELECT * FROM kept WHERE c_name IS NOT NULL AND c_name NOT IN ('', 'NA'))
+"""
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
+    """A configured run (its configuration in a file) over customers, ordered by key: the first of each nation, complete rows, ids, report."""
+    root = fresh_path(spark, "flow")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"{root}/in/CUSTOMER.parquet")
+    config = {
+        "file_format": "parquet", "cdm_tables_names": ["CUSTOMER"],
+        "operations": {"DuplicateRemover": True, "MissingRemover": True, "UniqueIdGenerator": True, "ReportGenerator": True, "Unknown": True, "Off": False},
+        "duplicate_remover": {"cdm_tables_columns": {"CUSTOMER": ["c_nationkey"]}, "save_deleted": True, "save_path": f"{root}/removed", "add_postfix": "x"},
+        "missing_remover": {"columns": {"CUSTOMER": ["c_name"]}},
+        "report_generator": {"report_path": root, "report_name": "counts.csv"},
+    }
+    put(spark, f"{root}/config.json", json.dumps(config).encode())
+    text = "\n".join(r.value for r in spark.read.text(f"{root}/config.json").collect())
+    meta = [{"TABLE": "CUSTOMER", "Variable": v, "Mandatory": "Yes", "Format": "Numeric" if v != "c_name" else "Character"} for v in ("c_custkey", "c_name", "c_nationkey")]
+    engine = Engine(spark, Config.of(json.loads(text)), meta)
+    load_tables(engine.store, f"{root}/in", engine.specs, list(engine.config.tables), engine.config.file_format, save_to=f"{root}/work", notes=engine.notes)
+    return engine.run(), root
+
+
+@query(_FLOW + "SELECT 'CUSTOMER' AS ori_table, c_custkey, c_name, c_nationkey FROM named")
+def engine_run(spark, sf_dir):
+    """Load, duplicates by key, missing values and ids, as a configuration file says."""
+    engine, _ = _flow(spark, sf_dir)
+    out = engine.table("CUSTOMER")
+    return out.where("unique_id IS NOT NULL").select("ori_table", "c_custkey", "c_name", "c_nationkey")
+
+
+@query(_FLOW + "SELECT 'CUSTOMER' AS name, CAST(count(*) AS VARCHAR) AS row_count FROM named")
+def engine_report(spark, sf_dir):
+    """The report file of that run."""
+    _, root = _flow(spark, sf_dir)
+    return spark.read.option("header", True).csv(f"{root}/counts.csv")
+
+
+@query("SELECT user_id, min(event_type) AS event_type, count(*) - 1 AS removed FROM events GROUP BY user_id")
+def dedup_ties(spark, sf_dir):
+    """Orders that repeat within and between keys: one row of each key is kept all the same."""
+    kept, removed = dedup(table(spark, sf_dir, "events"), ["user_id"], "keep_first", "event_type")
+    gone = removed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("user_id", "other")
+    return kept.join(gone, F.col("user_id") == F.col("other"), "left").select("user_id", "event_type", F.coalesce("n", F.lit(0)).cast("long").alias("removed"))
+
+
 # ---- quality -----------------------------------------------------------------------------------
 
 
@@ -373,6 +519,109 @@ def concept_summary(spark, sf_dir):
     return found.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("person_id").alias("persons"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
+# ---- files out ---------------------------------------------------------------------------------
+
+
+def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_concepts(_sources(spark, sf_dir), PAIRED)
+
+
+@query(f"SELECT *, CAST(NULL AS VARCHAR) AS meaning FROM ({_union(PAIRED)}) UNION ALL SELECT *, CAST(NULL AS VARCHAR) FROM ({_union(PAIRED[:1])})")
+def insert_concepts(spark, sf_dir):
+    """Rows put behind those of a concept table that has a column more."""
+    store = Store(spark)
+    store.put("concepts", _concepts(spark, sf_dir).withColumn("meaning", F.lit(None).cast("string")))
+    return add_to_table(store, "concepts", extract_concepts(_sources(spark, sf_dir), PAIRED[:1]))
+
+
+def _appended(spark: SparkSession, sf_dir: str, partition: str | None) -> DataFrame:
+    folder = fresh_path(spark, "concepts")
+    append_parquet(_concepts(spark, sf_dir), folder, partition)
+    append_parquet(extract_concepts(_sources(spark, sf_dir), PAIRED[:1]), folder, partition)
+    return spark.read.parquet(folder)
+
+
+_APPENDED = f"SELECT *, 1 AS tag FROM ({_union(PAIRED)}) UNION ALL SELECT *, 1 AS tag FROM ({_union(PAIRED[:1])})"
+
+
+@query(_APPENDED)
+def append_partitioned(spark, sf_dir):
+    """Two appends to a folder with a folder below it for each concept."""
+    return _appended(spark, sf_dir, "concept_id")
+
+
+@query(_APPENDED)
+def append_plain(spark, sf_dir):
+    return _appended(spark, sf_dir, None)
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, 'ORDERS_20240131_late.csv' AS file
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n > 1
+""")
+def removed_rows_file(spark, sf_dir):
+    """The CSV of removed rows, and its name; without rows there is none."""
+    kept, removed = dedup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey"], "keep_first", "o_orderkey")
+    folder = fresh_path(spark, "removed")
+    path = save_removed(removed, folder, "ORDERS", "late", date(2024, 1, 31))
+    none = save_removed(kept.where("false"), folder, "NONE")
+    return spark.read.option("header", True).csv(path).withColumn("file", F.lit(path.rsplit("/", 1)[1] if none is None else "?"))
+
+
+_COUNTS = ("nation", "part", "supplier")
+
+
+def _report(spark: SparkSession, sf_dir: str, name: str) -> str:
+    store, folder = Store(spark), fresh_path(spark, "reports")
+    for t in _COUNTS:
+        store.put(t, table(spark, sf_dir, t))
+    put(spark, f"{folder}/readme", b"")
+    return write_report(row_counts(store), folder, name)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, CAST(count(*) AS VARCHAR) AS row_count FROM {t}" for t in _COUNTS))
+def report_csv(spark, sf_dir):
+    return spark.read.option("header", True).csv(_report(spark, sf_dir, "counts.csv"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {t}" for t in _COUNTS))
+def report_substitute(spark, sf_dir):
+    """The extension without a writer of its own is written as parquet."""
+    return spark.read.parquet(_report(spark, sf_dir, "counts.fst"))
+
+
+@query("SELECT * FROM (VALUES ('', 'ValueError'), ('.csv', 'ValueError'), ('counts', 'ValueError'), ('counts.xyz', 'ValueError'), ('counts.CSV', 'counts.csv'), ('a.b.parquet', 'a.b.parquet'), ('no folder', 'FileNotFoundError')) AS t(name, outcome)")
+def report_dispatch(spark, sf_dir):
+    """Which writer a report's name finds."""
+    found = []
+    for name in ("", ".csv", "counts", "counts.xyz", "counts.CSV", "a.b.parquet", "no folder"):
+        try:
+            path = _report(spark, sf_dir, name) if name != "no folder" else write_report(spark.range(1), f"{fresh_path(spark, 'no')}/such", "a.csv")
+            found.append((name, path.rsplit("/", 1)[1]))
+        except (ValueError, FileNotFoundError) as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "name string, outcome string")
+
+
+@query("SELECT l_orderkey, l_linenumber, true AS sorted FROM lineitem")
+def sorted_layout(spark, sf_dir):
+    """Tables laid out by columns: every file of the saved version ascends."""
+    store = Store(spark)
+    store.put("LINEITEM", table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    apply_layout(store, [Layout("LINEITEM", ("l_orderkey", "l_linenumber"))])
+    saved = store.save("LINEITEM", fresh_path(spark, "layout"))
+    file, row = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    before = F.lag(F.struct("l_orderkey", "l_linenumber")).over(Window.partitionBy("file").orderBy("row"))
+    return saved.select("*", file, row).select("l_orderkey", "l_linenumber", F.coalesce(before <= F.struct("l_orderkey", "l_linenumber"), F.lit(True)).alias("sorted"))
+
+
+@query(_union([MULTI[2]]))
+def concept_folded_pair(spark, sf_dir):
+    """A rule that names a column twice, with values that are alike in upper case."""
+    rule = MULTI[2]
+    return extract_concepts(_sources(spark, sf_dir), [Rule(rule.concept_id, rule.table, (("event_type", "click"), ("event_type", "CLICK")), rule.value, rule.date, rule.code)])
+
+
 # ---- provenance --------------------------------------------------------------------------------
 
 

@@ -8,10 +8,15 @@ FORMATS = ("csv", "parquet")
 
 
 def list_files(spark: SparkSession, folder: str, table: str, ext: str) -> list[str]:
-    """``<folder>/<table>*.<ext>``, not below the folder, sorted by name."""
+    """``<folder>/<table>*.<ext>``, not below the folder, sorted by name. A CSV folder of that name, as Spark writes it,
+    stands for its parts."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{table}*.{ext}")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(f.getPath().toString() for f in found or [])
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(path) or [])
+    if ext == "csv":
+        found = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+        found = [f for f in found if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return sorted(f.getPath().toString() for f in found)
 
 
 def choose(spark: SparkSession, folder: str, table: str, file_format: str = "auto") -> tuple[str, list[str]]:

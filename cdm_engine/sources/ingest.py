@@ -16,11 +16,17 @@ from ..store import ROW_SEQ, Store
 from .discovery import choose
 
 
-def check_utf8(spark: SparkSession, paths: list[str]) -> None:
-    """Spark would replace bytes that aren't UTF-8; here they are an error. One job for all files."""
-    bad = spark.read.text(paths).where(~F.is_valid_utf8("value")).select("_metadata.file_path").limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0][0]}: not UTF-8")
+def survey_lines(spark: SparkSession, paths: list[str]) -> set[str]:
+    """The files (as Spark names them) in which quoted fields hold line ends: those with a line that has an odd number of quotes.
+    Bytes that aren't UTF-8, which Spark would replace, are an error. One job that reads all files once, beside
+    the reading of their rows."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("open"))
+    found = lines.groupBy("file").agg(F.every("valid").alias("valid"), F.some(F.coalesce("open", F.lit(False))).alias("open")).collect()
+    for r in found:
+        if not r.valid:
+            raise ValueError(f"{r.file}: not UTF-8")
+    return {r.file for r in found if r.open}
 
 
 def _header(spark: SparkSession, path: str) -> str:
@@ -39,9 +45,10 @@ def _order(row: Column, block: Column) -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row")).alias(ROW_SEQ)
 
 
-def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files with the same header. All columns are text; NA is NULL and an empty field is ''. Adds the order of rows."""
-    raw = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(paths)
+def read_csv(spark: SparkSession, paths: list[str], across_lines: bool = False) -> DataFrame:
+    """Files with the same header. All columns are text; NA is NULL and an empty field is ''. Adds the order of rows.
+    ``across_lines``: quoted fields may hold line ends; such files can't be split between tasks."""
+    raw = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).option("multiLine", across_lines).csv(paths)
     return raw.select(*[csv_text(F.col(f"`{c}`")).alias(c) for c in raw.columns], _order(F.monotonically_increasing_id(), F.col("_metadata.file_block_start")))
 
 
@@ -63,15 +70,16 @@ def _aligned(parts: list[DataFrame]) -> list[DataFrame]:
 def read_files(spark: SparkSession, files: list[str], ext: str) -> DataFrame:
     """One table of several files, matched by name: the first file's columns, then what others add.
 
-    CSV files that begin with the same header are read together; a common reading of different ones would
-    match columns by position. Parquet files are read together unless a column's types conflict.
+    CSV files that begin with the same header are read together (those with line ends in quoted fields by themselves); a
+    common reading of different ones would match columns by position. Parquet files are read together unless a column's types conflict.
     """
     if ext == "csv":
-        check_utf8(spark, files)
-        groups: dict[str, list[str]] = {}
+        jvm = spark._jvm
+        across = {jvm.java.net.URI(f).getPath() for f in survey_lines(spark, files)}  # Spark names files by escaped URIs
+        groups: dict[tuple[str, bool], list[str]] = {}
         for f in files:
-            groups.setdefault(_header(spark, f), []).append(f)
-        parts = [read_csv(spark, g) for g in groups.values()]
+            groups.setdefault((_header(spark, f), jvm.org.apache.hadoop.fs.Path(f).toUri().getPath() in across), []).append(f)
+        parts = [read_csv(spark, g, wide) for (_, wide), g in groups.items()]
     else:
         try:
             parts = [read_parquet(spark, files)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 from collections.abc import Callable
 from datetime import date
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import ROW_SEQ, Store
+from .files import is_folder, put
 
 
 def add_to_table(store: Store, name: str, rows: DataFrame) -> DataFrame:
@@ -42,17 +43,19 @@ def save_removed(removed: DataFrame, folder: str, table: str, postfix: str | Non
     return path
 
 
-def _csv(df: DataFrame, path: str) -> None:
-    df.toPandas().to_csv(path, index=False)  # a report has a row per table
+def _csv(df: DataFrame) -> bytes:
+    return df.toPandas().to_csv(index=False).encode()  # a report has a row per table
 
 
-def _parquet(df: DataFrame, path: str) -> None:
-    df.toPandas().to_parquet(path, index=False)
+def _parquet(df: DataFrame) -> bytes:
+    out = io.BytesIO()
+    df.toPandas().to_parquet(out, index=False)
+    return out.getvalue()
 
 
-#: Report writers by file extension; more can be added. The extension fst, for which there is no
+#: Report writers by file extension (a report to a file's content); more can be added. The extension fst, for which there is no
 #: writer here, gets parquet content under the extension parquet.
-WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": _csv, "parquet": _parquet}
+WRITERS: dict[str, Callable[[DataFrame], bytes]] = {"csv": _csv, "parquet": _parquet}
 SUBSTITUTES = {"fst": "parquet"}
 
 
@@ -66,8 +69,8 @@ def write_report(df: DataFrame, folder: str, name: str) -> str:
     ext = SUBSTITUTES.get(ext.lower(), ext.lower())
     if ext not in WRITERS:
         raise ValueError(f"no report writer for {ext!r}; there are {sorted(WRITERS)}")
-    if not os.path.isdir(folder):
+    if not is_folder(df.sparkSession, folder):
         raise FileNotFoundError(f"no folder {folder}")
-    path = os.path.join(folder, f"{stem}.{ext}")
-    WRITERS[ext](df, path)
+    path = f"{folder.rstrip('/')}/{stem}.{ext}"
+    put(df.sparkSession, path, WRITERS[ext](df))
     return path

@@ -24,12 +24,15 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("cdm_engine.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e, cdm_engine
 assert e.queries() and "pipeline" not in e.queries() and not any(q.startswith("op") for q in e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT})
+    missing = code.replace('name.startswith("cdm_engine.llm") or name == "corpus_pipeline"', 'name == "xxhash"')
+    failed = subprocess.run([sys.executable, "-c", missing], cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True)
+    assert not os.path.isdir(os.path.join(ROOT, "cdm_engine/llm")) or "xxhash" in failed.stderr.splitlines()[-1]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
