@@ -2,33 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
-
-_WRITTEN: dict[str, SparkSession] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local master (tests) may leave it unset; it then gets a
-    temporary folder. On a cluster that would be another folder on every machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="cdm_engine_")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses; what is written there goes at the end of the program."""
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
-    return path
+from ..sources.files import delete, fresh_path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -42,26 +18,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``materialize`` that no result depends on any more."""
     for table in tables:
-        path = getattr(table, "_stored_at", None)
-        if path in _WRITTEN:
-            _delete(_WRITTEN.pop(path), path)
-
-
-def _clean() -> None:
-    for path, spark in list(_WRITTEN.items()):
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except (Py4JError, OSError, AttributeError):  # the JVM may be gone at interpreter exit
-            continue
-
-
-atexit.register(_clean)
+        delete(table.sparkSession, table._stored_at)

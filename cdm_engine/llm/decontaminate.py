@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import fresh_path
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
-from ._store import fresh_path, materialize
+from ._store import materialize
 from ._text import LOWER, column, gather, hash_spans, slices, spans
 
 BLOCK_BYTES = 2 << 20

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import fresh_path
 from . import chat, decontaminate, html_extract, langid, packing, sharding, simhash, simhash_dedup, substring_dedup, suffix_dedup
 
 
@@ -72,7 +73,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_table(spark, sf_dir, "documents"), old=12, new=16)
+    source = f"{sf_dir}/documents.parquet"
+    return sharding.digests(sharding.contents(spark, source, sharding.reshard(spark, source, 16, target=fresh_path(spark, "resharded"))))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,44 @@
 """Resharding by minimum-cost flow (operator 6).
 
-A corpus lies in ``old`` shards and is to lie in ``new`` ones of nearly equal bytes. Documents are dealt to
-fine blocks by a hash of their row key; blocks are what moves. Their sizes (bounded: ``BLOCKS`` numbers,
-whatever the corpus) go to the driver, where
+A corpus lies in Parquet files, its old shards: the folders ``shard-N`` that ``reshard`` writes, or any files, one shard
+each in the order of their paths. It is to lie in ``new`` shards of nearly equal bytes. The rows of each old shard are dealt to fine
+blocks by file name and row number, so that no text or doc_id, however common, makes a large block; blocks are what moves.
+Their sizes (bounded: about ``BLOCKS`` numbers, or one per file if there are more files) go to the driver, where
 
 1. new capacities are the total cut into equal whole numbers;
 2. a minimum-cost flow from old shards to new ones - a byte that stays costs nothing, one that moves
    costs 1 - says how many bytes each old shard sends to each new one (successive shortest paths
-   with potentials);
+   with potentials; old shards that none of the new ones continues are one source, as all their bytes move);
 3. each old shard's blocks are chosen to fill its flows: largest block first, into the transfer with the
    most bytes still to go; what is left of a flow is less than a block, and a final pass moves single
-   blocks from the fullest shard to the emptiest as long as that brings them closer.
+   blocks from the fullest shard to the emptiest as long as that brings them closer and they differ by over ``SLACK``.
 
-The plan (block -> shard, first slot) is joined to the rows; slots count on within blocks, so that no
-shard gathers in one task. ``rewrite`` writes only shards whose content changes.
+``reshard`` writes the new content of affected shards, those that gain or lose blocks, to a folder of its own and then
+swaps folders; the files of other shards are not touched. Rows are shuffled by shard with room to split large ones. A row's
+slot is its place in its shard's files: the rows of the files before and its number in its own.
 
-Defined cases: null text has no bytes (size 1, CRC 0); null doc_ids hash like any value; rows with equal doc_id and text
-are placed next to each other; an empty table gives an empty table; shards may stay empty.
+Defined cases: null text has no bytes (size 1, CRC 0); null and repeated doc_ids, and repeated rows, are rows like any
+other; columns of any name stay; an empty table writes nothing and gives an empty table; shards may stay empty, and a row
+larger than a shard's share makes its shard larger.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Number of blocks; the plan has a row for each.
+from ..sources.files import delete, folders, fresh_path, move
+
+#: Number of blocks, about; the plan has a row for each.
 BLOCKS = 1 << 15
+#: Largest and smallest shard may differ by this part of a share: no more is moved to make them more alike.
+SLACK = 0.005
+_FOLDER = re.compile(r"/shard-(\d+)/[^/]*$")
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -80,7 +89,7 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
 
 
 @dataclass(frozen=True)
-class Reshard:
+class Plan:
     """target: new shard of each block. moved: bytes that change shard. least: what the flow moves."""
 
     target: dict[int, int]
@@ -88,8 +97,10 @@ class Reshard:
     least: int
 
 
-def solve(blocks: dict[int, tuple[int, int]], old: int, new: int) -> Reshard:
+def solve(blocks: dict[int, tuple[int, int]], new: int) -> Plan:
     """blocks: number -> (old shard, bytes)."""
+    old = new + 1  # the last: all that have no new shard of their number
+    blocks = {b: (min(shard, new), size) for b, (shard, size) in blocks.items()}
     supply = [0] * old
     for shard, size in blocks.values():
         supply[shard] += size
@@ -105,6 +116,11 @@ def solve(blocks: dict[int, tuple[int, int]], old: int, new: int) -> Reshard:
         heapq.heapify(queue)
         for size, b in sorted(((s, b) for b, (x, s) in blocks.items() if x == i), reverse=True):
             f, j = heapq.heappop(queue) if queue else (0, min(range(new), key=load.__getitem__))
+            if i < new and i != j and -2 * f < size:  # more would move than the flow asks for
+                heapq.heappush(queue, (f, j))
+                target[b] = i
+                load[i] += size
+                continue
             target[b] = j
             load[j] += size
             heapq.heappush(queue, (f + size, j))
@@ -114,7 +130,7 @@ def solve(blocks: dict[int, tuple[int, int]], old: int, new: int) -> Reshard:
     while blocks:
         full, empty = max(range(new), key=load.__getitem__), min(range(new), key=load.__getitem__)
         gap = load[full] - load[empty]
-        fit = [(abs(gap - 2 * s), s, b) for s, b in by_shard[full] if s < gap]
+        fit = [(abs(gap - 2 * s), s, b) for s, b in by_shard[full] if s < gap] if gap * new > SLACK * total else []
         if not fit:
             break
         _, size, b = min(fit)
@@ -123,51 +139,108 @@ def solve(blocks: dict[int, tuple[int, int]], old: int, new: int) -> Reshard:
         target[b] = empty
         load[full] -= size
         load[empty] += size
-    return Reshard(target, sum(s for b, (x, s) in blocks.items() if target[b] != x), least)
+    return Plan(target, sum(s for b, (x, s) in blocks.items() if target[b] != x), least)
 
 
 def row_size() -> Column:
     return (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
 
 
-def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
-    """``docs`` (with doc_id, text) and block, size: rows with equal doc_id are told apart by their texts."""
-    return docs.withColumns({"block": F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"), "size": row_size()})
+def _read(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).parquet(*paths)
+
+
+def _placed(table: DataFrame) -> DataFrame:
+    """(row, file, place): a struct of the table's columns, its file, and its number there."""
+    columns = [F.col(f"`{c}`") for c in table.columns]
+    return table.select(F.struct(*columns).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
 
 
-def plan(docs: DataFrame, old: int, new: int, blocks: int = BLOCKS) -> tuple[DataFrame, Reshard]:
-    """The plan table (block, old_shard, shard, first slot) and the solution behind it."""
-    if old < 1 or new < 1:
-        raise ValueError("there is at least one shard before and after")
-    sums = _blocked(docs.select("doc_id", "text"), blocks).groupBy("block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-    found = solve({r.block: (r.block % old, r.bytes) for r in sums}, old, new)
-    slot, table = [0] * new, []
-    for r in sorted(sums):
-        shard = found.target[r.block]
-        table.append((r.block, r.block % old, shard, slot[shard]))
-        slot[shard] += r.rows
-    return docs.sparkSession.createDataFrame(table, "block int, old_shard int, shard int, first long"), found
+def old_shards(table: DataFrame) -> dict[str, int]:
+    """The shard that each file with rows is, or belongs to. The driver holds a row per file."""
+    files = sorted(r.file for r in _placed(table).select("file").distinct().collect())
+    named = [_FOLDER.search(f) for f in files]
+    return {f: int(m[1]) if all(named) else k for k, (f, m) in enumerate(zip(files, named, strict=True))}
 
 
-def assign(docs: DataFrame, old: int = 12, new: int = 16, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard of every row."""
-    table, _ = plan(docs, old, new, blocks)
+def _blocked(table: DataFrame, shards: dict[str, int], blocks: int) -> DataFrame:
+    """(row, block): the blocks of a file are numbered from its own first one."""
+    each = max(1, blocks // max(1, len(shards)))
+    numbers = table.sparkSession.createDataFrame([(f, k * each) for k, f in enumerate(sorted(shards))], "file string, first long")
+    block = F.col("first") + F.pmod(F.xxhash64(F.substring_index("file", "/", -1), "place"), F.lit(each))
+    return _placed(table).join(numbers, "file").select("row", block.alias("block"))
+
+
+@dataclass(frozen=True)
+class Resharded:
+    """written: the folder of each affected shard that has rows. kept: the shard of each file that stays as it is.
+    affected: the shards that gained or lost blocks."""
+
+    plan: Plan
+    affected: list[int]
+    written: dict[int, str]
+    kept: dict[str, int]
+
+
+def reshard(spark: SparkSession, source: str, new: int, target: str | None = None, blocks: int = BLOCKS) -> Resharded:
+    """Puts the rows of ``source`` into ``new`` shards. With ``target`` affected shards are written there, as folders
+    ``shard-N``, and ``source`` stays as it is; without, they take the place of the folders ``shard-N`` in ``source``
+    (nobody may read meanwhile: old folders are set aside, new ones moved in, then the old ones are deleted)."""
+    if new < 1:
+        raise ValueError("there is at least one shard")
+    table = _read(spark, source)
+    shards = old_shards(table)
+    if not target and not all(_FOLDER.search(f) for f in shards):
+        raise ValueError(f"{source} has files outside of folders shard-N: resharding needs a target")
+    each, files = max(1, blocks // max(1, len(shards))), sorted(shards)
+    rows = _blocked(table, shards, blocks)
+    sizes = {r.block: r.bytes for r in rows.select("block", F.col("row.text").alias("text")).groupBy("block").agg(F.sum(row_size()).alias("bytes")).collect()}
+    old = {b: shards[files[b // each]] for b in sizes}
+    plan = solve({b: (old[b], size) for b, size in sizes.items()}, new)
+    moved = [b for b, shard in plan.target.items() if shard != old[b]]
+    affected = sorted({plan.target[b] for b in moved} | {old[b] for b in moved if old[b] < new})
+    found = Resharded(plan, affected, {}, {f: shards[f] for f in files if shards[f] < new and shards[f] not in affected})
+    if affected:
+        where = spark.createDataFrame([(b, shard) for b, shard in plan.target.items() if shard in set(affected)], "block long, shard int")
+        to = "shard" + uuid.uuid4().hex  # no column has this name
+        out = rows.join(where, "block").select("row.*", F.col("shard").alias(to))
+        made = fresh_path(spark, "shards") if target else f"{source.rstrip('/')}/_new-{uuid.uuid4().hex}"
+        out.hint("rebalance", to).write.partitionBy(to).parquet(made)
+        home = (target or source).rstrip("/")
+        if not target:
+            aside = f"{home}/_old-{uuid.uuid4().hex}"
+            for shard in sorted(set(shards.values()) & ({old[b] for b in moved} | set(affected))):
+                move(spark, f"{home}/shard-{shard:05}", f"{aside}/shard-{shard:05}")
+        for name in folders(spark, made):
+            if name.startswith(f"{to}="):
+                shard = int(name.split("=")[1])
+                move(spark, f"{made}/{name}", f"{home}/shard-{shard:05}")
+                found.written[shard] = f"{home}/shard-{shard:05}"
+        delete(spark, made)
+        if not target:
+            delete(spark, aside)
+    return found
+
+
+def contents(spark: SparkSession, source: str, found: Resharded) -> DataFrame:
+    """The rows of all shards, as structs ``row``, with ``shard`` and ``slot``."""
+    schema = _read(spark, source).schema if found.kept or not found.written else _read(spark, next(iter(found.written.values()))).schema
+    paths = [*found.written.values(), *found.kept]
+    if not paths:
+        return spark.createDataFrame([], schema).select(F.struct("*").alias("row"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    rows = _placed(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths))
+    before: dict[int, int] = {}
+    bases = []
+    for f, n in sorted((r.file, r.n) for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()):
+        shard = found.kept[f] if f in found.kept else int(_FOLDER.search(f)[1])
+        bases.append((f, shard, before.get(shard, 0)))
+        before[shard] = before.get(shard, 0) + n
+    bases = spark.createDataFrame(bases, "file string, shard int, base long")
+    return rows.join(bases, "file").select("row", "shard", (F.col("base") + F.col("place")).alias("slot"))
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of the rows of ``contents``."""
+    rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "shard", "slot")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    rows = _blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks).select("doc_id", "block", "size", crc.alias("text_crc32"))
-    place = F.row_number().over(W.partitionBy("block").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = rows.join(F.broadcast(table), "block")  # at most ``blocks`` rows
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + place).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
-    )
-
-
-def rewrite(docs: DataFrame, folder: str, old: int, new: int, blocks: int = BLOCKS) -> list[int]:
-    """Writes the new content of each shard that gains or loses blocks to ``folder/shard=N``; returns these shards."""
-    table, found = plan(docs, old, new, blocks)
-    changed = {shard for b, shard in found.target.items() if shard != b % old} | {b % old for b, shard in found.target.items() if shard != b % old}
-    affected = sorted(s for s in changed if s < new)
-    names = docs.columns
-    keyed = _blocked(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text"), blocks).select("row", "block")
-    out = keyed.join(F.broadcast(table.where(F.col("shard").isin(affected)).select("block", "shard")), "block")
-    out.select("row.*", F.col("shard").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(folder)
-    return affected
+    return rows.select("doc_id", row_size().alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
