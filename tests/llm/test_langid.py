@@ -63,31 +63,79 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(frame(spark, [(1, "a", None)]).where("false")).count() == 0
 
 
-def test_probabilities_sum_to_one():
-    """After a context, over the symbols of the corpus, the edge and one unknown symbol."""
-    models = langid.Models({"x": Counter({"abab": 3, "abc": 2, "ba": 1})}, order=3)
-    for context in ("a", "ab", "b", "zz"):
-        before = models.words([context])[0, 0] - 0
-        total = 0.0
-        for word in (context + "a", context + "b", context + "c", context + "z"):
-            # log p(word, edge) = log p(context) + log p(symbol) + log p(edge); take the edges off
-            x, places, _ = langid.letters([word], 3)
-            total += np.exp((models.words([word])[0, 0] - edge(models, word)) / langid.SCALE - (before - edge(models, context)) / langid.SCALE)
-        total += np.exp(edge(models, context) / langid.SCALE)
-        assert total == pytest.approx(1.0, abs=0.01)
-
-
-def edge(models, word):
-    """Scaled log probability of the edge after a word: that of "word" less that of its letters."""
-    x, places, _ = langid.letters([word], models.order)
-    p = np.full(len(places), models.base)
-    for (g, c), (keys, seen, contexts, weight) in zip(langid.grams(x, places, models.order), models.levels, strict=True):
-        at = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
-        live = contexts[at] == c
-        p[live] *= weight[at[live], 0]
-        k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        p[live & (keys[k] == g)] += seen[k[live & (keys[k] == g)], 0]
-    return np.log(p[-1]) * langid.SCALE
+def brute(counts, order):
+    """Interpolated Kneser-Ney by definition: p(symbol | context) over dictionaries."""
+    runs = [("\0" * (order - 1) + w + "\0", n) for w, n in counts.items()]
+    top = Counter()
+    for run, n in runs:
+        for k in range(order - 1, len(run)):
+            top[run[k - order + 1 : k + 1]] += n
+    level = {order: top}
+    for m in range(order - 1, 0, -1):  # how many symbols come before
+        level[m] = Counter(g[1:] for g in level[m + 1])
+    symbols = {run[k] for run, _ in runs for k in range(order - 1, len(run))}
+
+    def p(symbol, context):
+        value = 1 / (len(symbols) + 1)
+        for m in range(1, order + 1):
+            c = context[len(context) - m + 1 :] if m > 1 else ""
+            own = {g: n for g, n in level[m].items() if g[:-1] == c}
+            if not own:
+                continue
+            once, twice = (sum(n == k for n in level[m].values()) for k in (1, 2))
+            d = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+            total = sum(own.values())
+            value = max(own.get(c + symbol, 0) - d, 0) / total + d * len(own) / total * value
+        return value
+
+    return p, symbols
+
+
+@pytest.mark.parametrize(("order", "held"), [(3, 1 << 21), (5, 7)])
+def test_probabilities_against_the_definition(order, held, monkeypatch):
+    """Those of every symbol of words in two languages, also unseen ones, and their sum over symbols."""
+    monkeypatch.setattr(langid, "HELD", held)
+    languages = {"x": Counter({"abab": 3, "abc": 2, "ba": 1, "cabba": 1}), "y": Counter({"dede": 2, "ab": 1, "edd": 4})}
+    models = langid.Models(languages, order)
+    assert models.languages == ["x", "y"]
+    for word in ("abab", "dedab", "c", "zebra", "abczab"):
+        got = models.words([word])[0]
+        assert got[-1] == len(word) + 1
+        for k, name in enumerate(models.languages):
+            p, symbols = brute(languages[name], order)
+            base = models.base  # all languages share the unknown symbol's
+            q = lambda s, c: p(s, c) + rest(p, c, order) * (base - 1 / (len(symbols) + 1))  # noqa: E731, B023
+            run = "\0" * (order - 1) + word + "\0"
+            want = sum(np.log(q(run[i], run[:i])) for i in range(order - 1, len(run)))
+            assert got[k] / langid.SCALE == pytest.approx(want, abs=1e-3)
+            everything = {r for x in languages for r in brute(languages[x], order)[1]}
+            assert sum(q(s, run[:-1]) for s in everything) + q("?", run[:-1]) == pytest.approx(1.0, abs=1e-9)
+
+
+def rest(p, context, order):
+    """The weight with which the uniform distribution comes in after a context."""
+    return (p("?", context)) * (len_symbols(p) + 1)
+
+
+def len_symbols(p):
+    return len(p.__closure__[[c for c in p.__code__.co_freevars].index("symbols")].cell_contents)
+
+
+def test_bytes_of_the_sample(spark, labelled, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 3 * 900)
+    docs = frame(spark, labelled + [(k, "sch ung " * 500, "dd") for k in range(2000, 2020)])
+    ids = langid._sample(langid.keyed(docs), 500)
+    texts = {(r.ka, r.kb): (r.lang, len(r.text)) for r in langid.keyed(docs).collect()}
+    used = Counter()
+    for ka, kb, lang, _ in ids:
+        assert texts[ka, kb][0] == lang
+        used[lang] += texts[ka, kb][1]
+    assert set(used) == {"aa", "bb", "cc", "dd"} and all(used[x] <= 675 for x in ("aa", "bb", "cc")) and used["dd"] == 4000
+
+
+def test_many_copies_of_one_row_count_once(spark, labelled):
+    docs = frame(spark, labelled + [(None, "ba ka mo", "aa")] * 700 + [(3001, "ba ka", "aa")] * 700)
+    assert len(langid._sample(langid.keyed(docs.where("doc_id is null or doc_id = 3001")), 500)) == 2
 
 
 def test_rare_labels_are_learned(spark, labelled):
