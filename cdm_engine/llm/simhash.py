@@ -15,15 +15,18 @@ copies, see README) for the few rows that ask: of 14 blocks one has at most one
 blocks meet those of an asking row or one of their neighbours. All rows within the radius are found.
 
 ``with_next`` pairs each row with the next by ascending doc_id without a global window: rows are dealt to
-ranges of doc_id, and the first row of each range is also sent to the range before it.
+ranges of (doc_id, hash of the text), a task each, and the first row of each range is also sent to the range before it. A doc_id
+that many rows share, null included, is cut into ranges like any other stretch (but copies of one row stay together).
 
-Defined cases: null text counts as empty; rows with equal doc_id are ordered by text; null doc_ids come
+Defined cases: null text counts as empty; rows with equal doc_id are ordered by a hash of the text; null doc_ids come
 first; a table of one row is its own next; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import NO_ID
 from ._store import materialize
 from ._text import K3, LOWER, column, hash_spans, is_space, mix, slices, spans
 
@@ -41,6 +45,8 @@ SIZE = 2
 UNIT = 1 << 10
 #: Bits of difference up to which ``with_neighbours`` counts a text as near.
 RADIUS = 27
+#: Characters of text that are compared at a time (a pair of rows, if that has more).
+HELD = 1 << 22
 #: Pairs of fingerprints compared at a time.
 PAIRS = 1 << 15
 
@@ -223,31 +229,35 @@ def count_within(rows: DataFrame, asks, radius: int = RADIUS, blocks: int = 0, b
     return dealt.mapInArrow(_counts(bits, radius, blocks), "fingerprint string, n_within long").groupBy("fingerprint").agg(F.sum("n_within").alias("n_within"))
 
 
-def _ranges(docs: DataFrame) -> list[int | None]:
-    """Smallest doc_id of each of a number of ranges: as many ranges as shuffle partitions."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce("id", F.lit(-(2**63))).alias("id")).repartitionByRange(n, "id")
-    firsts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("id"))
-    return sorted(r.id for r in firsts.collect())
+def _ranges(own: DataFrame) -> list[tuple[int, int]]:
+    """The first (id, tie) of each of a number of ranges: as many ranges as shuffle partitions."""
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = own.select("id", "tie").repartitionByRange(n, "id", "tie")
+    firsts = places.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "tie")).alias("first"))
+    return sorted({(r.first.id, r.first.tie) for r in firsts.collect()})
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(part, ghost, doc_id, text), dealt and sorted so that each row's next row follows it; ``ghost`` rows
     are only there to be somebody's next."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    own = own.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "tie": F.xxhash64("text")})
     firsts = _ranges(own)
     if not firsts:
         return own.select(F.lit(0).alias("part"), F.lit(False).alias("ghost"), "doc_id", "text").where(F.lit(False))
-    bounds, step = F.array(*[F.lit(x) for x in firsts]), 64
-    # the last bound that isn't above the id: first among every 64th, then among the 64 from there
-    coarse = F.size(F.filter(F.array(*[F.lit(x) for x in firsts[::step]]), lambda b: b <= F.col("id"))) - 1
-    part = coarse * step + F.size(F.filter(F.slice(bounds, coarse * step + 1, step), lambda b: b <= F.col("id"))) - 1
-    # the rows of a range's smallest doc_id (few: one, where ids don't repeat) also go to the range before
-    back = F.when(F.element_at(bounds, F.col("part") + 1) == F.col("id"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    step, place = max(1, math.isqrt(len(firsts))), F.struct("id", "tie")
+
+    def bounds(some: list[tuple[int, int]]):  # one literal, however many there are
+        return F.from_json(F.lit(json.dumps([{"id": i, "tie": t} for i, t in some])), "array<struct<id: bigint, tie: bigint>>")
+
+    # the last bound that isn't above the place: first among every step-th, then among the ``step`` from there
+    coarse = F.size(F.filter(bounds(firsts[::step]), lambda b: b <= place)) - 1
+    part = coarse * step + F.size(F.filter(F.slice(bounds(firsts), coarse * step + 1, step), lambda b: b <= place)) - 1
+    # a range's first row also goes to the range before
+    back = F.when(F.element_at(bounds(firsts), F.col("part") + 1) == place, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     dealt = own.withColumn("part", part).select("*", F.explode(back).alias("ghost"))
     dealt = dealt.withColumn("part", F.when(F.col("ghost"), F.pmod(F.col("part") - 1, F.lit(len(firsts)))).otherwise(F.col("part")))
-    return dealt.repartition(len(firsts), "part").sortWithinPartitions("part", "ghost", "id", "text").select("part", "ghost", "doc_id", "text")
+    return dealt.repartitionById(len(firsts), "part").sortWithinPartitions("part", "ghost", "id", "tie").select("part", "ghost", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -275,18 +285,21 @@ def _compare(bits: int, size: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the last row that waits for its next one
+        held: list = []  # the last row that waits for its next one
         ready: list[tuple] = []
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for p, ghost, i, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if held and held[0] == p:
-                        ready.append((held[1], held[2], t))
-                    held = [] if ghost else [p, i, t]
-                if ready:
+            for p, ghost, i, t in zip(*batch.columns, strict=True):  # a row at a time: texts may be long
+                p, t = p.as_py(), t.as_py()
+                if held and held[0] == p:
+                    ready.append((held[1], held[2], t))
+                    size += len(held[2]) + len(t)
+                held = [] if ghost.as_py() else [p, i.as_py(), t]
+                if len(ready) == 256 or size > HELD:
                     yield rows(*map(list, zip(*ready, strict=True)))
-                    ready = []
+                    ready, size = [], 0
+        if ready:
+            yield rows(*map(list, zip(*ready, strict=True)))
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import near_copies
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
 from ._store import materialize
-from ._text import column
+from ._text import column, is_space, spans
 from .components import components
 from .golay import join_keys
 
@@ -53,6 +53,18 @@ def _votes(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 _BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
 
 
+def _count(waiting: list[tuple[int, np.ndarray]], votes: np.ndarray) -> None:
+    """Adds the votes of (document, hashes) to those of the documents, and empties the list."""
+    if waiting:
+        ptr = np.concatenate([[0], np.cumsum([len(h) for _, h in waiting])])
+        np.add.at(votes, [i for i, _ in waiting], _votes(np.concatenate([h for _, h in waiting]), ptr))
+        waiting.clear()
+
+
+#: Bytes of a text above which it is cut into shingles piece by piece.
+LONG = 1 << 20
+
+
 def shingle_hashes(text: bytes, size: int) -> list[int]:
     words = text.lower().split()
     if not words:
@@ -66,6 +78,18 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
+def hash_pieces(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles; of a long one some at a time."""
+    if len(text) <= LONG:
+        yield np.array(shingle_hashes(text, size), np.uint64)
+        return
+    data = np.frombuffer(text, np.uint8)
+    starts, lens, _ = spans(~is_space(data), np.array([0, len(data)]))
+    for a in range(0, max(1, len(starts) - size + 1), LONG // 8):
+        last = min(len(starts), a + LONG // 8 + size - 1) - 1
+        yield np.array(shingle_hashes(text[int(starts[a]) : int(starts[last] + lens[last])], size) if last >= 0 else [], np.uint64)
+
+
 def _fingerprints(size: int):
     """Appends the fingerprint ``f`` to whatever columns stand before ``text``."""
 
@@ -75,11 +99,16 @@ def _fingerprints(size: int):
             texts, names = column(batch, "text").cast(pa.binary()), [n for n in batch.schema.names if n != "text"]
             for at in range(0, batch.num_rows, 256):
                 part = texts.slice(at, 256)
-                each = [np.array(shingle_hashes(t.as_py(), size), np.uint64) for t in part]
-                n = np.array([len(x) for x in each])
-                ptr = np.concatenate([[0], np.cumsum(n)])
-                on = 2 * _votes(np.concatenate(each), ptr) > n[:, None]
-                f = (on * weights).sum(axis=1, dtype=np.uint64)
+                n, votes = np.zeros(len(part), np.int64), np.zeros((len(part), 64), np.int64)
+                waiting: list[tuple[int, np.ndarray]] = []
+                for i, t in enumerate(part):
+                    for h in hash_pieces(t.as_py(), size):
+                        waiting.append((i, h))
+                        n[i] += len(h)
+                        if sum(len(x) for _, x in waiting[-4:]) > LONG // 8:
+                            _count(waiting, votes)
+                _count(waiting, votes)
+                f = ((2 * votes > n[:, None]) * weights).sum(axis=1, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 256) for k in range(len(names))), pa.array(f.view(np.int64))], names=[*names, "f"])
 
     return run

@@ -3,6 +3,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cdm_engine.llm import simhash
 
@@ -128,3 +129,51 @@ def test_near_copies_are_neighbours(spark, batch):
     want = {k: sum((x ^ y).bit_count() <= simhash.RADIUS for y in values) - 1 if k % 4 == 0 else None for k, x in enumerate(values)}
     assert got == want
     assert sum((values[k] ^ values[k + 2]).bit_count() <= simhash.RADIUS for k in range(0, 160, 4)) > 30
+
+
+def test_a_repeated_id_is_cut_into_ranges(spark, rows):
+    """Null and one other doc_id hold a third of all rows each, with different texts."""
+    docs = [(None, f"n{i} x") for i in range(300)] + [(7, f"s{i} x") for i in range(300)] + [(i, f"w{i} x") for i in range(8, 308)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    try:
+        dealt = simhash.with_next(rows(docs))
+        sizes = [r["count"] for r in dealt.where("not ghost").groupBy(F.spark_partition_id()).count().collect()]
+        got = simhash.compare_edits(rows(docs)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sum(sizes) == 900 and max(sizes) < 100 and len(sizes) > 20
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in docs)
+
+
+def test_likeness_by_definition(rows, docs):
+    """near_edited and near_next from fingerprints that a plain version makes."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from cdm_engine.llm._text import K3, mix
+
+    def plain(text):
+        words = (text or "").lower() if (text or "").isascii() else "".join(c.lower() if c.isascii() else c for c in text)
+        words = words.encode().split()
+        grams = [b" ".join(words[k : k + 2]) for k in range(len(words) - 1)] or ([b" ".join(words)] if words else [])
+        sums = [0] * 256
+        for g, n in Counter(grams).items():
+            h, ptr = simhash.terms(*next(iter(simhash.slices(pa.array([g.decode()]))))[2:], 2)
+            for lane in range(4):
+                x = int(mix(h, np.full(1, K3 + np.uint64(lane)))[0])
+                for b in range(64):
+                    sums[64 * lane + b] += (1 if x >> b & 1 else -1) * round(simhash.UNIT * (1 + math.log(n)))
+        return sum((s > 0) << k for k, s in enumerate(sums))
+
+    like = lambda a, b: max(math.cos(math.pi * (a ^ b).bit_count() / 256), 0.0)
+    some = docs[:30]
+    got = {r.doc_id: r for r in simhash.compare_edits(rows(some)).collect()}
+    for k, (i, t) in enumerate(some):
+        following = some[(k + 1) % len(some)][1] or ""
+        new = simhash.edited(t or "", following)
+        f, g, h = plain(t), plain(new), plain(following)
+        assert bytes.fromhex(got[i].fingerprint) == f.to_bytes(32, "little") and bytes.fromhex(got[i].edited_fingerprint) == g.to_bytes(32, "little")
+        assert got[i].near_edited == pytest.approx(like(f, g), abs=1e-12) and got[i].near_next == pytest.approx(like(f, h), abs=1e-12)
