@@ -377,8 +377,8 @@ def _element(spec: str, inner: str, label: str = "") -> str:
     return f"<{name}{attributes}{label}>{inner}</{name}>"
 
 
-def training_pages(n: int = 1200, seed: int = 11) -> list[str]:
-    """Labelled pages: content and every kind of surroundings in many forms."""
+def training_pages(n: int = 1200, seed: int = 11, nameless: float = 0.25) -> list[str]:
+    """Labelled pages: content and every kind of surroundings in many forms, this share of them without a name that says something."""
     r = random.Random(seed)
 
     def words(low: int, high: int, stop: str = ".") -> str:
@@ -388,7 +388,7 @@ def training_pages(n: int = 1200, seed: int = 11) -> list[str]:
     def made_up(spec: str, share: float) -> str:
         """The element with a name that says nothing, or without one."""
         name = spec.split()[0]
-        if r.random() >= share:
+        if r.random() >= share * nameless / 0.25:
             return spec
         if name in ("nav", "footer", "aside", "header", "article", "main", "form", "dialog", "fieldset") and r.random() < 0.5:
             name = "div"
