@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.files import fresh_path
-from . import chat, decontaminate, html_extract, langid, packing, sharding, simhash, simhash_dedup, substring_dedup, suffix_dedup
+from . import chat, decontaminate, html_extract, langid, oracles, packing, sharding, simhash, simhash_dedup, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,32 +28,6 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
-OP2_SQL = r"""
-WITH turns AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), ordered AS (
-    SELECT *, row_number() OVER w AS n, lag(role, 1, '') OVER w AS before,
-        CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 END AS marks
-    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
-), judged AS (
-    SELECT *, CASE WHEN (before = '' AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user')
-        OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user') THEN NULL ELSE n - 1 END AS wrong
-    FROM ordered
-)
-SELECT conv_id, count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
-    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(marks + length(text) + escapes) AS BIGINT) AS formatted_chars,
-    min(wrong) IS NULL AND arg_max(role, n) = 'assistant' AS valid,
-    coalesce(min(wrong), CASE WHEN arg_max(role, n) <> 'assistant' THEN count(*) ELSE -1 END) AS first_violation
-FROM (SELECT *, len(regexp_extract_all(text, '\[\\*/?(INST|SYS|ROLE)\]|\[\\*/TURN\]|<\\*/?s>')) AS escapes FROM judged)
-GROUP BY conv_id
-"""
-
-
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -109,4 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL}
+    return {
+        "op2_chat_formatting": oracles.OP2_SQL,
+        "op8_substring_dedup": oracles.OP8_SQL,
+        "op9_suffix_dedup": oracles.OP9_SQL,
+        "op10_decontaminate": oracles.OP10_SQL,
+    }
