@@ -61,7 +61,7 @@ def terms(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
     n = np.diff(ptr)
     short = np.minimum(n, size)
     h = words.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(h))):
         h[: len(h) - k] = mix(h[: len(h) - k], words[k:])
     count = np.maximum(n - size + 1, np.minimum(n, 1))
     for i in np.flatnonzero((n > 0) & (n < size)).tolist():  # all words of a short text

@@ -177,3 +177,10 @@ def test_likeness_by_definition(rows, docs):
         f, g, h = plain(t), plain(new), plain(following)
         assert bytes.fromhex(got[i].fingerprint) == f.to_bytes(32, "little") and bytes.fromhex(got[i].edited_fingerprint) == g.to_bytes(32, "little")
         assert got[i].near_edited == pytest.approx(like(f, g), abs=1e-12) and got[i].near_next == pytest.approx(like(f, h), abs=1e-12)
+
+
+@pytest.mark.parametrize("text", ["", "one", "one two three", "a b c d e f"])
+def test_shingles_of_few_words(text):
+    """A slice may have fewer words than a shingle."""
+    h, ptr = simhash.terms(*next(iter(simhash.slices(pa.array([text]))))[2:], 5)
+    assert len(h) == ptr[-1] == max(len(text.split()) - 4, min(len(text.split()), 1))

@@ -81,3 +81,40 @@ def test_documents(rows):
 def test_empty_table(rows):
     df = rows([(1, "a")]).where(F.lit(False))
     assert simhash_dedup.near_duplicates(df).count() == 0
+
+
+@pytest.mark.parametrize("long", [1 << 20, 60])
+def test_whole_documents_against_brute_force(rows, long, monkeypatch):
+    """Texts of many shingles, repeats included, near copies within 0 to 4 bits, nulls and repeated ids."""
+    import random
+
+    monkeypatch.setattr(simhash_dedup, "LONG", long)
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcÄx-") for _ in range(r.randint(1, 3)))
+    docs = []
+    for k in range(12):
+        words = [word() for _ in range(r.randint(3, 700))]
+        docs.append((10 * k, " ".join(words)))
+        for j in range(1, 6):
+            copy = list(words)
+            for at in r.sample(range(len(words)), min(len(words), r.randint(0, 2))):
+                copy[at] = word()
+            docs.append((10 * k + j, r.choice([" ", "\n", "\t "]).join(copy)))
+    docs += [(500, None), (501, " \x0b"), (None, docs[4][1]), (None, "only null"), (7, docs[20][1]), (7, docs[20][1])]
+
+    def fingerprint(text):
+        words = (text or "").encode().lower().split()
+        grams = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+    prints = [fingerprint(t) for _, t in docs]
+    label = brute([signed(f) for f in set(prints)])
+    smallest = {}
+    for (i, _), f in zip(docs, prints, strict=True):
+        if i is not None:
+            smallest[label[signed(f)]] = min(i, smallest.get(label[signed(f)], i))
+    want = sorted(((i, f"{f:016x}", smallest.get(label[signed(f)])) for (i, _), f in zip(docs, prints, strict=True)), key=str)
+    got = sorted(map(tuple, simhash_dedup.near_duplicates(rows(docs)).collect()), key=str)
+    assert got == want
+    assert len(set(prints)) > len(set(smallest.values())) + 5  # some links join different fingerprints
