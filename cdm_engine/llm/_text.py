@@ -110,12 +110,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nda
         at, pos, left = at[more], pos[more] + 8, left[more] - 8
     for i in np.flatnonzero(lens > SHORT).tolist():
         start, n = int(starts[i]), int(lens[i])
-        total = np.uint64(0)
+        total = np.zeros(1, np.uint64)
         for a in range(0, n, 1 << 20):
             pos = np.arange(a, min(n, a + (1 << 20)), 8)
             v = words[start + pos] & MASK[np.minimum(n - pos, 8)]
-            total = total + mix(v, pos.astype(np.uint64)).sum(dtype=np.uint64)
-        h[i : i + 1] = mix(h[i : i + 1], np.array([total]))
+            total += mix(v, pos.astype(np.uint64)).sum(dtype=np.uint64)
+        h[i : i + 1] = mix(h[i : i + 1], total)
     return h
 
 

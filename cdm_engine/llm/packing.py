@@ -9,8 +9,8 @@
    before it, so that no length, however common, gathers in one task. Joining length and rank with
    the plan's rank ranges gives sequence and offset.
 
-Tokens: white space never joins tokens in the vocabulary this is made for (``word_bpe_49k``), so each
-distinct word is encoded once in a task and its ids are reused (``WordEncoder``).
+Tokens: where a tokenizer's own pattern cuts texts into the words that ``cut_words`` finds (``WORDS``; ``word_bpe_49k`` is of this
+kind), each distinct word is encoded once in a task and its ids are reused. Any other tokenizer encodes whole texts.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table
 gives an empty table; clashing extra columns aren't read.
@@ -19,6 +19,7 @@ gives an empty table; clashing extra columns aren't read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,26 @@ from pyspark.sql import functions as F
 from ._store import materialize
 from ._text import column, cut_words, gather, hash_spans, slices
 
+# The parts of a tokenizer's description that make it cut words as ``cut_words`` does.
+WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(vocabulary: str) -> bool:
+    """Whether texts can be encoded word by word."""
+    told = json.loads(vocabulary)
+    model = told.get("model", {})
+    return all(told.get(k) == v for k, v in WORDS.items()) and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix")
+
+
 #: Distinct words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -49,7 +70,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.by_words = Tokenizer.from_str(vocabulary), by_words(vocabulary)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
@@ -90,6 +111,10 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, ids before each document)."""
+        if not self.by_words:
+            raw = data.tobytes()
+            each = self._ids([raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         if len(self.known) > REMEMBERED:
             self.forget()
         low, starts, lens, ptr, plain = cut_words(data, off)

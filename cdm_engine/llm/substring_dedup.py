@@ -10,8 +10,8 @@
 3. *Stream all documents* of the block through its automaton. What it locates, compared byte by byte, word edges included,
    is removed where the passage's first document comes before the one at hand. Nothing else decides.
 
-Long documents pass in parts of ``PART`` words, each with an automaton of its own, so that memory and time per byte stay
-bounded. Defined cases: null text has no words; fewer words than ``width`` keep all; rows with equal doc_id
+Long documents pass in parts of ``PART`` words, each with an automaton of its own, and in automata a word above ``WORD`` bytes is
+spelled by its 128-bit digest, so that memory and time per byte stay bounded. Defined cases: null text has no words; fewer words than ``width`` keep all; rows with equal doc_id
 are not earlier than each other; a null doc_id comes before all others; an empty table gives an
 empty table; in ``cut_repeats`` other columns pass through.
 """
@@ -36,6 +36,8 @@ from ._text import gather, is_space, slices, spans
 BLOCK = 1 << 19
 #: Words of a document that pass through an automaton at a time.
 PART = 1 << 16
+#: Bytes of a word that automata spell out.
+WORD = 1 << 10
 
 
 def chained(lo: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +75,20 @@ def normal(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return out
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(the words as automata see them, a space after each; their lengths there)."""
+    long = np.flatnonzero(lens > WORD)
+    if not len(long):
+        return normal(data, starts, lens).tobytes(), lens
+    out, seen, at = [], lens.copy(), 0
+    for i in long.tolist():
+        word = data[starts[i] : starts[i] + lens[i]]
+        out += [normal(data, starts[at:i], lens[at:i]).tobytes(), b"\0", hashlib.blake2b(word, digest_size=16).hexdigest().encode(), b" "]
+        seen[i], at = 33, i + 1
+    out.append(normal(data, starts[at:], lens[at:]).tobytes())
+    return b"".join(out), seen
+
+
 def _phrases(width: int):
     """(ka, kb, at, n, phrase) of the passages asked of a document: its words from ``at`` on, a space around each."""
 
@@ -89,7 +105,7 @@ def _phrases(width: int):
                     for a, m in zip(at.tolist(), n.tolist(), strict=True):
                         s = slice(base + a, base + a + m + width - 1)
                         lo, hi = int(starts[s][0]), int(starts[s][-1] + lens[s][-1])
-                        texts.append(normal(data[lo : hi + 8], starts[s] - lo, lens[s]).tobytes())
+                        texts.append(spelled(data[lo : hi + 8], starts[s] - lo, lens[s])[0])
                     each = pa.array(np.full(len(texts), i))
                     yield pa.RecordBatch.from_arrays([ka.take(each), kb.take(each), pairs.field(0), pairs.field(1), pa.array(texts, pa.binary())], names=[*KEY, "at", "n", "phrase"])
 
@@ -141,10 +157,10 @@ class Shard:
             self.ready[part] = made
         return self.ready[part]
 
-    def located(self, number: int, part: int, text: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    def located(self, number: int, part: int, text: bytes, edge: np.ndarray) -> np.ndarray:
         """Which words of a document's part go. ``edge``: the place of the space after each word."""
         made = self.automaton(part)
-        at = [] if made is None else [(end - size + 1, end) for end, (first, size) in made.iter(" " + text.tobytes().decode("latin-1")) if first < number]
+        at = [] if made is None else [(end - size + 1, end) for end, (first, size) in made.iter(" " + text.decode("latin-1")) if first < number]
         d = np.zeros(len(edge) + 1, np.int32)
         if at:
             start, end = np.array(at).T
@@ -160,8 +176,8 @@ def _judged(shard: Shard, number: int, data: np.ndarray, starts: np.ndarray, len
         if part in shard.known:
             s = slice(a, min(len(starts), a + PART + width - 1))
             lo, hi = int(starts[s][0]), int(starts[s][-1] + lens[s][-1])
-            text = normal(data[lo : hi + 8], starts[s] - lo, lens[s])
-            gone[s] |= shard.located(number, part, text, np.cumsum(lens[s] + 1) - 1)
+            text, seen = spelled(data[lo : hi + 8], starts[s] - lo, lens[s])
+            gone[s] |= shard.located(number, part, text, np.cumsum(seen + 1) - 1)
 
     def kept() -> Iterator[bytes]:
         for a in range(0, len(starts), PART):

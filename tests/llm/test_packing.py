@@ -87,3 +87,19 @@ def test_plan_fills_like_best_fit(seed):
 
 def test_empty_table(rows):
     assert packing.pack(rows([(1, "a")]).where("false"), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    with open(PATH, encoding="utf-8") as f:
+        assert packing.by_words(f.read()) and not encoder.by_words
+    texts = ["Two  words", "", "é 漢字 <|endoftext|>", "x" * 3000, "it's\n\tthere "]
+    got = []
+    for _, _, data, off in slices(pa.array(texts), 16):
+        flat, ptr = encoder.encode(data, off)
+        got += [flat[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]

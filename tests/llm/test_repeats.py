@@ -67,6 +67,7 @@ def test_words_against_brute_force(rows, corpus, width):
 def test_small_blocks_give_the_same(rows, corpus, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK", 300)
     monkeypatch.setattr(substring_dedup, "PART", 37)
+    monkeypatch.setattr(substring_dedup, "WORD", 3)
     assert sorted(map(tuple, substring_dedup.repeat_digests(rows(corpus), 12).collect()), key=str) == brute_words(corpus, 12)
 
 
@@ -76,6 +77,16 @@ def test_long_documents_in_parts_give_the_same(rows, corpus, width, monkeypatch)
     monkeypatch.setattr(_repeats, "slices", lambda arr, target=0: suffix_slices(arr, 1))
     got = sorted(map(tuple, suffix_dedup.repeat_digests(rows(corpus), width).collect()), key=str)
     assert got == brute_bytes(corpus, width)
+    if width == 12:
+        got = sorted(map(tuple, substring_dedup.repeat_digests(rows(corpus), width).collect()), key=str)
+        assert got == brute_words(corpus, width)
+
+
+def test_the_automata_decide(rows, corpus, monkeypatch):
+    """Without what they locate nothing is removed."""
+    monkeypatch.setattr(substring_dedup.Shard, "located", lambda self, number, part, text, edge: np.zeros(len(edge), bool))
+    assert sum(x for _, _, x, _ in brute_words(corpus, 12)) > 0
+    assert {r.n_removed for r in substring_dedup.repeat_digests(rows(corpus), 12).collect()} == {0}
 
 
 def test_cut_keeps_columns_and_characters(rows, corpus):
