@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import fresh_path
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
-from ._store import materialize
+from ._store import materialize, release
 from ._text import LOWER, column, gather, hash_spans, slices, spans
 
 BLOCK_BYTES = 2 << 20
@@ -206,8 +206,8 @@ def blocks(benchmark: DataFrame, width: int) -> Iterator[Phrases]:
         yield Phrases([(r.item, r.text) for r in part.select("item", "text").collect()], width)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits). rows: id, ka, kb, n_words of every row of ``docs`` (with id, ka, kb, text). hits: ka, kb, starts,
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, the index that they are read from). rows: id, ka, kb, n_words of every row of ``docs`` (with id, ka, kb, text). hits: ka, kb, starts,
     lens, items, near - the words where phrases start, their numbers of words, the item_ids, and those within ``slop`` - of those that match."""
     if not 0 < width + slop < GAP:
         raise ValueError(f"width and slop stay below {GAP}")
@@ -217,7 +217,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int =
     hits = index.limit(0).mapInArrow(lambda batches: iter(()), HITS)
     for block in blocks(benchmark, width):
         hits = hits.unionByName(index.mapInArrow(_search(context.broadcast(block), slop), HITS))
-    return rows, hits.groupBy(*KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items", "near")])
+    return rows, hits.groupBy(*KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items", "near")]), index
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hit_digests(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 1) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a window within ``slop`` places) of every row."""
-    rows, hits = matches(keyed(docs.select("doc_id", "text")), benchmark, width, slop)
+    rows, hits, _ = matches(keyed(docs.select("doc_id", "text")), benchmark, width, slop)
     doc_id = F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias("doc_id")
     return (
         rows.join(hits, KEY, "left")
@@ -252,5 +252,7 @@ def hit_digests(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
     own = whole(docs)
-    _, hits = matches(own.select("id", *KEY, F.col("row.text").alias("text")), benchmark, width)
-    return own.join(hits.select(*KEY), KEY, "left_anti").select("row.*")
+    _, hits, index = matches(own.select("id", *KEY, F.col("row.text").alias("text")), benchmark, width)
+    hits = materialize(hits.select(*KEY), "hits")
+    release(index)
+    return own.join(hits, KEY, "left_anti").select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import near_copies
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
-from ._store import materialize
+from ._store import materialize, release
 from ._text import column, is_space, spans
 from .components import components
 from .golay import join_keys
@@ -226,6 +226,7 @@ def _first_rows(docs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame
     member = rows.join(named, "f").withColumn("component", F.coalesce("component_id", "f"))
     order = F.struct(F.when(F.col("id") == NO_ID, 1).otherwise(0).alias("none"), "id", *KEY)
     chosen = member.groupBy(F.col("component_id").isNull(), "component").agg(F.min(order).alias("best")).select(*[f"best.{k}" for k in KEY])
+    chosen = materialize(chosen, "chosen")
     # copies of one row have equal keys; one of them stays (tasks cut to rank 1 before the shuffle)
     once = F.row_number().over(W.partitionBy(*KEY).orderBy("id"))
     return whole(docs).join(chosen, KEY, "left_semi").withColumn("n", once).where("n = 1").select("row.*")
@@ -235,7 +236,9 @@ def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (a null one only if there is
     no other; of several with that doc_id, one)."""
     rows = materialize(fingerprints(docs, size), "fingerprints")
-    return _first_rows(docs, rows, _named(rows))
+    kept = _first_rows(docs, rows, _named(rows))
+    release(rows)
+    return kept
 
 
 def keep_unlike(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -243,5 +246,7 @@ def keep_unlike(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     rows = materialize(near_copies.sketches(docs, size), "sketches")
     chosen = rows.groupBy("f").agg(F.min(F.struct("id", *KEY)).alias("one")).select("f", "one.*")
     found = near_copies.links(rows.select("f", "bits").distinct(), docs, chosen, size, least)
-    rows = rows.select("id", *KEY, "f")
-    return _first_rows(docs, rows, _named(rows, found))
+    names = rows.select("id", *KEY, "f")
+    kept = _first_rows(docs, names, _named(names, found))
+    release(rows)
+    return kept

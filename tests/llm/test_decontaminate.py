@@ -59,8 +59,8 @@ def test_against_brute_force(spark, rows, tables, width, candidates, block, monk
 def test_proximity(spark, rows):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = decontaminate.keyed(rows([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha x y z beta gamma")]))
-    _, exact = decontaminate.matches(docs, bench, 10)
-    _, near = decontaminate.matches(docs, bench, 10, slop=1)
+    _, exact, _ = decontaminate.matches(docs, bench, 10)
+    _, near, _ = decontaminate.matches(docs, bench, 10, slop=1)
     names = {(r.ka, r.kb): r.id for r in docs.collect()}
     told = lambda hits, c: sorted(names[r.ka, r.kb] for r in hits.collect() if r[c])
     assert told(exact, "items") == [1] == told(near, "items") and told(near, "near") == [1, 2]
