@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._rows import KEY, KEYS, texts_of
 from ._store import materialize, release
-from ._text import column, gather, hash_spans, is_space, loads, mix, slices, spans
+from ._text import column, gather, hash_spans, is_space, loads, mix, slices, spans, tidied
 
 #: Low bits of a packed (bucket identifier, place) pair; a slice of documents has fewer units.
 PLACE_BITS = 30
@@ -175,6 +175,7 @@ def _anchor_rows(unit: Unit, named: bool):
     has the document's key, and with ``named`` its id before that."""
     lead = 3 if named else 2
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [batch.column(k).to_numpy() for k in range(lead)]
@@ -216,6 +217,7 @@ def _group_rows(unit: Unit, named: bool):
     group = GROUP if unit.width >= 4 * GROUP else 1
     core = unit.width - group + 1
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {name: k for k, name in enumerate(batch.schema.names)}

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import tidied
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -140,6 +142,7 @@ def format_turns(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """(conv_id, turn, place, segments, broken): one row per turn, ordered within each task; ``broken`` says
     that the turn may not follow the one before it. A conversation's formatted text is its segments' texts, in order."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fmt, machine, current = Formatter(template), Machine(template), object()
         kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
@@ -188,6 +191,7 @@ def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "first_violation"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fmt, now = Formatter(template), None
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..sources.files import fresh_path
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
 from ._store import materialize, release
-from ._text import LOWER, column, gather, hash_spans, slices, spans
+from ._text import LOWER, column, gather, hash_spans, slices, spans, tidied
 
 BLOCK_BYTES = 2 << 20
 SEGMENT_BYTES = 1 << 19
@@ -78,6 +78,7 @@ class Phrases:
 SEGMENT = "id array<long>, ka array<long>, kb array<long>, n_words array<long>, terms array<long>, counts array<int>, gaps array<int>"
 
 
+@tidied
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def one(x: np.ndarray, kind) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(kind, copy=False)))
@@ -160,6 +161,7 @@ def _search(shared, slop: int):
         which = np.searchsorted(doc, docs, side="left"), np.searchsorted(doc, docs, side="right")
         return pa.array([sorted({x for p in np.unique(phrase[a:b]).tolist() for x in block.items[p]}) for a, b in zip(*which, strict=True)], pa.list_(pa.string()))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -220,6 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int =
     return rows, hits.groupBy(*KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items", "near")]), index
 
 
+@tidied
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_hit, n_items, n_near, sha = [], [], [], []

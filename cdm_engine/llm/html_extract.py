@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import tidied
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -473,6 +475,7 @@ def extract(pages: DataFrame, model: Model | None = None, threshold: float = 0.5
     """page_id, url, text, n_chars, n_blocks, n_kept of every page."""
     state = (model or default_model()).state()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*state)
         for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._rows import KEY, keyed
-from ._text import K3, column, cut_words, gather, hash_spans, mix, slices, spans
+from ._text import K3, column, cut_words, gather, hash_spans, mix, slices, spans, tidied
 
 SAMPLE_ROWS = 500
 #: Bytes of text that fitting holds on the driver.
@@ -290,6 +290,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER, mar
 
 
 def _predict(shared):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, limits, temperature = shared.value
         models = Models.of(state)

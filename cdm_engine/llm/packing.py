@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._store import materialize
-from ._text import column, cut_words, gather, hash_spans, slices
+from ._text import column, cut_words, gather, hash_spans, slices, tidied
 
 # The parts of a tokenizer's description that make it cut words as ``cut_words`` does.
 WORDS = {
@@ -56,7 +56,7 @@ def by_words(vocabulary: str) -> bool:
 
 
 #: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordEncoder:
@@ -134,6 +134,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int, keep_ids: bool):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, task = WordEncoder(vocabulary), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
@@ -230,6 +231,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 
 
 def _placed(p: Plan):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: k for k, n in enumerate(batch.schema.names)}

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._rows import NO_ID
 from ._store import materialize
-from ._text import K3, LOWER, column, hash_spans, is_space, mix, slices, spans
+from ._text import K3, LOWER, column, hash_spans, is_space, mix, slices, spans, tidied
 
 BITS = 256
 SIZE = 2
@@ -104,6 +104,7 @@ def hexed(f: np.ndarray) -> list[str]:
 def fingerprints(docs: DataFrame, bits: int = BITS, size: int = SIZE) -> DataFrame:
     """(doc_id, fingerprint) of every row, as hexadecimal digits."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hexed(fingerprint_texts(column(batch, "text"), bits, size)), pa.string())], names=["doc_id", "fingerprint"])
@@ -142,6 +143,7 @@ def _tables(bits: int, blocks: int):
     """(key, f, n) of each fingerprint and block, and (key, f, 0) of each asking one's block and of all that lie one
     bit from it. f is the fingerprint's lanes of 64 bits."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -174,6 +176,7 @@ def _counts(bits: int, radius: int, blocks: int):
         hit = np.flatnonzero(np.bitwise_count(d).sum(axis=1, dtype=np.int64) <= radius)
         return hit, np.array([np.bitwise_count(d[hit] & m).sum(axis=1) <= 1 for m in masks]).reshape(len(masks), -1).argmax(axis=0)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, np.zeros((0, bits // 64), np.uint64)
         for batch in batches:
@@ -284,6 +287,7 @@ def _compare(bits: int, size: int):
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # the last row that waits for its next one
         ready: list[tuple] = []

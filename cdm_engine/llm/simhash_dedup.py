@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import near_copies
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
 from ._store import materialize, release
-from ._text import column, is_space, spans
+from ._text import column, is_space, spans, tidied
 from .components import components
 from .golay import join_keys
 
@@ -93,6 +93,7 @@ def hash_pieces(text: bytes, size: int) -> Iterator[np.ndarray]:
 def _fingerprints(size: int):
     """Appends the fingerprint ``f`` to whatever columns stand before ``text``."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
@@ -119,6 +120,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return keyed(docs.select("doc_id", "text")).select("id", *KEY, "text").mapInArrow(_fingerprints(size), f"id long, {KEYS}, f long")
 
 
+@tidied
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
@@ -156,6 +158,7 @@ def _ball(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(f, 65), (u[:, None] ^ flips).ravel().view(np.int64)
 
 
+@tidied
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key: links (a, b), with ``through`` where b is only a neighbour in common."""
 

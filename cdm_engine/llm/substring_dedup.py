@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._repeats import Unit, repeated
 from ._rows import KEY, keyed, texts_of, whole
 from ._store import materialize, release
-from ._text import gather, is_space, slices, spans
+from ._text import gather, is_space, slices, spans, tidied
 
 #: Bytes of text in a block of documents, on average.
 BLOCK = 1 << 19
@@ -55,6 +55,7 @@ def chained(lo: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return part, at[head][which] + start - first[which], np.minimum(end[which], (part + 1) * PART) - start
 
 
+@tidied
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = batch.column(4)
@@ -92,6 +93,7 @@ def spelled(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[byt
 def _phrases(width: int):
     """(ka, kb, at, n, phrase) of the passages asked of a document: its words from ``at`` on, a space around each."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ka, kb = (batch.column(batch.schema.get_field_index(k)) for k in KEY)
@@ -213,6 +215,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
 
 
 def _digests(width: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, judged in _blocks(batches, width):
             total, removed, sha = [], [], []
@@ -243,6 +246,7 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     out; texts that lose words have their other words joined by one space, the rest stay as they are."""
     names = docs.columns
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, judged in _blocks(batches, width):
             row = rows.column(rows.schema.get_field_index("row"))

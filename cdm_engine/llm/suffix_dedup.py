@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._repeats import Unit, cover, unpack, with_runs
 from ._rows import KEY, keyed, texts_of, whole, with_text
-from ._text import buffers
+from ._text import buffers, tidied
 
 
 def _masks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -40,6 +40,7 @@ def _masks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def _digests(width: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(len(d), int(g.sum()), int((g[1:] & ~g[:-1]).sum()) + int(g[:1].any()), hashlib.sha256(d[~g].tobytes() if g.any() else d).hexdigest()) for _, d, g in _masks(batch, width)]
@@ -73,6 +74,7 @@ def repeat_digests(docs: DataFrame, width: int = 200) -> DataFrame:
 def cut_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, where there is one) after the repeats are taken out.
     Rows stay, also those of which nothing is left."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield with_text(batch, *_cut(batch, width))
