@@ -32,7 +32,8 @@ assert e.queries() and "pipeline" not in e.queries() and not any(q.startswith("o
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT})
     missing = code.replace('name.startswith("cdm_engine.llm") or name == "corpus_pipeline"', 'name == "xxhash"')
     failed = subprocess.run([sys.executable, "-c", missing], cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True)
-    assert not os.path.isdir(os.path.join(ROOT, "cdm_engine/llm")) or "xxhash" in failed.stderr.splitlines()[-1]
+    if os.path.isfile(os.path.join(ROOT, "cdm_engine/llm/queries.py")):  # what the subpackage needs is missed aloud
+        assert failed.returncode and "xxhash" in failed.stderr.splitlines()[-1]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
