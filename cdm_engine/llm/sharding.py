@@ -146,6 +146,15 @@ def row_size() -> Column:
     return (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
 
 
+#: Rows of a plan up to which it is broadcast; a larger one (very many files) is joined by a shuffle.
+SMALL = 1 << 17
+
+
+def _plan_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= SMALL else table
+
+
 def _read(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).parquet(*paths)
 
@@ -166,7 +175,7 @@ def old_shards(table: DataFrame) -> dict[str, int]:
 def _blocked(table: DataFrame, shards: dict[str, int], blocks: int) -> DataFrame:
     """(row, block): the blocks of a file are numbered from its own first one."""
     each = max(1, blocks // max(1, len(shards)))
-    numbers = table.sparkSession.createDataFrame([(f, k * each) for k, f in enumerate(sorted(shards))], "file string, first long")
+    numbers = _plan_table(table.sparkSession, [(f, k * each) for k, f in enumerate(sorted(shards))], "file string, first long")
     block = F.col("first") + F.pmod(F.xxhash64(F.substring_index("file", "/", -1), "place"), F.lit(each))
     return _placed(table).join(numbers, "file").select("row", block.alias("block"))
 
@@ -201,7 +210,7 @@ def reshard(spark: SparkSession, source: str, new: int, target: str | None = Non
     affected = sorted({plan.target[b] for b in moved} | {old[b] for b in moved if old[b] < new})
     found = Resharded(plan, affected, {}, {f: shards[f] for f in files if shards[f] < new and shards[f] not in affected})
     if affected:
-        where = spark.createDataFrame([(b, shard) for b, shard in plan.target.items() if shard in set(affected)], "block long, shard int")
+        where = _plan_table(spark, [(b, shard) for b, shard in plan.target.items() if shard in set(affected)], "block long, shard int")
         to = "shard" + uuid.uuid4().hex  # no column has this name
         out = rows.join(where, "block").select("row.*", F.col("shard").alias(to))
         made = fresh_path(spark, "shards") if target else f"{source.rstrip('/')}/_new-{uuid.uuid4().hex}"
@@ -235,7 +244,7 @@ def contents(spark: SparkSession, source: str, found: Resharded) -> DataFrame:
         shard = found.kept[f] if f in found.kept else int(_FOLDER.search(f)[1])
         bases.append((f, shard, before.get(shard, 0)))
         before[shard] = before.get(shard, 0) + n
-    bases = spark.createDataFrame(bases, "file string, shard int, base long")
+    bases = _plan_table(spark, bases, "file string, shard int, base long")
     return rows.join(bases, "file").select("row", "shard", (F.col("base") + F.col("place")).alias("slot"))
 
 
