@@ -101,3 +101,64 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hi
     sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)
 """
+
+#: floor(s / n) of whole numbers, also negative ones.
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round spelled out: all distances to all centroids, then the means by component."""
+    nearest = lambda i: (
+        f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, cluster := cluster)) AS m FROM (SELECT r, cluster, "
+        f"list_sum([(kept.v[j] - c{i}.v[j]) * (kept.v[j] - c{i}.v[j]) for j in range(1, 65)]) AS d FROM kept, c{i}) GROUP BY r)"
+    )
+    steps = []
+    for i in range(rounds):
+        steps += [
+            nearest(i),
+            f"s{i} AS (SELECT cluster, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT m.cluster AS cluster, unnest(v) AS x, unnest(range(64)) AS j FROM a{i} JOIN kept USING (r)) GROUP BY cluster, j)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT cluster, list({_FLOOR} ORDER BY j) AS v FROM s{i} GROUP BY cluster) AS m USING (cluster))",
+        ]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))]) = 64
+), c0 AS MATERIALIZED (
+    SELECT CAST(place - 1 AS INTEGER) AS cluster, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) AS place FROM kept) WHERE place <= {k}
+), {", ".join(steps)}, {nearest(rounds)}, per AS (
+    SELECT m.cluster AS cluster, CAST(sum(m.d) AS BIGINT) AS cluster_inertia, count(*) AS cluster_size FROM a{rounds} GROUP BY 1
+)
+SELECT vec_id, cluster, CAST(m.d AS BIGINT) AS distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM per) AS BIGINT) AS inertia,
+    sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256, cluster_size
+FROM a{rounds} JOIN kept USING (r) JOIN per ON per.cluster = m.cluster JOIN c{rounds} USING (cluster)
+"""
+
+
+def op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round spelled out: all distances of a part to all entries of its codebook, then the means by component."""
+    nearest = lambda i: (
+        f"a{i} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS m FROM (SELECT r, p, e, "
+        f"list_sum([(w[j] - c[j]) * (w[j] - c[j]) for j in range(1, len(w) + 1)]) AS d FROM cut JOIN c{i} USING (p)) GROUP BY r, p)"
+    )
+    steps = []
+    for i in range(rounds):
+        steps += [
+            nearest(i),
+            f"s{i} AS (SELECT p, e, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT p, m.e AS e, unnest(w) AS x, unnest(range(len(w))) AS j FROM a{i} JOIN cut USING (r, p)) GROUP BY p, e, j)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c{i}.p, c{i}.e, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT p, e, list({_FLOOR} ORDER BY j) AS c FROM s{i} GROUP BY p, e) AS m USING (p, e))",
+        ]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))]) = len(embedding)
+), cut AS MATERIALIZED (
+    SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS w FROM (SELECT r, v, unnest(range({parts})) AS p FROM kept)
+), c0 AS MATERIALIZED (
+    SELECT p, place - 1 AS e, w AS c FROM cut JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS place FROM kept) USING (r) WHERE place <= {entries}
+), {", ".join(steps)}, {nearest(rounds)}, coded AS (
+    SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256, label
+FROM coded JOIN kept USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.files import fresh_path
-from . import chat, decontaminate, html_extract, langid, oracles, packing, sharding, simhash, simhash_dedup, substring_dedup, suffix_dedup
+from . import ball_tree, chat, decontaminate, html_extract, langid, oracles, packing, passage_quality, sharding, simhash, simhash_dedup, substring_dedup, suffix_dedup, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_fingerprints": op1_simhash_fingerprints,
@@ -79,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_quality_classifier": op12_quality_classifier,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -88,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": oracles.OP8_SQL,
         "op9_suffix_dedup": oracles.OP9_SQL,
         "op10_decontaminate": oracles.OP10_SQL,
+        "op11_centroid_clustering": oracles.op11_sql(),
+        "op13_vector_codes": oracles.op13_sql(),
     }
