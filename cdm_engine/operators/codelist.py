@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import saved
+
 #: Hierarchical coding systems, in which a study code stands for all codes that it begins.
 PREFIX_SYSTEMS = ("ICD10CM", "ICD10", "ICD10DA", "ICD9CM", "MTHICD9", "ICPC", "ICPC2P", "ICPC2EENG", "ATC")
 
@@ -22,58 +24,111 @@ def _checked(df: DataFrame, what: str, needed: list[str]) -> DataFrame:
     return df
 
 
-def match_codelist(found: DataFrame, codelist: DataFrame, prefix_systems: tuple[str, ...] = PREFIX_SYSTEMS, priority: str = "priority", position: str | None = None) -> DataFrame:
+class ExplosiveMatch(ValueError):
+    """Equal codes on both sides would multiply beyond the limit."""
+
+
+#: Codes that a refusal names.
+TOP = 5
+
+
+def _per_code(data: DataFrame, study: DataFrame) -> DataFrame:
+    """(coding_system, code, n, m, rows): rows of each code on either side and in a join of them. Each side is counted per code
+    where it lies; the counts meet in one aggregate, and nothing is joined."""
+    none = F.lit(0).cast("long")
+    n, m = (df.groupBy("coding_system", "code").agg(F.count(F.lit(1)).alias("c")) for df in (data, study))
+    both = n.select("coding_system", "code", F.col("c").alias("n"), none.alias("m")).unionAll(m.select("coding_system", "code", none.alias("n"), F.col("c").alias("m")))
+    return both.groupBy("coding_system", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("rows", F.col("n").cast("decimal(19,0)") * F.col("m"))
+
+
+def predict_exact(data: DataFrame, study: DataFrame) -> DataFrame:
+    """One row: the rows on either side (``data_rows``, ``study_rows``) and those that a join on equal codes (NULL equals NULL) would
+    have (``predicted``). Both sides have coding_system and code."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    return _per_code(data, study).agg(total("n")("data_rows"), total("m")("study_rows"), total("rows")("predicted"))
+
+
+def check_exact(data: DataFrame, study: DataFrame, max_rows: int | None = None) -> int:
+    """The predicted rows of the exact join. More than ``max_rows``, by default the rows of both sides together, is an ExplosiveMatch."""
+    r = predict_exact(data, study).first()
+    limit = int(r.data_rows + r.study_rows) if max_rows is None else max_rows
+    if r.predicted > limit:
+        top = _per_code(data, study).orderBy(F.desc("rows"), "coding_system", "code").limit(TOP).collect()
+        raise ExplosiveMatch(f"equal codes would give {r.predicted} rows of {r.data_rows} and {r.study_rows}; the limit is {limit} (most from {', '.join(f'{h.coding_system} {h.code}: {h.rows}' for h in top)})")
+    return int(r.predicted)
+
+
+def match_codelist(
+    found: DataFrame, codelist: DataFrame, prefix_systems: tuple[str, ...] = PREFIX_SYSTEMS, priority: str = "priority", position: str | None = None, guard: bool = True, max_rows: int | None = None
+) -> DataFrame:
     """Each code of the data with its study codes, each code of either side without one, and a status.
 
     Exact systems: equal codes (NULL equals NULL), all concepts kept. Prefix systems: a code is expanded
     to its prefixes of lengths that occur among study codes and hash-joined; per code, concept and system
     the longest study code stays, then the lowest priority (NULL first), then the first listed
-    (``position``, a column of the codelist; else its order).
+    (``position``, a column of the codelist; else its order). ``guard``: exact codes that would multiply beyond ``max_rows`` are refused
+    before they are joined (``check_exact``).
+
+    Both inputs are read once and written to the shared folder (an inventory has a row per distinct code, not per record). One outer
+    join on (system, code or prefix) finds matches and data codes alone; a window over each data code, which has few rows,
+    picks its study codes. Codes of the list that no data code picked are found by an anti-join with the picked ones, as many
+    data codes may meet in one study code.
     """
     found = _checked(found, "the data's codes", ["coding_system", "code", "COUNT", "source_column"])
     codelist = _checked(codelist, "the codelist", ["coding_system", "code", "concept_id"])
-    data = found.select("coding_system", F.col("code").alias("data_code"), "COUNT", "source_column")
-    study = codelist.select(
-        F.col("coding_system").alias("study_system"),
-        F.col("code").alias("study_code"),
-        "concept_id",
-        (F.col("tags") if "tags" in codelist.columns else F.lit(None).cast("string")).alias("tags"),
-        (F.col(priority) if priority in codelist.columns else F.lit(1)).alias("rank"),
-        (F.col(position) if position else F.monotonically_increasing_id()).alias("place"),
-        F.length("code").alias("study_length"),
-    )
-    hierarchical = lambda c: F.coalesce(F.col(c).isin(*prefix_systems), F.lit(False))
-    exact = data.where(~hierarchical("coding_system")).join(
-        study.where(~hierarchical("study_system")),
-        F.col("coding_system").eqNullSafe(F.col("study_system")) & F.col("data_code").eqNullSafe(F.col("study_code")),
-    )
-    lengths = study.where(hierarchical("study_system")).agg(F.sort_array(F.collect_set("study_length"))).scalar()
-    prefixes = (
-        data.where(hierarchical("coding_system") & F.col("data_code").isNotNull())
-        .withColumn("lengths", lengths)
-        .withColumn("prefix_length", F.explode(F.filter("lengths", lambda n: n <= F.length("data_code"))))
-        .withColumn("prefix", F.expr("substring(data_code, 1, prefix_length)"))
-        .drop("lengths")
-    )
-    best = W.partitionBy("coding_system", "data_code", "concept_id").orderBy(F.desc("study_length"), F.asc_nulls_first("rank"), "place", F.desc("COUNT"), "source_column")
-    longest = (
-        prefixes.join(study.where(hierarchical("study_system")), (F.col("coding_system") == F.col("study_system")) & (F.col("prefix") == F.col("study_code")))
-        .withColumn("n", F.row_number().over(best))
-        .where("n = 1")
+    data = saved(found.select("coding_system", "code", "COUNT", "source_column"), "inventory")
+    study = saved(
+        codelist.select(
+            "coding_system",
+            "code",
+            "concept_id",
+            (F.col("tags") if "tags" in codelist.columns else F.lit(None).cast("string")).alias("tags"),
+            (F.col(priority) if priority in codelist.columns else F.lit(1)).alias("rank"),
+            (F.col(position) if position else F.monotonically_increasing_id()).alias("place"),
+        ),
+        "codelist",
     )
-    columns = ["coding_system", "COUNT", "source_column", "data_code", "concept_id", "study_code", "tags", "rank", "study_length"]
-    matched = exact.select(*columns).unionByName(longest.select(*columns))
-    hit = matched.select(F.col("coding_system").alias("s"), F.col("data_code").alias("d"), F.col("study_code").alias("c"))
-    only_data = data.join(hit, F.col("coding_system").eqNullSafe(F.col("s")) & F.col("data_code").eqNullSafe(F.col("d")), "left_anti")
-    only_study = study.join(hit, F.col("study_system").eqNullSafe(F.col("s")) & F.col("study_code").eqNullSafe(F.col("c")), "left_anti")
-    status = lambda df, text: df.withColumn("match_status", F.lit(text))
-    out = (
-        status(matched, MATCHED)
-        .unionByName(status(only_data, ONLY_IN_DATA), allowMissingColumns=True)
-        .unionByName(status(only_study.withColumnRenamed("study_system", "coding_system").drop("place"), ONLY_IN_CODELIST), allowMissingColumns=True)
-    )
-    return out.select(
+    hierarchical = F.coalesce(F.col("coding_system").isin(*prefix_systems), F.lit(False))
+    if guard:
+        check_exact(data.where(~hierarchical), study.where(~hierarchical), max_rows)
+    pairs = saved(_paired(data, study, hierarchical), "matches")
+    picked = pairs.where("picked").select(F.col("study_system").alias("s"), F.col("study_code").alias("c")).distinct()
+    out = ["coding_system", "COUNT", "source_column", "data_code", "concept_id", "study_code", "tags", "rank", "study_length"]
+    from_data = pairs.where("picked").select(*out, F.lit(MATCHED).alias("match_status"))
+    alone = pairs.where("not any_picked and first_of_row").select(*out[:4], *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in out[4:]], F.lit(ONLY_IN_DATA).alias("match_status"))
+    listed = study.join(picked, F.col("coding_system").eqNullSafe(F.col("s")) & F.col("code").eqNullSafe(F.col("c")), "left_anti")
+    unused = listed.select(
+        "coding_system", F.lit(None).cast("long").alias("COUNT"), *[F.lit(None).cast("string").alias(c) for c in ("source_column", "data_code")], "concept_id", F.col("code").alias("study_code"), "tags", "rank",
+        F.length("code").alias("study_length"), F.lit(ONLY_IN_CODELIST).alias("match_status"),
+    )
+    return from_data.unionByName(alone).unionByName(unused).select(
         "coding_system", "COUNT", "source_column", F.col("data_code").alias("code.dap_codes"), "concept_id", F.col("study_code").alias("code.codelist"), "tags",
         F.col("rank").alias(priority), F.col("study_length").alias("length_str"),
         F.when(F.col("match_status") == MATCHED, F.col("data_code")).alias("code"), "match_status",
     )
+
+
+def _paired(data: DataFrame, study: DataFrame, hierarchical: Column) -> DataFrame:
+    """Data codes and study codes, joined once: ``picked`` pairs are matches; ``any_picked``: the data code has one; ``first_of_row``
+    marks one row for each row of the data."""
+    lengths = study.where(hierarchical).agg(F.sort_array(F.collect_set(F.length("code")))).scalar()
+    # What is equal in a match: no part is NULL, and a NULL code of a prefix system equals none.
+    way = lambda side: F.when(~hierarchical, F.lit("exact")).when(F.col("code").isNotNull(), F.lit("prefix")).otherwise(F.lit(side))
+    key = lambda code: [F.coalesce("coding_system", F.lit("")).alias("key_system"), F.col("coding_system").isNull().alias("no_system"), F.coalesce(code, F.lit("")).alias("key"), code.isNull().alias("no_code")]
+    wanted = F.when(hierarchical & F.col("code").isNotNull(), F.filter(F.col("lengths"), lambda n: n <= F.length("code"))).otherwise(F.array(F.lit(None).cast("int")))
+    expanded = data.withColumns({"lengths": lengths, "data_id": F.monotonically_increasing_id()}).withColumn("cut", F.explode_outer(wanted))
+    # an expanded row without a prefix (no study code is as short) matches nothing, but stays
+    text = F.when(F.col("cut").isNotNull(), F.expr("substring(code, 1, cut)")).otherwise(F.col("code"))
+    kind = F.when(hierarchical & F.col("code").isNotNull() & F.col("cut").isNull(), F.lit("none")).otherwise(way("data")).alias("way")
+    left = expanded.select(kind, *key(text), F.struct("coding_system", F.col("code").alias("data_code"), "COUNT", "source_column", "data_id", "cut").alias("d"))
+    right = study.select(way("study").alias("way"), *key(F.col("code")), F.struct("coding_system", "code", "concept_id", "tags", "rank", "place").alias("s"))
+    both = left.join(right, ["way", "key_system", "no_system", "key", "no_code"], "left")
+    flat = both.select(
+        "way", "d.*", F.col("s.coding_system").alias("study_system"), F.col("s.code").alias("study_code"), "s.concept_id", "s.tags", "s.rank", "s.place", F.length("s.code").alias("study_length"), F.col("s").isNotNull().alias("hit")
+    )
+    code = ["coding_system", "data_code"]
+    best = W.partitionBy(*code, "concept_id", "hit").orderBy(F.desc("study_length"), F.asc_nulls_first("rank"), "place", F.desc("COUNT"), "source_column")
+    ranked = flat.withColumn("n", F.when(F.col("hit") & (F.col("way") == "prefix"), F.row_number().over(best)))
+    picked = F.col("hit") & ((F.col("way") == "exact") | (F.col("n") == 1))
+    first = F.row_number().over(W.partitionBy(*code, "data_id").orderBy("cut", "place")) == 1
+    return ranked.withColumn("picked", picked).withColumns({"any_picked": F.max("picked").over(W.partitionBy(*code)), "first_of_row": first})

@@ -6,8 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JError, Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 _FRESH: dict[str, SparkSession] = {}
 
@@ -38,6 +38,38 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         stream.close()
 
 
+def get(spark: SparkSession, path: str) -> bytes:
+    """A small file's content."""
+    p, fs = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none if it doesn't exist."""
+    p, fs = _at(spark, path)
+    return sorted(s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else []))
+
+
+def publish(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file to a name that nothing has yet; False if another writer had the name first. Readers see the whole
+    file or none (wherever the file system's rename is atomic)."""
+    jvm = spark._jvm
+    (p, fs), (to, _) = _at(spark, source), _at(spark, target)
+    p, to = fs.makeQualified(p), fs.makeQualified(to)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(p, to, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     p, fs = _at(spark, source)
     to, _ = _at(spark, target)
@@ -72,6 +104,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows neither computes it again nor depends on one executor."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _clean() -> None:
     for path, spark in list(_FRESH.items()):
         try:

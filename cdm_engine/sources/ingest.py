@@ -2,59 +2,71 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from dataclasses import replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_text
-from ..operators.conform import Diagnostics, conform
+from ..operators.conform import IMPOSSIBLE, Diagnostics, conform
 from ..spec import TableSpec
-from ..store import ROW_SEQ, Store
+from ..store import ROW_SEQ, Store, observed
 from .discovery import choose
+from .manifest import Version
+from .records import ends_inside, records, relative, survey_blocks
 
 
-def survey_lines(spark: SparkSession, paths: list[str]) -> set[str]:
-    """The files (as Spark names them) in which quoted fields hold line ends: those with a line that has an odd number of quotes.
-    Bytes that aren't UTF-8, which Spark would replace, are an error. One job that reads all files once, beside
-    the reading of their rows."""
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("open"))
-    found = lines.groupBy("file").agg(F.every("valid").alias("valid"), F.some(F.coalesce("open", F.lit(False))).alias("open")).collect()
-    for r in found:
-        if not r.valid:
-            raise ValueError(f"{r.file}: not UTF-8")
-    return {r.file for r in found if r.open}
-
-
-def _header(spark: SparkSession, path: str) -> str:
+def _first_record(spark: SparkSession, path: str) -> str:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     try:
-        return (reader.readLine() or "").lstrip("﻿")
+        text, inside = None, True
+        while inside and (line := reader.readLine()) is not None:
+            inside = ends_inside(line, text is not None)
+            text = line if text is None else f"{text}\n{line}"
+        return (text or "").lstrip("\ufeff")
     finally:
         reader.close()
 
 
-def _order(row: Column, block: Column) -> Column:
-    """Rows are ordered by file name, then as they stand in the file."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row")).alias(ROW_SEQ)
+def column_names(header: str) -> list[str]:
+    """The fields of a header; one without a name is called by its place, names that repeat get their place behind them."""
+    fields = next(csv.reader(io.StringIO(header, newline="")), [])
+    fold = [f.lower() for f in fields]
+    return [f"_c{k}" if not f else f"{f}{k}" if fold.count(f.lower()) > 1 else f for k, f in enumerate(fields)]
+
+
+def _folder_uri(spark: SparkSession, folder: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getRawPath().rstrip("/")
 
 
-def read_csv(spark: SparkSession, paths: list[str], across_lines: bool = False) -> DataFrame:
-    """Files with the same header. All columns are text; NA is NULL and an empty field is ''. Adds the order of rows.
-    ``across_lines``: quoted fields may hold line ends; such files can't be split between tasks."""
-    raw = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).option("multiLine", across_lines).csv(paths)
-    return raw.select(*[csv_text(F.col(f"`{c}`")).alias(c) for c in raw.columns], _order(F.monotonically_increasing_id(), F.col("_metadata.file_block_start")))
+def _order(file: Column, row: Column) -> Column:
+    """Rows are ordered by the file's name below the instance's folder, then as they stand in the file, however files are split."""
+    return F.struct(file.alias("file"), row.cast("long").alias("row")).alias(ROW_SEQ)
 
 
-def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: list[str], root: str, header: str, blocks: DataFrame) -> DataFrame:
+    """Files with the same header below a folder (``root``, its path in URIs). All columns are text; NA is NULL and an empty field is ''.
+    Adds the order of rows. Quoted fields may hold line ends; files are split between tasks all the same."""
+    names = column_names(header)
+    line = F.when(F.endswith("record", F.lit("\r")), F.expr("left(record, length(record) - 1)")).otherwise(F.col("record"))
+    row = F.from_csv(line, ", ".join(f"c{k} string" for k in range(len(names))), {"escape": '"'}).alias("fields")
+    parsed = records(spark, paths, root, blocks).where("row > 0").select("file", "row", row)  # the header is record 0
+    return parsed.select(*[csv_text(F.col(f"fields.c{k}")).alias(n) for k, n in enumerate(names)], _order(F.col("file"), F.col("row")))
+
+
+def read_parquet(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     raw = spark.read.option("mergeSchema", True).parquet(*paths)
-    return raw.select(*[F.col(f"`{c}`") for c in raw.columns], _order(F.col("_metadata.row_index"), F.lit(0).cast("long")))
+    about = raw.metadataColumn("_metadata")  # a data column may have that name
+    return raw.select(*[F.col(f"`{c}`") for c in raw.columns], _order(relative(about.getField("file_path"), root), about.getField("row_index")))
 
 
 def _aligned(parts: list[DataFrame]) -> list[DataFrame]:
@@ -67,42 +79,55 @@ def _aligned(parts: list[DataFrame]) -> list[DataFrame]:
     return [p.withColumns({c: F.col(f"`{c}`").cast("string") for c in p.columns if c in mixed}) for p in parts]
 
 
-def read_files(spark: SparkSession, files: list[str], ext: str) -> DataFrame:
-    """One table of several files, matched by name: the first file's columns, then what others add.
+def read_files(spark: SparkSession, files: list[str], ext: str, folder: str) -> DataFrame:
+    """One table of several files below a folder, matched by name: the first file's columns, then what others add.
 
-    CSV files that begin with the same header are read together (those with line ends in quoted fields by themselves); a
-    common reading of different ones would match columns by position. Parquet files are read together unless a column's types conflict.
+    CSV files that begin with the same header are read together; a common reading of different ones would match columns by
+    position. Parquet files are read together unless a column's types conflict.
     """
+    root = _folder_uri(spark, folder)
     if ext == "csv":
-        jvm = spark._jvm
-        across = {jvm.java.net.URI(f).getPath() for f in survey_lines(spark, files)}  # Spark names files by escaped URIs
-        groups: dict[tuple[str, bool], list[str]] = {}
+        groups: dict[str, list[str]] = {}
         for f in files:
-            groups.setdefault((_header(spark, f), jvm.org.apache.hadoop.fs.Path(f).toUri().getPath() in across), []).append(f)
-        parts = [read_csv(spark, g, wide) for (_, wide), g in groups.items()]
+            groups.setdefault(_first_record(spark, f).rstrip("\r"), []).append(f)
+        parts = [read_csv(spark, g, root, header, survey_blocks(spark, g, root)) for header, g in groups.items()]
     else:
         try:
-            parts = [read_parquet(spark, files)]
+            parts = [read_parquet(spark, files, root)]
         except (PySparkException, Py4JJavaError):  # types that do not merge
-            parts = _aligned([read_parquet(spark, [f]) for f in files])
+            parts = _aligned([read_parquet(spark, [f], root) for f in files])
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ROW_SEQ], ROW_SEQ)
 
 
 def load_tables(store: Store, folder: str, specs: dict[str, TableSpec], tables: list[str] | None = None, file_format: str = "auto", strict_dates: bool = True, save_to: str | None = None, notes: Diagnostics | None = None) -> Diagnostics:
     """Loads each table that has files and conforms it to its specification; others are noted and skipped.
-    ``save_to``: a folder to which the loaded tables are written, so that the order of rows stays the same
-    however later jobs split the files (ids and keep-first depend on it)."""
+
+    Tables are written as they are loaded to a folder ``save_to``, or, if the store is a database, to it: all of them in one new
+    state. What conforming changed is counted by the job that writes a table (``notes.counts``); tables that aren't written count nothing."""
     notes = notes if notes is not None else Diagnostics()
+    made: dict[str, Version] = {}
     for t in tables if tables is not None else list(specs):
         ext, files = choose(store.spark, folder, t, file_format)
         if not files:
             notes.add("warning", t, "no files")
             continue
-        df = read_files(store.spark, files, ext)
-        store.put(t, conform(df, specs[t], ext, strict_dates, notes) if t in specs else df)
-        if t not in specs:
+        df, counted = read_files(store.spark, files, ext, folder), Observation(f"load {t}")
+        if t in specs:
+            df = conform(df, specs[t], ext, strict_dates, notes, counted if save_to or store.root else None)
+        else:
             notes.add("warning", t, "not in the metadata; loaded as it is")
+        store.put(t, df)
         if save_to:
             store.save(t, save_to)
+        elif store.root:
+            made[t] = store.write(t, df)
+        if t in specs and (save_to or store.root):
+            notes.counts[t] = observed(counted)
+            made |= {t: replace(made[t], counts=notes.counts[t])} if t in made else {}
+            for what, n in notes.counts[t].items():
+                if n and what.startswith(IMPOSSIBLE):
+                    notes.add("info", t, f"{what.removeprefix(IMPOSSIBLE)}: {n} values are no dates and became NULL")
+    if made:
+        store.commit(list(made), made)
     return notes

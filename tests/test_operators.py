@@ -239,3 +239,61 @@ def test_origin_values_and_rows(spark):
     rows = origin_rows(store, cases)
     assert {t: df.count() for t, df in rows.items()} == {"t1": 1, "t2": 1, "t3": 0, "t9": 0}
     assert origin_rows(store, spark.createDataFrame([(1,)], "x int")) == {}
+
+
+CODES = "coding_system string, code string"
+
+
+def test_exploding_codes_are_refused_before_they_are_joined(spark):
+    from cdm_engine.operators.codelist import ExplosiveMatch, check_exact, predict_exact
+
+    data = spark.createDataFrame([("X", "a", 1, f"c{k}") for k in range(40)] + [(None, None, 1, "c"), ("ATC", "a", 1, "c")], f"{CODES}, COUNT int, source_column string")
+    study = spark.createDataFrame([("X", "a", f"i{k}") for k in range(30)] + [(None, None, "n"), ("X", "z", "z")], f"{CODES}, concept_id string")
+    r = predict_exact(data, study).first()
+    assert (r.data_rows, r.study_rows, int(r.predicted)) == (42, 32, 1201)
+    with pytest.raises(ExplosiveMatch, match="1201 rows of 41 and 32; the limit is 73 .most from X a: 1200"):
+        match_codelist(data, study)
+    with pytest.raises(ExplosiveMatch):
+        match_codelist(data, study, max_rows=1200)
+    assert check_exact(data.where("coding_system = 'X'"), study, 1200) == 1200
+    for free in ({"max_rows": 1201}, {"guard": False}):
+        assert match_codelist(data, study, **free).where("match_status = 'MATCHED'").count() == 1201
+    assert check_exact(data.limit(0), study.limit(0)) == 0
+
+
+def _match_by_hand(data, study, prefix=("ATC",)):
+    """(status, system, data code, study code, concept) by loops."""
+    pairs = []
+    for d in data:
+        hits = [(k, s) for k, s in enumerate(study) if d[0] == s[0] and (d[1] == s[1] if d[0] not in prefix else d[1] is not None and s[1] is not None and d[1].startswith(s[1]))]
+        pairs += [(d, k, s) for k, s in hits]
+    best = {}
+    for d, k, s in pairs:
+        if d[0] in prefix:
+            key = (d[0], d[1], s[2])
+            rank = (-len(s[1]), s[3] is not None, s[3] or 0, k, -d[2], d[3])
+            best[key] = min(best.get(key, (rank, d, s)), (rank, d, s), key=lambda x: x[0])
+    picked = [(d, s) for d, _, s in pairs if d[0] not in prefix] + [(d, s) for _, d, s in best.values()]
+    out = [("MATCHED", d[0], d[1], s[1], s[2], d[3]) for d, s in picked]
+    out += [("ONLY_IN_DATA", d[0], d[1], None, None, d[3]) for d in data if not any(d[:2] == e[:2] for e, _ in picked)]
+    out += [("ONLY_IN_CODELIST", s[0], None, s[1], s[2], None) for s in study if not any(s[:2] == t[:2] for _, t in picked)]
+    return sorted(out, key=repr)
+
+
+def test_matching_equals_loops(spark):
+    import random
+
+    rng = random.Random(0)
+    for _ in range(3):
+        text = lambda n: None if rng.random() < 0.08 else "".join(rng.choice("ab") for _ in range(rng.randint(0, n)))
+        system = lambda: rng.choice(["ATC", "ATC", "X", None])
+        data = [(system(), text(4), rng.randint(1, 9), f"c{k}") for k in range(40)]
+        study = [(system(), text(3), rng.choice("ij"), rng.choice([None, 1, 2])) for k in range(30)]
+        found = match_codelist(
+            spark.createDataFrame(data, f"{CODES}, COUNT int, source_column string"),
+            spark.createDataFrame([(*s, k) for k, s in enumerate(study)], f"{CODES}, concept_id string, priority int, place int"), position="place", guard=False,
+        )
+        got = sorted(((r.match_status, r.coding_system, r["code.dap_codes"], r["code.codelist"], r.concept_id, r.source_column) for r in found.collect()), key=repr)
+        assert got == _match_by_hand(data, study)
+    empty = match_codelist(spark.createDataFrame([], f"{CODES}, COUNT int, source_column string"), spark.createDataFrame(study, f"{CODES}, concept_id string, priority int"))
+    assert {r.match_status for r in empty.collect()} == {"ONLY_IN_CODELIST"}

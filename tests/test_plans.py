@@ -36,11 +36,18 @@ def test_rules_share_one_scan_and_a_hash_join(records):
     assert "unused" not in text and "EvalPython" not in text
 
 
-def test_prefixes_are_hash_joined(spark, records):
-    found = records.select(F.lit("ATC").alias("coding_system"), F.col("kind").alias("code"), F.lit(1).alias("COUNT"), F.lit("kind").alias("source_column"))
+def test_codes_are_matched_in_one_join_and_sources_read_once(spark, records, monkeypatch):
+    from cdm_engine.operators import codelist
+
+    found = records.groupBy(F.lit("ATC").alias("coding_system"), F.col("kind").alias("code")).agg(F.count(F.lit(1)).alias("COUNT")).withColumn("source_column", F.lit("kind"))
     study = spark.createDataFrame([("ATC", "1", "c"), ("S", "2", "d")], "coding_system string, code string, concept_id string")
-    text = plan(match_codelist(found, study))
-    assert "NestedLoop" not in text and "Cartesian" not in text and "WindowGroupLimit" in text
+    written, saved = {}, codelist.saved
+    monkeypatch.setattr(codelist, "saved", lambda df, label: written.update({label: plan(df)}) or saved(df, label))
+    last = plan(match_codelist(found, study))
+    assert all("NestedLoop" not in text and "Cartesian" not in text for text in (*written.values(), last))
+    reads = [text.count("/records]") for text in (*written.values(), last)]
+    assert reads == [1, 0, 0, 0]  # the records are read by the inventory alone
+    assert written["matches"].split("\n\n")[0].count("Join ") == 1 and "WindowGroupLimit" not in last
 
 
 def test_keep_first_gathers_no_key(records):
