@@ -100,11 +100,12 @@ def read_files(spark: SparkSession, files: list[str], ext: str, folder: str) ->
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ROW_SEQ], ROW_SEQ)
 
 
-def load_tables(store: Store, folder: str, specs: dict[str, TableSpec], tables: list[str] | None = None, file_format: str = "auto", strict_dates: bool = True, save_to: str | None = None, notes: Diagnostics | None = None) -> Diagnostics:
+def load_tables(store: Store, folder: str, specs: dict[str, TableSpec], tables: list[str] | None = None, file_format: str = "auto", strict_dates: bool = True, save_to: str | None = None, notes: Diagnostics | None = None, commit: bool = True) -> Diagnostics:
     """Loads each table that has files and conforms it to its specification; others are noted and skipped.
 
     Tables are written as they are loaded to a folder ``save_to``, or, if the store is a database, to it: all of them in one new
-    state. What conforming changed is counted by the job that writes a table (``notes.counts``); tables that aren't written count nothing."""
+    state. What conforming changed is counted by the job that writes a table (``notes.counts``); tables that aren't written count nothing. Without ``commit`` the versions
+    that were written wait for the database's next commit."""
     notes = notes if notes is not None else Diagnostics()
     made: dict[str, Version] = {}
     for t in tables if tables is not None else list(specs):
@@ -117,17 +118,20 @@ def load_tables(store: Store, folder: str, specs: dict[str, TableSpec], tables:
             df = conform(df, specs[t], ext, strict_dates, notes, counted if save_to or store.root else None)
         else:
             notes.add("warning", t, "not in the metadata; loaded as it is")
-        store.put(t, df)
-        if save_to:
-            store.save(t, save_to)
-        elif store.root:
+        if store.root and not save_to:
             made[t] = store.write(t, df)
+        else:
+            store.put(t, df)
+            if save_to:
+                store.save(t, save_to)
         if t in specs and (save_to or store.root):
             notes.counts[t] = observed(counted)
-            made |= {t: replace(made[t], counts=notes.counts[t])} if t in made else {}
             for what, n in notes.counts[t].items():
                 if n and what.startswith(IMPOSSIBLE):
                     notes.add("info", t, f"{what.removeprefix(IMPOSSIBLE)}: {n} values are no dates and became NULL")
-    if made:
-        store.commit(list(made), made)
+            made |= {t: replace(made[t], counts=notes.counts[t])} if t in made else {}
+    for t, version in made.items():
+        store.put_written(t, version)
+    if made and commit:
+        store.commit(list(made))
     return notes

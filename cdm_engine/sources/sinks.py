@@ -6,11 +6,11 @@ import io
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..store import ROW_SEQ, Store
-from .files import is_folder, put
+from ..store import ROW_SEQ, Store, observed
+from .files import delete, is_folder, put
 
 
 def add_to_table(store: Store, name: str, rows: DataFrame) -> DataFrame:
@@ -34,13 +34,15 @@ def append_parquet(rows: DataFrame, folder: str, partition: str | None = "concep
 
 
 def save_removed(removed: DataFrame, folder: str, table: str, postfix: str | None = None, on: date | None = None) -> str | None:
-    """``<folder>/<table>_<yyyymmdd>[_postfix].csv`` (a folder of CSV parts), if there are rows at all."""
-    if removed.limit(1).count() == 0:
-        return None
+    """``<folder>/<table>_<yyyymmdd>[_postfix].csv`` (a folder of CSV parts), if there are rows at all: they are counted by the job that writes them."""
     day = (on or date.today()).strftime("%Y%m%d")
     path = f"{folder.rstrip('/')}/{table}_{day}{f'_{postfix}' if postfix else ''}.csv"
-    removed.drop(ROW_SEQ).write.mode("overwrite").option("header", True).csv(path)
-    return path
+    counted = Observation("removed")
+    removed.drop(ROW_SEQ).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    if observed(counted).get("n"):
+        return path
+    delete(removed.sparkSession, path)
+    return None
 
 
 def _csv(df: DataFrame) -> bytes:

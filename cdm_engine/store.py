@@ -42,7 +42,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self._tables: dict[tuple[str, str], list[DataFrame | Version]] = {}
-        self._unsaved: dict[str, DataFrame] = {}
+        self._unsaved: dict[str, DataFrame | Version] = {}
         self._heads: dict[str, str] = {}
         self._views: dict[str, DataFrame] = {}
         self._steps: dict[str, list[dict[str, str | None]] | None] = {}
@@ -72,6 +72,12 @@ class Store:
             self._unsaved[key[1]] = df
         return df
 
+    def put_written(self, name: str, version: Version) -> DataFrame:
+        """A version whose data are below the database's root already; the next commit lists it."""
+        df = self.put(name, version.frame(self.spark, self._manifest.root))
+        self._unsaved[name] = version
+        return df
+
     def get(self, name: str, namespace: str | None = None, version: int = -1) -> DataFrame:
         if namespace is None and name in self._views:
             return self._views[name]
@@ -149,20 +155,23 @@ class Store:
         df.write.options(**(options or {})).parquet(f"{self._manifest.root}/{path}")
         return Version(path, df.schema.json(), counts, layout)
 
-    def commit(self, names: list[str] | None = None, made: Mapping[str, Version] | None = None, journal: Mapping[str, Any] | None = None) -> None:
+    def write_unsaved(self, names: list[str] | None = None) -> dict[str, Version]:
+        """Data of what is put and unsaved (of those of ``names``), for ``commit`` to list."""
+        own = {n: v for n, v in self._unsaved.items() if names is None or n in names}
+        return {n: v if isinstance(v, Version) else self.write(n, v) for n, v in own.items()}
+
+    def commit(self, names: list[str] | None = None, made: Mapping[str, Version] | None = None, journal: Mapping[str, Any] | None = None, forget: str | None = None) -> None:
         """Saves what is put and unsaved (or those of ``names``), and versions written before (``made``), in one state of the database;
-        ``journal``: entries to keep beside them."""
+        ``journal``: entries to keep beside them; ``forget``: the beginning of entries that go."""
         if not self._manifest:
             raise ValueError("only a store that is opened on a folder can commit")
         made = dict(made or {})
-        for n in self._unsaved if names is None else names:
-            if n not in made and n in self._unsaved:
-                made[n] = self.write(n, self._unsaved[n])
+        made |= self.write_unsaved([n for n in (self._unsaved if names is None else names) if n not in made])
 
         def change(state: State) -> None:
             for n, v in made.items():
                 state["tables"].setdefault(n, []).append(as_json(v))
-            state["journal"].update(journal or {})
+            state["journal"] = {k: v for k, v in state["journal"].items() if forget is None or not k.startswith(forget)} | dict(journal or {})
             state["pipelines"].update({p: s for p, s in self._steps.items() if s})
 
         state = self._manifest.commit(change)
@@ -173,7 +182,8 @@ class Store:
     def _follow(self, state: State) -> None:
         """Takes over a state. What is put and unsaved stays the newest version."""
         for t, listed in self._manifest.versions(state).items():
-            self._tables[self.MAIN, t] = [*listed, *([self._unsaved[t]] if t in self._unsaved else [])]
+            last = [self._tables[self.MAIN, t][-1]] if t in self._unsaved else []
+            self._tables[self.MAIN, t] = [*listed, *last]
         for t in [t for n, t in self._tables if n == self.MAIN and t not in state["tables"] and t not in self._unsaved]:
             del self._tables[self.MAIN, t]
         self._journal = state["journal"]

@@ -1,6 +1,10 @@
 import json
 
-from cdm_engine import Config, Engine
+import pytest
+
+from cdm_engine import Config, Engine, Store, dedup
+from cdm_engine.operators.quality import dedup_split
+from cdm_engine.plans import flow
 
 CONFIG = {
     "file_format": "csv",
@@ -64,3 +68,63 @@ def test_own_steps(spark):
     engine = Engine(spark, {"operations": {"Mark": True}}, steps={"Mark": Mark}).run()
     assert engine.table("MARK").count() == 3
     assert Engine(spark, {}).run([Mark()]).table("MARK").count() == 3
+
+
+def durable(spark, tmp_path, root, **steps):
+    config = build(
+        tmp_path,
+        operations={"DuplicateRemover": True, "MissingRemover": True, "Third": True, "UniqueIdGenerator": True, "ReportGenerator": True},
+        duplicate_remover={"cdm_tables_columns": {"PERSONS": ["person_id"]}, "save_deleted": True, "save_path": str(tmp_path / "gone")},
+    )
+    return Engine(spark, config, META, steps=steps, store=Store.open(spark, root))
+
+
+def test_a_run_goes_on_behind_the_last_finished_step(spark, tmp_path, monkeypatch):
+    root, ran = str(tmp_path / "base"), []
+
+    class Third:
+        def run(self, engine):
+            ran.append("third")
+            engine.store.put("PERSONS", engine.store.get("PERSONS").limit(1))
+            if len(ran) == 1:
+                raise RuntimeError("lost")
+
+    first = durable(spark, tmp_path, root, Third=Third).load(str(tmp_path / "in"))
+    with pytest.raises(RuntimeError, match="lost"):
+        first.run()
+    # a session that opens the folder finds what the finished steps made, and nothing of the third
+    assert sorted(r.person_id for r in Store.open(spark, root).get("PERSONS").collect()) == ["1", "4"]
+    for name in ("RemoveDuplicates", "RemoveMissing"):
+        monkeypatch.setattr(getattr(flow, name), "run", lambda *_, name=name: ran.append(name))
+    monkeypatch.setattr(flow, "load_tables", lambda *_, **__: ran.append("load"))
+    second = durable(spark, tmp_path, root, Third=Third).load(str(tmp_path / "in")).run()
+    assert ran == ["third", "third"]
+    assert second.table("PERSONS").count() == 1 and second.table("PERSONS").columns[:2] == ["ori_table", "unique_id"]
+    assert second.notes.counts == {"PERSONS": {"rows": 5, "blanks in person_id": 0, "blanks in country": 1, "rows before": 4, "copies removed": 1, "incomplete rows removed": 2}, "VACCINES": {"rows": 2, "blanks in person_id": 0}}
+    assert any("removed rows are in" in x for x in second.notes.of("info"))
+    assert (tmp_path / "counts.csv").read_text() == "name,row_count\nPERSONS,1\nVACCINES,2\n"
+    third = durable(spark, tmp_path, root, Third=Third).load(str(tmp_path / "in")).run()
+    assert ran == ["third", "third"] and third.table("PERSONS").count() == 1
+    durable(spark, tmp_path, root, Third=Third).restart().load(str(tmp_path / "in"))
+    assert ran[-1] == "load"
+
+
+def test_views_are_made_again_by_a_later_run(spark, tmp_path):
+    config = build(tmp_path, duplicate_remover={"cdm_tables_columns": {"PERSONS": "*"}, "to_view": True, "pipeline_extension": "_v"}, operations={"DuplicateRemover": True})
+    for _ in range(2):
+        engine = Engine(spark, config, META, store=Store.open(spark, str(tmp_path / "base"))).load(str(tmp_path / "in")).run()
+        assert engine.table("PERSONS_v").count() == 4 and engine.store.versions("PERSONS") == 1
+
+
+def test_kept_and_removed_rows_come_from_one_job(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 7, k) for k in range(50)], "k int, n int")
+    kept, removed, counts = dedup_split(rows, ["k"], str(tmp_path / "a"), "n")
+    assert sorted(tuple(r) for r in kept.collect()) == [(k, k) for k in range(7)] and removed.count() == 43
+    assert counts == {"rows before": 50, "copies removed": 43}
+    want = dedup(rows, ["k"], "keep_first", "n")
+    assert sorted(map(tuple, want[1].collect())) == sorted(map(tuple, removed.collect()))
+    kept, removed, counts = dedup_split(rows, ["n"], str(tmp_path / "b"), "k")
+    assert removed is None and kept.count() == 50 and counts["copies removed"] == 0
+    assert dedup_split(rows.limit(0), ["n"], str(tmp_path / "c"), "k")[:2] == (None, None)
+    read = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in read and "Aggregate" not in read
