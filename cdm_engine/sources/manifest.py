@@ -8,6 +8,7 @@ written to folders of its own before; what a writer left behind that never commi
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -25,7 +26,8 @@ KEPT = 100
 
 @dataclass(frozen=True)
 class Version:
-    """One version of a table: its folder below the root, its schema, and what was counted while it was written."""
+    """One version of a table: its folder below the root, its schema, what was counted while it was written, and how it is laid out
+    (``columns`` it is sorted by in each file, ``buckets``, and ``lookups``, the columns with bloom filters)."""
 
     path: str
     schema: str
@@ -33,7 +35,19 @@ class Version:
     layout: dict[str, Any] | None = None
 
     def frame(self, spark: SparkSession, root: str) -> DataFrame:
-        return spark.read.schema(T.StructType.fromJson(json.loads(self.schema))).parquet(f"{root}/{self.path}")
+        """Reads it. Spark knows the buckets of tables of its catalog only, so a bucketed version is entered there (its data stay where they are)."""
+        schema = T.StructType.fromJson(json.loads(self.schema))
+        if not (self.layout and self.layout["buckets"]):
+            return spark.read.schema(schema).parquet(f"{root}/{self.path}")
+        name, fields = catalog_name(root, self.path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(f"`{c}`" for c in self.layout["columns"])
+        place = f"{root}/{self.path}".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.layout['buckets']} BUCKETS LOCATION '{place}'")
+        return spark.table(name)
+
+
+def catalog_name(root: str, path: str) -> str:
+    return f"version_{hashlib.sha256(f'{root}/{path}'.encode()).hexdigest()[:24]}"
 
 
 State = dict[str, Any]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 
 from .functions.sqltext import PREVIOUS, bind_tables, mark_previous
 from .sources.files import delete
-from .sources.manifest import Manifest, State, Version, as_json
+from .sources.manifest import Manifest, State, Version, as_json, catalog_name
 
 Transform = Callable[[DataFrame], DataFrame]
 #: The order in which rows were loaded; not a data column.
@@ -48,6 +48,7 @@ class Store:
         self._steps: dict[str, list[dict[str, str | None]] | None] = {}
         self._manifest = Manifest(spark, root) if root else None
         self._journal: dict[str, Any] = {}
+        self._layouts: dict[tuple[str, str], dict[str, Any] | None] = {}
         if self._manifest:
             self._follow(self._manifest.state())
 
@@ -120,6 +121,7 @@ class Store:
         tables = {t: source.get(t) for t in source.names()} if isinstance(source, Store) else source
         for t, df in tables.items():
             self._tables.setdefault((alias, t), []).append(df)
+            self._layouts[alias, t] = source.layout(t) if isinstance(source, Store) else None
 
     # -- saved versions
 
@@ -149,11 +151,28 @@ class Store:
         """Where a new version of a table can be written: below the database's root."""
         return f"data/{name}/{uuid.uuid4().hex}"
 
-    def write(self, name: str, df: DataFrame, layout: dict[str, Any] | None = None, options: Mapping[str, Any] | None = None, counts: dict[str, int] | None = None) -> Version:
-        """Data of a new version, which ``commit`` makes one."""
+    def write(self, name: str, df: DataFrame, layout: dict[str, Any] | None = None) -> Version:
+        """Data of a new version, which ``commit`` makes one. ``layout``: see ``Version``; rows of a bucket are brought together by one shuffle."""
         path = self.new_path(name)
-        df.write.options(**(options or {})).parquet(f"{self._manifest.root}/{path}")
-        return Version(path, df.schema.json(), counts, layout)
+        place, schema = f"{self._manifest.root}/{path}", df.schema.json()
+        if not layout:
+            df.write.parquet(place)
+            return Version(path, schema)
+        blooms = {f"parquet.bloom.filter.{k}#{c}": "true" for c in layout["lookups"] for k in ("enabled", "adaptive.enabled")}
+        columns, buckets = layout["columns"], layout["buckets"]
+        if buckets:
+            out = df.repartition(buckets, *columns).write.options(**blooms).bucketBy(buckets, *columns).sortBy(*columns)
+            out.option("path", place).format("parquet").saveAsTable(catalog_name(self._manifest.root, path))
+        else:
+            df.sortWithinPartitions(*columns).write.options(**blooms).parquet(place)
+        return Version(path, schema, None, layout)
+
+    def layout(self, name: str) -> dict[str, Any] | None:
+        """How a table's newest version is laid out, if it is saved in the database (or attached from one)."""
+        key = self._key(name, None)
+        if name in self._views or key[0] == self.MAIN and name in self._unsaved:
+            return None
+        return self._layouts.get(key)
 
     def write_unsaved(self, names: list[str] | None = None) -> dict[str, Version]:
         """Data of what is put and unsaved (of those of ``names``), for ``commit`` to list."""
@@ -182,6 +201,7 @@ class Store:
     def _follow(self, state: State) -> None:
         """Takes over a state. What is put and unsaved stays the newest version."""
         for t, listed in self._manifest.versions(state).items():
+            self._layouts[self.MAIN, t] = listed[-1].layout
             last = [self._tables[self.MAIN, t][-1]] if t in self._unsaved else []
             self._tables[self.MAIN, t] = [*listed, *last]
         for t in [t for n, t in self._tables if n == self.MAIN and t not in state["tables"] and t not in self._unsaved]:
