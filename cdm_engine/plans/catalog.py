@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import any_date, iso_date
 from ..functions.frames import as_frame
 from ..functions.text import folded
-from ..operators.codelist import match_codelist
+from ..operators.codelist import ExplosiveMatch, match_codelist, predict_exact
 from ..operators.combine import append_distinct, row_counts
 from ..operators.concepts import Rule, extract_concepts, rules_from_wide
 from ..operators.conform import blanks_to_null, conform, repair_dates
@@ -20,23 +20,25 @@ from ..operators.identity import assign_ids
 from ..operators.inventory import InventorySpec, code_inventory
 from ..operators.layout import Layout, apply_layout
 from ..operators.provenance import origin_rows, origin_values
-from ..operators.quality import dedup, drop_missing
-from ..sources.files import fresh_path, put
+from ..operators.quality import COPIES, dedup, dedup_split, drop_missing
+from ..sources.files import fresh_path, move, put
 from ..sources.ingest import load_tables
 from ..sources.sinks import add_to_table, append_parquet, save_removed, write_report
 from ..sources.text_import import clean_text
 from ..spec import ColumnSpec, Config, TableSpec, read_metadata
 from ..store import ROW_SEQ, Store
-from .flow import Engine
+from .flow import Engine, RemoveDuplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str]] = {}
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its SQL (a function, where that needs what is defined further below)."""
+
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
@@ -51,7 +53,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v if isinstance(v, str) else v() for k, v in _SQL.items()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,7 +138,7 @@ def fold_text(spark, sf_dir):
 
 def _csv(df: DataFrame, folder: str, name: str) -> None:
     """One more CSV file (or folder of parts) of an instance; quoted fields may hold line ends."""
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "NA").csv(f"{folder}/{name}.csv")
+    df.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("quoteAll", True).option("escape", '"').option("nullValue", "NA").csv(f"{folder}/{name}.csv")
 
 
 def _instance(spark: SparkSession, sf_dir: str) -> str:
@@ -201,14 +203,19 @@ def load_auto(spark, sf_dir):
     return _loaded(spark, sf_dir, ["PART", "NOWHERE"]).get("PART").drop(ROW_SEQ)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r['TABLE']}', '{r['Variable']}', {r['Mandatory'] == 'Yes'}, '{'date' if 'yyyymmdd' in r['Format'] else 'text' if 'Character' in r['Format'] else 'other'}', '{f}')" for r in METADATA for f in ("csv", "json", "parquet")) + ") AS t(name, variable, mandatory, kind, source)")
+@query("""
+SELECT 'PART' AS name, p_brand AS variable, max(p_size) > 25 AS mandatory, CASE CAST(min(p_partkey) % 3 AS INTEGER) WHEN 0 THEN 'date' WHEN 1 THEN 'text' ELSE 'other' END AS kind, f AS source
+FROM part, (VALUES ('csv'), ('json'), ('parquet')) AS t(f) GROUP BY p_brand, f
+""")
 def metadata_sources(spark, sf_dir):
-    """Metadata from files of each kind."""
-    rows, found = spark.createDataFrame(METADATA), []
+    """Metadata, a row per brand of the parts, read from files of each kind."""
+    form = F.element_at(F.array(F.lit("yyyymmdd"), F.lit("Character"), F.lit("Numeric")), (F.min("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("Variable")).agg(F.when(F.max("p_size") > 25, "Yes").otherwise("No").alias("Mandatory"), form.alias("Format")).withColumn("TABLE", F.lit("PART"))
+    found = []
     for f in ("csv", "json", "parquet"):
         path = f"{fresh_path(spark, 'metadata')}.{f}"
         (rows.write.option("header", True).csv if f == "csv" else getattr(rows.write, f))(path)
-        found += [(t, c.name, c.mandatory, c.kind, f) for t, s in read_metadata(path, spark).items() for c in s.columns]
+        found += [(t, c.name, c.mandatory, c.kind, f) for t, spec in read_metadata(path, spark).items() for c in spec.columns]
     return spark.createDataFrame(found, "name string, variable string, mandatory boolean, kind string, source string")
 
 
@@ -269,6 +276,183 @@ def dedup_ties(spark, sf_dir):
     return kept.join(gone, F.col("user_id") == F.col("other"), "left").select("user_id", "event_type", F.coalesce("n", F.lit(0)).cast("long").alias("removed"))
 
 
+# ---- databases, runs that go on, counts, splits ---------------------------------------------------
+
+
+def _database(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a database: two versions of the orders, the second without those that are finished, and events."""
+    store, sources = Store.open(spark, fresh_path(spark, "database")), _sources(spark, sf_dir)
+    store.put("ORDERS", sources["ORDERS"])
+    store.save("ORDERS")
+    store.put("ORDERS", sources["ORDERS"].where("o_orderstatus <> 'F'"))
+    store.put("EVENTS", sources["EVENTS"])
+    store.add_step("open_urgent", "SELECT o.* FROM %s o WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'", base="ORDERS")
+    store.commit()
+    return store.root
+
+
+@query(lambda: f"SELECT * FROM ({_union(PAIRED[:2])}) WHERE concept_id = 'o_urgent' UNION ALL {_sql_rule(MULTI[1])}")
+def database_attached(spark, sf_dir):
+    """Concepts from a database that another session wrote, attached from its folder."""
+    root = _database(spark.newSession(), sf_dir)
+    store = Store(spark)
+    store.attach("origin", root)
+    return extract_concepts(store, [*PAIRED[:2], MULTI[1]], namespace="origin")
+
+
+@query("""
+SELECT CAST(version AS INTEGER) AS version, o_orderstatus, count(*) AS n, false AS view FROM orders, (VALUES (0), (1)) AS t(version) WHERE version = 0 OR o_orderstatus <> 'F' GROUP BY ALL
+UNION ALL SELECT -1, o_orderstatus, count(*), true FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' GROUP BY o_orderstatus
+""")
+def database_versions(spark, sf_dir):
+    """Older versions and a kept pipeline of a database that was opened from its folder."""
+    root = _database(spark, sf_dir)
+    store = Store.open(spark.newSession(), root)
+    parts = [(v, store.get("ORDERS", version=v), False) for v in range(store.versions("ORDERS"))] + [(-1, store.get("open_urgent"), True)]
+    each = [df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("version"), "o_orderstatus", "n", F.lit(w).alias("view")) for v, df, w in parts]
+    return each[0].unionAll(each[1]).unionAll(each[2])
+
+
+@query("""
+SELECT p_partkey, p_brand, n, s_name AS supplier FROM part JOIN (SELECT l_partkey, count(*) AS n, min(l_suppkey) AS first FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey
+LEFT JOIN supplier ON s_suppkey = first WHERE p_size > 10 AND p_type NOT LIKE '%{x}%'
+""")
+def pipeline_joins(spark, sf_dir):
+    """Steps in SQL that join the step before with another table, another pipeline and an attached table."""
+    store = Store(spark)
+    for t in ("part", "lineitem"):
+        store.put(t, table(spark, sf_dir, t))
+    store.attach("origin", {"supplier": table(spark, sf_dir, "supplier")})
+    store.add_step("busy", "SELECT l_partkey, count(*) AS n, min(l_suppkey) AS first FROM %s GROUP BY l_partkey", base="lineitem")
+    store.add_step("parts", "SELECT p_partkey FROM %s WHERE p_size > 10", base="part")
+    store.add_step("parts", "WITH kinds AS (SELECT * FROM Part WHERE p_type NOT LIKE '%{x}%') SELECT kinds.p_partkey, p_brand FROM {prev} JOIN kinds USING (p_partkey)")
+    store.add_step("parts", "SELECT p.*, n, first FROM %s p JOIN busy ON busy.l_partkey = p.p_partkey")
+    store.add_step("parts", "SELECT p_partkey, p_brand, n, supplier.s_name AS supplier FROM %s LEFT JOIN origin.supplier ON supplier.s_suppkey = first")
+    return store.get("parts")
+
+
+@query("""
+WITH found AS (SELECT o_orderpriority AS code, o_custkey % 3 AS source FROM orders), study AS (SELECT o_orderpriority AS code FROM orders WHERE o_orderkey % 5 = 0),
+each AS (SELECT code, sum(n) AS n, sum(m) AS m FROM (SELECT code, count(*) AS n, 0 AS m FROM found GROUP BY code UNION ALL SELECT code, 0, count(*) FROM study GROUP BY code) GROUP BY code),
+whole AS (SELECT 'whole' AS codelist, CAST(sum(n) AS BIGINT) AS data_rows, CAST(sum(m) AS BIGINT) AS study_rows, CAST(sum(n * m) AS BIGINT) AS predicted FROM each),
+once AS (SELECT 'once' AS codelist, CAST(sum(n) AS BIGINT) AS data_rows, count(*) FILTER (m > 0) AS study_rows, CAST(sum(n) FILTER (m > 0) AS BIGINT) AS predicted FROM each)
+SELECT *, predicted > data_rows + study_rows AS refused FROM whole UNION ALL SELECT *, predicted > data_rows + study_rows FROM once
+""")
+def match_guard(spark, sf_dir):
+    """What an exact match of the orders' priorities would have, and whether it is refused: with a list that repeats codes, and with each once."""
+    orders = table(spark, sf_dir, "orders")
+    found = orders.select(F.lit("X").alias("coding_system"), F.col("o_orderpriority").alias("code"), F.lit(1).alias("COUNT"), (F.col("o_custkey") % 3).cast("string").alias("source_column"))
+    study = orders.where("o_orderkey % 5 = 0").select(F.lit("X").alias("coding_system"), F.col("o_orderpriority").alias("code"), F.col("o_orderkey").cast("string").alias("concept_id"))
+    parts = []
+    for name, own in (("whole", study), ("once", study.dropDuplicates(["coding_system", "code"]))):
+        try:
+            match_codelist(found, own)
+            refused = False
+        except ExplosiveMatch:
+            refused = True
+        parts.append(predict_exact(found, own).select(F.lit(name).alias("codelist"), *[F.col(c).cast("long").alias(c) for c in ("data_rows", "study_rows", "predicted")], F.lit(refused).alias("refused")))
+    return parts[0].unionAll(parts[1])
+
+
+_DIRTY = """
+SELECT o_orderkey, CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN '20240231' WHEN 1 THEN 'soon' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y%m%d') END AS ordered,
+    CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS priority FROM orders
+"""
+
+
+@query(f"""
+WITH dirty AS ({_DIRTY})
+SELECT what, CAST(n AS BIGINT) AS n FROM (
+    SELECT 'rows' AS what, count(*) AS n FROM dirty UNION ALL SELECT 'blanks in priority', count(*) FROM dirty WHERE priority = ''
+    UNION ALL SELECT 'impossible dates in ordered', count(*) FROM dirty WHERE ordered IN ('20240231', 'soon')
+    UNION ALL SELECT 'rows before', count(*) FROM dirty UNION ALL SELECT 'incomplete rows removed', count(*) FROM dirty WHERE priority = ''
+    UNION ALL SELECT 'saved rows', count(*) FROM dirty WHERE priority <> '')
+""")
+def load_counts(spark, sf_dir):
+    """What a load and the removal of incomplete rows changed, counted by the jobs that write, and found again in the database's journal."""
+    orders, folder, root = table(spark, sf_dir, "orders"), fresh_path(spark, "instance"), fresh_path(spark, "database")
+    kind = F.col("o_orderkey") % 5
+    day = F.when(kind == 0, "20240231").when(kind == 1, "soon").when(kind == 2, "").when(kind == 3, F.lit(None)).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    _csv(orders.select("o_orderkey", day.alias("ordered"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("priority")), folder, "ORDERS")
+    meta = [{"TABLE": "ORDERS", "Variable": v, "Mandatory": "Yes", "Format": f} for v, f in (("o_orderkey", "Numeric"), ("ordered", "yyyymmdd"), ("priority", "Character"))]
+    config = {"cdm_tables_names": ["ORDERS"], "file_format": "csv", "operations": {"MissingRemover": True}, "missing_remover": {"columns": {"ORDERS": ["priority"]}}}
+    run = lambda s: Engine(s, config, meta, store=Store.open(s, root)).load(folder).run()
+    run(spark)
+    again = run(spark.newSession())  # takes everything from the journal
+    counts = [*again.notes.counts["ORDERS"].items(), ("saved rows", again.table("ORDERS").count())]
+    return spark.createDataFrame(counts, "what string, n long")
+
+
+_NOTES = "CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN o_orderpriority || chr(10) || '\"second\" line,' || chr(10) WHEN 1 THEN '5\" pipe' WHEN 2 THEN '' ELSE o_orderpriority END"
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, {_NOTES} AS note, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS place FROM orders")
+def load_split_csv(spark, sf_dir):
+    """One CSV file whose quoted fields hold line ends, read in splits: rows and their numbers in the file."""
+    kind, folder = F.col("o_orderkey") % 4, fresh_path(spark, "instance")
+    note = F.when(kind == 0, F.concat("o_orderpriority", F.lit('\n"second" line,\n'))).when(kind == 1, F.lit('5" pipe')).when(kind == 2, "").otherwise(F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"))
+    _csv(orders.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), folder, "ORDERS")
+    store = Store(spark)
+    load_tables(store, folder, {}, ["ORDERS"], "csv")
+    return store.get("ORDERS").select("o_orderkey", "note", F.col(f"{ROW_SEQ}.row").alias("place"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, true AS same FROM customer")
+def ids_free_of_paths(spark, sf_dir):
+    """Ids of an instance before and after its folder was moved."""
+    folder, elsewhere, found = _instance(spark, sf_dir), fresh_path(spark, "moved"), []
+    for where in (folder, elsewhere):
+        if where == elsewhere:
+            move(spark, folder, elsewhere)
+        store = Store(spark)
+        load_tables(store, where, read_metadata(METADATA), ["CUSTOMER"], "csv", save_to=fresh_path(spark, "loaded"))
+        found.append(assign_ids(store.get("CUSTOMER"), "CUSTOMER").select("c_custkey", "unique_id"))
+    both = found[0].join(found[1].withColumnsRenamed({"unique_id": "other", "c_custkey": "key"}), F.col("unique_id") == F.col("other"), "left")
+    return both.select("c_custkey", F.coalesce(F.col("key") == F.col("c_custkey"), F.lit(False)).alias("same"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, n = 1 AS kept, CAST((SELECT count(*) FROM orders) - (SELECT count(DISTINCT o_custkey) FROM orders) AS BIGINT) AS copies
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+""")
+def dedup_both_sides(spark, sf_dir):
+    """The first order of each customer and the others, written by one job that counts them."""
+    kept, removed, counts = dedup_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], fresh_path(spark, "sides"), "o_orderkey")
+    return kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False))).withColumn("copies", F.lit(counts[COPIES]).cast("long"))
+
+
+@query(_FLOW + "SELECT 'CUSTOMER' AS ori_table, c_custkey, c_name, c_nationkey, 'RemoveDuplicates,Unsteady,Unsteady' AS ran FROM named")
+def engine_resumed(spark, sf_dir):
+    """A durable run that fails in its third step, and another session's run that goes on there."""
+    root, ran = fresh_path(spark, "durable"), []
+
+    class Unsteady:
+        def run(self, engine: Engine) -> None:
+            ran.append("Unsteady")
+            if len(ran) == 2:
+                raise RuntimeError("lost")
+
+    class Counted(RemoveDuplicates):
+        def run(self, engine: Engine) -> None:
+            ran.append("RemoveDuplicates")
+            super().run(engine)
+
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"{root}/in/CUSTOMER.parquet")
+    config = {
+        "file_format": "parquet", "cdm_tables_names": ["CUSTOMER"], "operations": {"DuplicateRemover": True, "MissingRemover": True, "Unsteady": True, "UniqueIdGenerator": True},
+        "duplicate_remover": {"cdm_tables_columns": {"CUSTOMER": ["c_nationkey"]}, "save_deleted": True, "save_path": f"{root}/removed"}, "missing_remover": {"columns": {"CUSTOMER": ["c_name"]}},
+    }
+    meta = [{"TABLE": "CUSTOMER", "Variable": v, "Mandatory": "Yes", "Format": "Numeric" if v != "c_name" else "Character"} for v in ("c_custkey", "c_name", "c_nationkey")]
+    run = lambda s: Engine(s, config, meta, {"DuplicateRemover": Counted, "Unsteady": Unsteady}, Store.open(s, f"{root}/base")).load(f"{root}/in").run()
+    try:
+        run(spark)
+    except RuntimeError:
+        run(spark.newSession())
+    out = Store.open(spark, f"{root}/base").get("CUSTOMER")
+    return out.where("unique_id IS NOT NULL").select("ori_table", "c_custkey", "c_name", "c_nationkey", F.lit(",".join(ran)).alias("ran"))
+
+
 # ---- quality -----------------------------------------------------------------------------------
 
 
@@ -590,17 +774,21 @@ def report_substitute(spark, sf_dir):
     return spark.read.parquet(_report(spark, sf_dir, "counts.fst"))
 
 
-@query("SELECT * FROM (VALUES ('', 'ValueError'), ('.csv', 'ValueError'), ('counts', 'ValueError'), ('counts.xyz', 'ValueError'), ('counts.CSV', 'counts.csv'), ('a.b.parquet', 'a.b.parquet'), ('no folder', 'FileNotFoundError')) AS t(name, outcome)")
+@query(f"""
+SELECT name, outcome, CASE WHEN outcome NOT LIKE '%Error' THEN CAST({" + ".join(f"(SELECT count(*) FROM {t})" for t in _COUNTS)} AS VARCHAR) END AS rows_in_report
+FROM (VALUES ('', 'ValueError'), ('.csv', 'ValueError'), ('counts', 'ValueError'), ('counts.xyz', 'ValueError'), ('counts.CSV', 'counts.csv'), ('a.b.parquet', 'a.b.parquet'), ('no folder', 'FileNotFoundError')) AS t(name, outcome)
+""")
 def report_dispatch(spark, sf_dir):
-    """Which writer a report's name finds."""
+    """Which writer a report's name finds, and the sum of the counts in the report that it wrote."""
     found = []
     for name in ("", ".csv", "counts", "counts.xyz", "counts.CSV", "a.b.parquet", "no folder"):
         try:
             path = _report(spark, sf_dir, name) if name != "no folder" else write_report(spark.range(1), f"{fresh_path(spark, 'no')}/such", "a.csv")
-            found.append((name, path.rsplit("/", 1)[1]))
+            written = spark.read.parquet(path) if path.endswith("parquet") else spark.read.option("header", True).csv(path)
+            found.append((name, path.rsplit("/", 1)[1], str(written.agg(F.sum(F.col("row_count").cast("long"))).first()[0])))
         except (ValueError, FileNotFoundError) as e:
-            found.append((name, type(e).__name__))
-    return spark.createDataFrame(found, "name string, outcome string")
+            found.append((name, type(e).__name__, None))
+    return spark.createDataFrame(found, "name string, outcome string, rows_in_report string")
 
 
 @query("SELECT l_orderkey, l_linenumber, true AS sorted FROM lineitem")
@@ -652,3 +840,30 @@ def trace_rows(spark, sf_dir):
     store = Store(spark)
     cases = _cases(spark, sf_dir, store)
     return origin_rows(store, cases.unionByName(cases), ["ORDERS", "EVENTS"])["ORDERS"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "ori_table", "unique_id")
+
+
+def _laid_out(spark: SparkSession, sf_dir: str, buckets: int, lookups: tuple[str, ...], wanted: str) -> DataFrame:
+    """The orders of a database laid out by id, and those of some ids."""
+    store = Store.open(spark, fresh_path(spark, "database"))
+    store.put("ORDERS", _sources(spark, sf_dir)["ORDERS"])
+    store.put("CASES", store.get("ORDERS").where(wanted).select("ori_table", "unique_id"))
+    store.commit()
+    apply_layout(store, [Layout("ORDERS", ("unique_id",), buckets, lookups), Layout("CASES", ("unique_id",), buckets)])
+    store = Store.open(spark.newSession(), store.root)
+    return origin_rows(store, store.get("CASES"), ["ORDERS"])["ORDERS"].select("o_orderkey", "o_custkey", "ori_table", "unique_id")
+
+
+_BY_ID = "SELECT o_orderkey, o_custkey, 'ORDERS' AS ori_table, CAST(o_orderkey AS VARCHAR) AS unique_id FROM orders"
+
+
+@query(f"{_BY_ID} WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderpriority)")
+def trace_lookups(spark, sf_dir):
+    """A few ids, searched for by statistics and bloom filters."""
+    last = [str(r[0]) for r in table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.max("o_orderkey")).select("max(o_orderkey)").collect()]  # one per priority
+    return _laid_out(spark, sf_dir, 0, ("unique_id",), f"unique_id IN ({', '.join(last)})")
+
+
+@query(f"{_BY_ID} WHERE {_URGENT}")
+def trace_bucketed(spark, sf_dir):
+    """Many ids, joined bucket by bucket."""
+    return _laid_out(spark, sf_dir, 8, (), _URGENT)

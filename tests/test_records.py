@@ -86,7 +86,7 @@ def notes(tmp_path_factory):
     folder = tmp_path_factory.mktemp("notes") / "in st"
     folder.mkdir()
     rows = [[str(k), "line one,\nline \"two\"\n" * (k % 5) + "end", "x" * (k % 17)] for k in range(120)]
-    rows.insert(60, ["long", "\n".join(f'"{n}",{n}' for n in range(600)), ""])  # over many splits
+    rows.insert(60, [" both \n", "\n".join(f'"{n}",{n}' for n in range(600)), ""])  # over many splits
     (folder / "T 1.csv").write_text(_text([["id", "note", "more"], *rows]), newline="")
     (folder / "T 2.csv").write_text(_text([["id", "note", "more"], ["crlf", "a\nb", "c"], ["5\" pipe", "y", "z"]], "\r\n"), newline="")
     (folder / "T 3.csv").write_text('id,other\n\n  \n7,"open to the\nend', newline="")
