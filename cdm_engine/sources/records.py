@@ -132,7 +132,8 @@ def _records(parts: bool):
 
     def made(key: tuple, kind: int, rows: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
         n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array(np.full(n, key[1], np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(rows.astype(np.int64)), texts], names=["file", "block", "kind", "row", "record"])
+        columns = [pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n), pa.repeat(pa.scalar(kind, pa.int32()), n), pa.array(rows.astype(np.int64)), texts]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "block", "kind", "row", "record"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, inside, row, held, kind = None, False, 0, [], 0
