@@ -7,12 +7,24 @@ from pyspark.sql import DataFrame
 from ..sources.files import delete, fresh_path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Spark's own switch that removes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later jobs neither recompute
-    it nor depend on one executor's disk."""
+    it nor depend on one executor's disk. ``tidy``: what it shuffled is removed from the disks at once, and not when the
+    driver happens to collect its garbage."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table

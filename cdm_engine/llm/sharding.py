@@ -162,7 +162,8 @@ def _read(spark: SparkSession, *paths: str) -> DataFrame:
 def _placed(table: DataFrame) -> DataFrame:
     """(row, file, place): a struct of the table's columns, its file, and its number there."""
     columns = [F.col(f"`{c}`") for c in table.columns]
-    return table.select(F.struct(*columns).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    about = table.metadataColumn("_metadata")  # a column of the table may have that name
+    return table.select(F.struct(*columns).alias("row"), about.getField("file_path").alias("file"), about.getField("row_index").alias("place"))
 
 
 def old_shards(table: DataFrame) -> dict[str, int]:

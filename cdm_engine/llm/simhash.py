@@ -318,7 +318,7 @@ def compare_edits(docs: DataFrame, bits: int = BITS, size: int = SIZE) -> DataFr
 def with_neighbours(compared: DataFrame, every: int = 100, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """Adds n_within for the rows whose doc_id is divisible by ``every`` (others: null): how many other rows'
     fingerprints lie at most ``radius`` bits away, among all rows."""
-    table = materialize(compared, "compared")
+    table = materialize(compared, "compared", tidy=True)  # its shuffle moved all texts
     asks = F.col("doc_id") % every == 0
     counts = count_within(table.select("doc_id", "fingerprint"), asks, radius, bits=bits)
     asking = table.where(asks).join(counts, "fingerprint", "left").withColumn("n_within", F.col("n_within") - 1)

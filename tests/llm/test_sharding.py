@@ -86,6 +86,15 @@ def test_files_of_any_layout(spark, rows, tmp_path, files, new):
         sharding.reshard(spark, source, new)
 
 
+def test_columns_named_like_the_files_metadata(spark, rows, tmp_path):
+    docs = [(k, "x" * k) for k in range(60)]
+    rows(docs).withColumnsRenamed({"lang": "_metadata", "source": "file"}).repartition(3).write.parquet(str(tmp_path / "in"))
+    found = sharding.reshard(spark, str(tmp_path / "in"), 4, target=str(tmp_path / "out"))
+    check(digest(spark, str(tmp_path / "in"), found), docs, 4)
+    back = sharding.contents(spark, str(tmp_path / "in"), found).select("row.*")
+    assert {(r["_metadata"], r["file"]) for r in back.collect()} == {("en", "s")}
+
+
 def test_untouched_shards_keep_their_files(spark, rows, tmp_path):
     """Sizes 100, 100, 200 (times 50): two shards stay, the third gives half to a fourth; then nothing is left to do."""
     home, docs = tmp_path / "corpus", []
