@@ -248,7 +248,8 @@ def keep_unlike(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     """As ``keep_one``, with the links of ``near_copies``: shingles of ``size`` words, Jaccard ``least`` or more."""
     rows = materialize(near_copies.sketches(docs, size), "sketches")
     chosen = rows.groupBy("f").agg(F.min(F.struct("id", *KEY)).alias("one")).select("f", "one.*")
-    found = near_copies.links(rows.select("f", "bits").distinct(), docs, chosen, size, least)
+    distinct = materialize(rows.select("f", "bits").distinct(), "sets")
+    found = near_copies.links(distinct, docs, chosen, size, least)
     names = rows.select("id", *KEY, "f")
     kept = _first_rows(docs, names, _named(names, found))
     release(rows)

@@ -83,3 +83,58 @@ def test_pairs_whose_star_fails_are_compared(spark, rows):
     docs.append((50, " ".join(twin)))
     got = {r.doc_id for r in simhash_dedup.keep_unlike(rows(docs), 5, 0.8).collect()}
     assert got == set(components(docs).values())
+
+
+def test_templates_bring_hardly_any_texts_together(spark, rows, monkeypatch):
+    """Texts of a template, each with words of its own, are less alike than the threshold: fingerprints tell them apart."""
+    r = random.Random(6)
+    base, docs = [f"w{r.random()}" for _ in range(200)], []
+    for k in range(1500):
+        copy = list(base)
+        for at in r.sample(range(200), 10):
+            copy[at] = f"x{r.random()}"
+        docs.append((k, " ".join(copy)))
+    twin = docs[700][1].split()
+    twin[100] = "other"
+    docs.append((5000, " ".join(twin)))
+    asked, texts = [], near_copies._texts
+
+    def counted(nodes, *rest):
+        asked.append(nodes.count())
+        return texts(nodes, *rest)
+
+    monkeypatch.setattr(near_copies, "_texts", counted)
+    got = {x.doc_id for x in simhash_dedup.keep_unlike(rows(docs), 5, 0.8).collect()}
+    assert got == set(range(1500)) and sum(asked) < 60
+
+
+def test_recall_of_pairs_just_above_the_similarity(spark, rows):
+    r = random.Random(7)
+    docs, n = [], 0
+    while n < 1000:
+        words = [f"w{r.random()}" for _ in range(r.randint(80, 400))]
+        copy = list(words)
+        for at in r.sample(range(len(words)), max(1, round(len(words) * r.uniform(0.016, 0.024)))):
+            copy[at] = f"x{r.random()}"
+        if 0.8 <= similarity(" ".join(words), " ".join(copy)) <= 0.85:
+            docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+            n += 1
+    got = {x.doc_id for x in simhash_dedup.keep_unlike(rows(docs), 5, 0.8).collect()}
+    assert len(got & set(range(0, 2000, 2))) == 1000 and 2000 - len(got) >= 970
+
+
+def test_short_texts_have_room_for_ties():
+    """Sets of few shingles differ in more bits at the same similarity."""
+    import numpy as np
+
+    from cdm_engine.llm.simhash import signs
+
+    r, worst = np.random.default_rng(8), 0
+    for n, m, shared in ((4, 5, 4), (5, 6, 5), (8, 10, 8), (9, 9, 8), (16, 20, 16), (36, 36, 32), (64, 80, 64), (72, 72, 64), (160, 200, 160)):
+        pool = r.integers(0, 2**63, (300, n + m - shared)).astype(np.uint64)
+        sides = [np.sort(x, axis=1) for x in (pool[:, :n], np.concatenate([pool[:, :shared], pool[:, n:]], axis=1))]
+        bits = [signs(x.ravel(), np.arange(301) * x.shape[1], 1152) for x in sides]
+        raw = [near_copies._raw(np.array([b.tobytes() for b in np.concatenate([f, np.full((300, 1), x.shape[1], "<u8").view(np.uint8)], axis=1)], object)) for f, x in zip(bits, sides)]
+        assert near_copies._near(*raw).mean() > 0.99, (n, m)
+        worst = max(worst, np.bitwise_count(raw[0][:, :-1] ^ raw[1][:, :-1]).sum(axis=1).mean())
+    assert worst < 220

@@ -55,7 +55,7 @@ def test_stages(spark, folder):
 
 
 def test_registered_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries()) and len(P.STAGES) == 5
 
 
