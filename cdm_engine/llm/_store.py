@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, nullcontext
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.files import delete, fresh_path
 
@@ -11,25 +14,40 @@ from ..sources.files import delete, fresh_path
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def tidied_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What queries shuffle inside is removed from the disks as they end, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later jobs neither recompute
-    it nor depend on one executor's disk. ``tidy``: what it shuffled is removed from the disks at once, and not when the
-    driver happens to collect its garbage."""
+    it nor depend on one executor's disk. ``tidy``: with ``tidied_shuffles``."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(_CLEANUP, None)
-    if tidy:
-        spark.conf.set(_CLEANUP, "true")
-    try:
+    with tidied_shuffles(spark) if tidy else nullcontext():
         df.write.parquet(path)
-    finally:
-        if tidy:
-            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
 
 
+def materialize_each(parts: Iterable[DataFrame], label: str) -> DataFrame:
+    """One table of the rows of all ``parts`` (at least one, of one schema), each written before the next is asked for."""
+    path = ""
+    for part in parts:
+        path = path or fresh_path(part.sparkSession, label)
+        part.write.mode("append").parquet(path)
+    table = part.sparkSession.read.schema(part.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``materialize`` that no result depends on any more."""
     for table in tables:

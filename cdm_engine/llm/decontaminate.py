@@ -12,8 +12,11 @@ terms, one after the other. With ``slop`` above 0 (proximity) each term may stan
 with that start would have it.
 
 *Phrases.* A window is ``width`` consecutive words of an item; an item of fewer words, but not none,
-is one window. The benchmark is dealt with in blocks of about ``BLOCK_BYTES`` of text, so that what
-is sent to every task has a bound whatever the benchmark's size; every block is looked up in the same index.
+is one window. Tasks turn items into word identifiers and cut long ones into pieces of ``PIECE_WINDOWS`` windows; pieces that an
+item has more than once, in repeated rows or within it, count once. They are dealt to blocks of about ``BLOCK_BYTES`` of identifiers, so
+that what the driver holds and sends to every task has a bound whatever the benchmark's size, its longest item's and its
+repeated rows'. Every block is looked up in the same index; with more than one, the hits of each are written and its broadcast
+destroyed before the next is read.
 
 Words: ASCII letters in lower case, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined cases: null texts
 have no words; items without words never match; a null item_id prints as an empty string; rows with
@@ -32,10 +35,13 @@ from pyspark.sql import functions as F
 
 from ..sources.files import fresh_path
 from ._rows import KEY, KEYS, NO_ID, keyed, whole
-from ._store import materialize, release
+from ._store import materialize, materialize_each, release
 from ._text import LOWER, column, gather, hash_spans, slices, spans, tidied
 
+#: Bytes of word identifiers (8 for each word of the benchmark) in a block, on average.
 BLOCK_BYTES = 2 << 20
+#: Windows of a piece, far fewer than a block's.
+PIECE_WINDOWS = 1 << 13
 SEGMENT_BYTES = 1 << 19
 #: Places between the last word of a document and the first of the next are more than this.
 GAP = 1 << 10
@@ -55,17 +61,15 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Phrases:
-    """A block of the benchmark: sorted terms, and phrases as rows of term numbers (-1: no more)."""
+    """A block of the benchmark, from (item, word identifiers) of its pieces: sorted terms, and phrases as rows of term
+    numbers (-1: no more)."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        arr = pa.array([t for _, t in items], pa.string())
+    def __init__(self, pieces: list[tuple[str, list[int]]], width: int):
         found: dict[tuple[int, ...], set[str]] = {}
-        for lo, hi, data, off in slices(arr):
-            terms, ptr = tokens(data, off)
-            for i in range(lo, hi):
-                own = terms[ptr[i - lo] : ptr[i - lo + 1]].tolist()
-                for k in range(max(1, len(own) - width + 1) if own else 0):
-                    found.setdefault(tuple(own[k : k + width]), set()).add(items[i][0])
+        for item, terms in pieces:
+            own = np.array(terms, np.int64).view(np.uint64).tolist()
+            for k in range(max(1, len(own) - width + 1)):
+                found.setdefault(tuple(own[k : k + width]), set()).add(item)
         self.width = width
         self.items = [sorted(x) for x in found.values()]
         self.terms = np.unique(np.array([t for p in found for t in p], np.uint64))
@@ -194,32 +198,70 @@ def _search(shared, slop: int):
     return run
 
 
-def blocks(benchmark: DataFrame, width: int) -> Iterator[Phrases]:
-    """The benchmark's phrases, about ``BLOCK_BYTES`` of text at a time on the driver. It is dealt to blocks once."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    if n > 1:
-        path = fresh_path(items.sparkSession, "benchmark")
-        items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("part").parquet(path)
-        items = items.sparkSession.read.parquet(path)
-    for k in range(n):
-        part = items.where(F.col("part") == k) if n > 1 else items
-        yield Phrases([(r.item, r.text) for r in part.select("item", "text").collect()], width)
+def _pieces(width: int, windows: int):
+    """(item, terms) of pieces of at most so many windows; each window of an item with words is in one of them."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, off in slices(column(batch, "text")):
+                terms, ptr = tokens(data, off)
+                n = np.diff(ptr)
+                parts = -(-np.maximum(n - width + 1, np.minimum(n, 1)) // windows)
+                row = np.repeat(np.arange(len(n)), parts)
+                start = ptr[row] + windows * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+                size = np.minimum(start + windows + width - 1, ptr[row + 1]) - start
+                for at in range(0, len(row), 256):
+                    some = slice(at, at + 256)
+                    edge = np.append(0, np.cumsum(size[some])).astype(np.int32)
+                    words = pa.array(gather(terms, start[some], size[some]).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row[some])), pa.ListArray.from_arrays(pa.array(edge), words)], names=["item", "terms"])
+
+    return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, hits, the index that they are read from). rows: id, ka, kb, n_words of every row of ``docs`` (with id, ka, kb, text). hits: ka, kb, starts,
+def blocks(benchmark: DataFrame, width: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(the pieces of each block, at least one; the tables that they are read from)."""
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")
+    items = benchmark.select(item, F.coalesce("text", F.lit("")).alias("text"))
+    pieces = materialize(items.mapInArrow(_pieces(width, PIECE_WINDOWS), "item string, terms array<long>").distinct(), "benchmark")
+    total = 8 * (pieces.agg(F.sum(F.size("terms"))).first()[0] or 0)
+    n = -(-total // BLOCK_BYTES)
+    if n <= 1:
+        return [pieces], [pieces]
+    path = fresh_path(pieces.sparkSession, "blocks")
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("item", "terms"), F.lit(n)))
+    dealt.repartition("part").write.partitionBy("part").parquet(path)
+    dealt = pieces.sparkSession.read.parquet(path)
+    dealt._stored_at = path
+    release(pieces)
+    return [dealt.where(F.col("part") == k).select("item", "terms") for k in range(n)], [dealt]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, hits, the tables that they are read from). rows: id, ka, kb, n_words of every row of ``docs`` (with id, ka, kb, text). hits: ka, kb, starts,
     lens, items, near - the words where phrases start, their numbers of words, the item_ids, and those within ``slop`` - of those that match."""
     if not 0 < width + slop < GAP:
         raise ValueError(f"width and slop stay below {GAP}")
     context = docs.sparkSession.sparkContext
     index = build_index(docs)
     rows = index.select(F.explode(F.arrays_zip("id", *KEY, "n_words")).alias("d")).select("d.*")
-    hits = index.limit(0).mapInArrow(lambda batches: iter(()), HITS)
-    for block in blocks(benchmark, width):
-        hits = hits.unionByName(index.mapInArrow(_search(context.broadcast(block), slop), HITS))
-    return rows, hits.groupBy(*KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items", "near")]), index
+    parts, source = blocks(benchmark, width)
+
+    def found() -> Iterator[DataFrame]:
+        for part in parts:
+            shared = context.broadcast(Phrases([(r.item, r.terms) for r in part.collect()], width))
+            yield index.mapInArrow(_search(shared, slop), HITS)
+            shared.destroy()  # only once the next is asked for
+
+    if len(parts) == 1:
+        hits, held = next(found()), [index]
+    else:
+        hits = materialize_each(found(), "hits")
+        held = [index, hits]
+    release(*source)
+    # copies of one row share a key
+    return rows, hits.groupBy(*KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lens", "items", "near")]), held
 
 
 @tidied
@@ -255,7 +297,7 @@ def hit_digests(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
     own = whole(docs)
-    _, hits, index = matches(own.select("id", *KEY, F.col("row.text").alias("text")), benchmark, width)
+    _, hits, held = matches(own.select("id", *KEY, F.col("row.text").alias("text")), benchmark, width)
     hits = materialize(hits.select(*KEY), "hits")
-    release(index)
+    release(*held)
     return own.join(hits, KEY, "left_anti").select("row.*")

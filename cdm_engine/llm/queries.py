@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.files import fresh_path
 from . import ball_tree, chat, decontaminate, html_extract, langid, oracles, packing, passage_quality, sharding, simhash, simhash_dedup, substring_dedup, suffix_dedup, vector_codes
@@ -51,6 +52,16 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.contents(spark, source, sharding.reshard(spark, source, 16, target=fresh_path(spark, "resharded"))))
 
 
+def reshard_12_to_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 with several old shards: documents are put into 12 shards and from there into 16. Also the bytes that changed
+    shard and the least that the flow moves."""
+    before, after = fresh_path(spark, "twelve"), fresh_path(spark, "sixteen")
+    sharding.reshard(spark, f"{sf_dir}/documents.parquet", 12, target=before)
+    found = sharding.reshard(spark, before, 16, target=after)
+    rows = sharding.digests(sharding.contents(spark, before, found))
+    return rows.withColumns({"bytes_moved": F.lit(found.plan.moved).cast("long"), "bytes_least": F.lit(found.plan.least).cast("long")})
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3)
 
@@ -87,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_resharding": op6_resharding,
+        "reshard_12_to_16": reshard_12_to_16,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,

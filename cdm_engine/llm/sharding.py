@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import delete, folders, fresh_path, move
+from ._store import tidied_shuffles
 
 #: Number of blocks, about; the plan has a row for each.
 BLOCKS = 1 << 15
@@ -215,7 +216,8 @@ def reshard(spark: SparkSession, source: str, new: int, target: str | None = Non
         to = "shard" + uuid.uuid4().hex  # no column has this name
         out = rows.join(where, "block").select("row.*", F.col("shard").alias(to))
         made = fresh_path(spark, "shards") if target else f"{source.rstrip('/')}/_new-{uuid.uuid4().hex}"
-        out.hint("rebalance", to).write.partitionBy(to).parquet(made)
+        with tidied_shuffles(spark):  # all moved rows pass through it
+            out.hint("rebalance", to).write.partitionBy(to).parquet(made)
         home = (target or source).rstrip("/")
         if not target:
             aside = f"{home}/_old-{uuid.uuid4().hex}"

@@ -56,6 +56,23 @@ def test_against_brute_force(spark, rows, tables, width, candidates, block, monk
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _, n, *_ in brute(docs, items, width) if not n), key=str)
 
 
+def test_long_and_repeated_items(spark, rows, monkeypatch):
+    """Items are cut into pieces of a few windows; a row that stands there 300 times and one that repeats itself count once."""
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(n))
+    long, twice = text(400), text(30)
+    items = [(1, long), (2, twice)] + [(3, twice)] * 300 + [(4, ("q w e r t " * 200).strip()), (5, "q w")]
+    docs = [(k, text(20) + " " + " ".join(long.split()[9 * k : 9 * k + 8 + k % 5]) + " " + text(5)) for k in range(40)] + [(50, long), (51, twice), (52, "q w e r t q w e r t q w"), (53, "w q"), (54, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts, source = decontaminate.blocks(bench, 10)
+    sizes = [sum(len(x.terms) for x in p.collect()) for p in parts]
+    assert len(parts) > 4 and max(sizes) < 4 * 1000 / 8 and sum(sizes) < 1300, "neither one item nor one row's copies fill a block"
+    decontaminate.release(*source)
+    assert sorted(map(tuple, decontaminate.hit_digests(rows(docs), bench, 10).collect()), key=str) == brute(docs, list(dict.fromkeys(items)), 10)
+
+
 def test_proximity(spark, rows):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = decontaminate.keyed(rows([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha x y z beta gamma")]))

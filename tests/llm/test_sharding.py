@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cdm_engine.llm import sharding
+from cdm_engine.llm import queries, sharding
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -119,6 +119,19 @@ def test_untouched_shards_keep_their_files(spark, rows, tmp_path):
     assert {x.doc_id // 1000 for x in digest(spark, str(home), fewer) if x.shard == 0 and x.doc_id < 2000} == {0}
 
 
+def test_from_twelve_shards_to_sixteen(spark, rows, tmp_path):
+    """The registered query: what moves is what the flow moves between shards of exactly equal bytes, a quarter of all, but for less than a block per shard."""
+    r = random.Random(2)
+    docs = [(i, "ab" * r.randint(0, 150)) for i in range(3000)] + [(None, None), (5, "x"), (5, "x")]
+    rows(docs).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.reshard_12_to_16(spark, str(tmp_path)).collect()
+    size = check(got, docs, 16)
+    mean = sum(size.values()) / 16
+    assert max(size.values()) <= mean + 0.005 * mean + 301 and min(size.values()) >= mean - 0.005 * mean - 301
+    (moved, least), *more = {(x.bytes_moved, x.bytes_least) for x in got}
+    assert not more and abs(moved - least) < 16 * 301 and abs(least - sum(size.values()) / 4) < 0.02 * least
+
+
 def test_empty_table(spark, rows, tmp_path):
     source = str(tmp_path / "in")
     rows([(1, "a")]).where("false").write.parquet(source)
