@@ -1,9 +1,11 @@
 import time
 
 import pytest
+import unseen_pages
 from hand_pages import PAGES
 
 from cdm_engine.llm import html_extract as H
+from cdm_engine.llm import labelled_pages
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +28,34 @@ def test_pages_by_hand(model):
     assert total == 104 and wrong <= 0.08 * total
 
 
+def judged(pages, model):
+    """(text blocks, wrongly kept, wrongly left out) of labelled pages."""
+    n = more = less = 0
+    for source in pages:
+        page = H.Page(source)
+        p = model.marginals(page)
+        n += len(page.texts)
+        more += sum(p[i] >= 0.5 and not page.label[i] for i in page.texts)
+        less += sum(p[i] < 0.5 and page.label[i] for i in page.texts)
+    return n, more, less
+
+
+def test_labelled_pages_not_trained_on(model):
+    n, more, less = judged(unseen_pages.PAGES, model)
+    assert n == 121 and more + less <= 0.02 * n
+
+
+def test_labelled_pages_left_out():
+    """Each page labelled by hand, judged by a model that has learned from the others."""
+    made = H.training_pages(600)
+    wrong = total = 0
+    for k, source in enumerate(labelled_pages.PAGES):
+        others = labelled_pages.PAGES[:k] + labelled_pages.PAGES[k + 1 :]
+        n, more, less = judged([source], H.train(made + others * H.LABELLED_TIMES))
+        wrong, total = wrong + more + less, total + n
+    assert total == 198 and wrong <= 0.06 * total
+
+
 ARTICLE = "<article><h1>The quiet valley</h1><p>There is a valley two hours from the city where no road leads.</p><p>We walked in at seven.</p></article>"
 TEXT = ["The quiet valley", "There is a valley two hours from the city where no road leads.", "We walked in at seven."]
 
