@@ -102,7 +102,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The index table over every word of every row of ``docs`` (id, ka, kb, text): one row per segment."""
-    return materialize(docs.select("id", *KEY, "text").mapInArrow(_segments, SEGMENT), "postings")
+    return materialize(docs.select("id", *KEY, "text").mapInArrow(_segments, SEGMENT), "postings", wide=True)
 
 
 def postings(block: Phrases, terms: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

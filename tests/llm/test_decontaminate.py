@@ -88,3 +88,19 @@ def test_empty_tables(spark, rows):
     got = decontaminate.hit_digests(rows([(1, "a b")]), none).collect()
     assert [(r.doc_id, r.n_words, r.n_hit) for r in got] == [(1, 2, 0)]
     assert decontaminate.hit_digests(rows([(1, "a")]).where("false"), none).count() == 0
+
+
+def test_a_reader_of_the_index_holds_little(spark):
+    """Rows of the index are large; a row group, which a task reads at once, stays small."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from cdm_engine.llm._rows import keyed
+
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12000), x -> hex(xxhash64(id, x)))) AS text")
+    index = decontaminate.build_index(keyed(docs))
+    (path,) = glob.glob(f"{index._stored_at.removeprefix('file:')}/*.parquet")
+    about = pq.ParquetFile(path).metadata
+    sizes = [about.row_group(k).total_byte_size for k in range(about.num_row_groups)]
+    assert sum(sizes) > 20e6 and max(sizes) < 14e6
