@@ -46,17 +46,23 @@ def decode(v: np.ndarray) -> np.ndarray:
     return (v ^ _LEADERS[_syndromes(v)]) >> 11
 
 
+def _near_errors() -> np.ndarray:
+    """For each syndrome, how a word differs from the codewords to which it and its neighbours decode; the first repeated where there are
+    fewer than six."""
+    flips = np.append(0, 1 << np.arange(23))
+    errors = flips[None, :] ^ _LEADERS[np.arange(2048)[:, None] ^ _syndromes(flips)[None, :]]
+    rows = [sorted(set(row)) for row in errors.tolist()]
+    return np.array([(row + row[:1] * 6)[:6] for row in rows], np.int64)
+
+
+_NEAR = _near_errors()
+_LOW, _HIGH = _syndromes(np.arange(1 << 12)), _syndromes(np.arange(1 << 11) << 12)
+
+
 def fuzzy_keys(v: np.ndarray) -> np.ndarray:
-    """The six codeword indices of each 23-bit word, repeated where there are fewer."""
-    near = np.concatenate([decode(v)[:, None]] + [decode(v ^ (1 << b))[:, None] for b in range(23)], axis=1)
-    near.sort(axis=1)
-    fresh = np.ones(near.shape, bool)
-    fresh[:, 1:] = near[:, 1:] != near[:, :-1]
-    rank = np.cumsum(fresh, axis=1) - 1
-    out = np.repeat(near[:, :1], 6, axis=1)
-    rows, cols = np.nonzero(fresh)
-    out[rows, rank[rows, cols]] = near[rows, cols]
-    return out
+    """The six codeword indices of each 23-bit word; some repeat where there are fewer."""
+    v = v.astype(np.int64)
+    return (v[:, None] ^ _NEAR[_LOW[v & 0xFFF] ^ _HIGH[v >> 12]]) >> 11
 
 
 def join_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

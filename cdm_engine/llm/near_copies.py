@@ -2,15 +2,16 @@
 least ``least`` (the pipeline's near-dedup stage: 5 words, 0.8).
 
 Words and shingles are those of ``simhash``, here as sets. Rows with equal sets are one node. A node's fingerprint has
-``TABLES`` x ``BITS`` bits, and 128 more for comparing. Two texts of similarity 0.8 differ in at most 15.15 % of bits
-(their cosine is at least 2 x 0.8 / 1.8), so that one of 64 tables of 16 bits has a key in common for 99.2 % of them at
-least; of similarity 0.85, 99.97 %; 0.9, more than 99.999 %. Pairs of a bucket that differ in more than ``FAR`` of the
-106 bits that travel with a key are passed over: at similarity 0.8 these are some 3 in 100,000.
+``SIGNS`` bits, and 128 more for comparing. Candidates meet by the Golay-code fuzzy hashing of ``golay``: each of ``TABLES`` tables takes 23 + ``EXACT``
+bits of its own; the first are one segment with its fuzzy keys (six codewords at most), the others must be equal. Two texts of similarity 0.8
+differ in at most 15.15 % of bits (their cosine is at least 2 x 0.8 / 1.8); segments so far apart share a fuzzy key in 60 % (counted on 40,000 random ones),
+so that one of 20 tables has a key in common for 99.4 % of such pairs. Pairs of a bucket that differ in more than ``FAR`` of the
+105 bits that travel with a key are passed over: at similarity 0.8 these are some 3 in 100,000.
 
 What is left is compared by its whole fingerprints (``NEAR`` of 1152 bits: of pairs of similarity 0.8 one in some millions has more)
-and then by its texts, no pair being linked unverified. A bucket first sends a spanning forest
-of its candidates. Where a link of a forest fails, all candidate pairs of its bucket that verified links
-have not joined already are compared as well, in the bucket's task: first by fingerprints alone; only rows of pairs that these leave
+and then by its texts, no pair being linked unverified. First the buckets of ``FIRST`` tables each send a spanning forest of their candidates, the nearest pairs
+first, so that a group of near copies sends few pairs however large it is. Then, in the buckets of all tables, the candidate pairs that verified links
+have not joined already are compared in the bucket's task: first by fingerprints alone; only rows of pairs that these leave
 bring their texts to the task, once each. So each candidate pair is verified, or its ends are in one component. Texts that
 share a template but are less alike than the threshold cost comparisons of fingerprints, and hardly any of texts.
 """
@@ -28,17 +29,20 @@ from ._rows import KEY, KEYS, keyed
 from ._store import materialize, release
 from ._text import K1, K3, column, gather, mix, slices, tidied
 from .components import components
+from .golay import fuzzy_keys
 from .simhash import signs, terms
 
-TABLES, BITS = 64, 16
-#: Bits of (table, key) in a row's first number; its other bits and the second number are compared.
-HEAD = 22
+SIGNS, TABLES, EXACT = 1024, 20, 6
+#: Tables whose forests are verified before all pairs are looked at; they find most links of large groups.
+FIRST = 3
+#: Bits of (table, exact bits, codeword) in a row's first number; its other bits and the second number are compared.
+HEAD = 23
 FAR = 31
 #: Of all 1152 bits: at similarity 0.8 pairs differ in 174.5 on average, with a standard deviation of 12.2; sets of few shingles, whose
 #: votes are often tied, in up to 216 (four shingles and a fifth), with one of 13.2. So many are near, the second where a set has under ``FEW``.
 NEAR, NEAR_FEW, FEW = 250, 290, 64
-#: Rows of a bucket above which its forest is searched row by row.
-LARGE = 1024
+#: Rows of a bucket above which its pairs are searched row by row.
+LARGE = 256
 _REST = np.uint64((1 << (64 - HEAD)) - 1)
 
 
@@ -69,7 +73,7 @@ def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, ptr in _slices(column(batch, "text"), size):
-                bits = np.concatenate([signs(h, ptr, TABLES * BITS + 128), np.diff(ptr).astype("<u8")[:, None].view(np.uint8)], axis=1)
+                bits = np.concatenate([signs(h, ptr, SIGNS + 128), np.diff(ptr).astype("<u8")[:, None].view(np.uint8)], axis=1)
                 s = pa.array([x.tobytes() for x in bits], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(nodes(h, ptr)), s], names=["id", *KEY, "f", "bits"])
 
@@ -89,19 +93,33 @@ def _numbered(size: int):
     return run
 
 
-@tidied
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, f): table, key and 42 bits; 64 bits; node - one row for each table."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            key = np.ascontiguousarray(raw[:, : TABLES * BITS // 8]).view("<u2").astype(np.uint64)
-            rest = np.ascontiguousarray(raw[:, TABLES * BITS // 8 :]).view("<u8")
-            head = (np.arange(TABLES, dtype=np.uint64)[None, :] << np.uint64(BITS)) | key
-            a = (head << np.uint64(64 - HEAD)) | (rest[:, :1] & _REST)
-            columns = a.view(np.int64), np.repeat(rest[:, 1:2], TABLES, axis=1).view(np.int64), np.repeat(part.column(0).to_numpy()[:, None], TABLES, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in columns], names=["a", "b", "f"])
+def _heads(raw: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The six (table, exact bits, codeword) of each fingerprint in each of the tables; some repeat where there are fewer."""
+    width = 23 + EXACT
+    signs_ = np.unpackbits(np.ascontiguousarray(raw[:, : SIGNS // 64]).view(np.uint8), axis=1, bitorder="little")
+    bits = signs_[:, first * width : end * width].reshape(len(raw), end - first, width)
+    segment = bits[:, :, :23] @ (1 << np.arange(23))
+    exact = bits[:, :, 23:] @ (1 << np.arange(EXACT)) + (np.arange(first, end) << EXACT)
+    return (exact[:, :, None] << 12) | fuzzy_keys(segment.ravel()).reshape(*segment.shape, 6)
+
+
+def _tables(first: int, end: int):
+    """(f, bits, label) to (a, b, f, label): table, key and 41 bits; 64 bits; node; label - one row for each key of these tables."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = _raw(part.column(1).to_pylist())
+                head = np.sort(_heads(raw, first, end).reshape(len(raw), -1), axis=1)
+                row, k = np.nonzero(np.append(np.ones((len(raw), 1), bool), head[:, 1:] != head[:, :-1], axis=1))
+                rest = raw[:, SIGNS // 64 : SIGNS // 64 + 2]
+                a = (head[row, k].astype(np.uint64) << np.uint64(64 - HEAD)) | (rest[row, 0] & _REST)
+                columns = a.view(np.int64), rest[row, 1].view(np.int64), part.column(0).to_numpy()[row], part.column(2).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "f", "label"])
+
+    return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -130,64 +148,105 @@ def _apart(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
     return np.bitwise_count((a[i] ^ a[j]) & _REST).astype(np.int64) + np.bitwise_count(b[i] ^ b[j])
 
 
-def _pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows i < j of one bucket that differ in at most FAR bits: the pairs one place apart, two places, ..."""
-    end = np.searchsorted(key, key, side="right")
-    live, step = np.arange(len(key)), 1
+def _pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one bucket with different labels that differ in at most FAR bits. In small buckets the pairs one place apart, two places, ...; in
+    large ones row by row, labels of few rows first, so that the rows of the largest are never compared with each other."""
+    cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    size = np.diff(cut)
+    small = np.flatnonzero(np.repeat(size <= LARGE, size))
+    end = np.searchsorted(key[small], key[small], side="right")
+    live, step = np.arange(len(small)), 1
     while len(live := live[live + step < end[live]]):
-        near = live[_apart(a, b, live, live + step) <= FAR]
-        if len(near):
-            yield near, near + step
+        i, j = small[live], small[live + step]
+        new = label[i] != label[j]
+        i, j = i[new], j[new]
+        near = _apart(a, b, i, j) <= FAR
+        if near.any():
+            yield i[near], j[near]
         step += 1
-
-
-def _search(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the candidates of one bucket."""
-    left, front, found = np.arange(1, len(a)), [0], []
+    for g in np.flatnonzero(size > LARGE).tolist():
+        rows = np.arange(cut[g], cut[g + 1])
+        _, which, n = np.unique(label[rows], return_inverse=True, return_counts=True)
+        rows = rows[np.lexsort((which, n[which]))]
+        for k in range(len(rows) - int(n.max())):
+            rest = rows[k + 1 :]
+            rest = rest[label[rest] != label[rows[k]]]
+            near = rest[_apart(a, b, rest, rows[k]) <= FAR]
+            if len(near):
+                yield np.full(len(near), rows[k]), near
+
+
+def _search(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the labels of one bucket."""
+    _, which = np.unique(label, return_inverse=True)
+    left, front, found = np.arange(len(a)), [], []
+    seen = np.zeros(len(a), bool)  # labels
     while len(left):
         if not front:
-            front, left = [int(left[0])], left[1:]
-            continue
-        i = front.pop()
-        near = _apart(a, b, left, i) <= FAR
-        found += [(i, j) for j in left[near].tolist()]
-        front += left[near].tolist()
-        left = left[~near]
+            seen[which[left[0]]] = True
+        else:
+            i = front.pop()
+            near = left[_apart(a, b, left, i) <= FAR]
+            _, once = np.unique(which[near], return_index=True)  # what is left has no label that was seen
+            found += [(i, j) for j in near[once].tolist()]
+            seen[which[near]] = True
+        new = seen[which[left]]
+        front += left[new].tolist()
+        left = left[~new]
     pairs = np.array(found, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _forest(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, more): pairs that connect what all candidate pairs connect; ``more``: its component has others."""
-    some = list(_pairs(key, a, b))
+def _spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The edges (x, y), which come in order of their weights, of the least spanning forest of n nodes."""
+    root, alive, chosen = np.arange(n), np.arange(len(x)), []
+    while True:
+        alive = alive[root[x[alive]] != root[y[alive]]]
+        if not len(alive):
+            return np.sort(np.concatenate([*chosen, alive]))
+        best = np.full(n, len(x))  # each component's first edge
+        np.minimum.at(best, root[x[alive]], alive)
+        np.minimum.at(best, root[y[alive]], alive)
+        own = np.flatnonzero(best < len(x))
+        chosen.append(np.unique(best[own]))
+        up = np.arange(n)
+        up[own] = root[x[best[own]]] + root[y[best[own]]] - own  # the component at its other end
+        up = np.where((up[up] == np.arange(n)) & (np.arange(n) < up), np.arange(n), up)
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def _forest(key: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the labels of small buckets as all candidate pairs do, the nearest first."""
+    some = list(_pairs(key, a, b, label))
     if not some:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = (np.concatenate(x) for x in zip(*some, strict=True))
-    root = np.arange(len(key))
-    np.minimum.at(root, j, i)
-    best = root.copy()
-    while (root[root] != root).any():
-        root = root[root]
-    sent = (best[j] == i) | (root[i] != root[j])
-    left_out = np.isin(key[j], key[j[~sent]])
-    return i[sent], j[sent], left_out[sent]
+    order = np.argsort(_apart(a, b, i, j), kind="stable")
+    i, j = i[order], j[order]
+    row = np.lexsort((label, key))
+    node = np.empty(len(key), np.int64)
+    node[row] = np.cumsum(np.append(False, (key[row][1:] != key[row][:-1]) | (label[row][1:] != label[row][:-1])))
+    sent = _spanning(node[i], node[j], len(key))
+    return i[sent], j[sent]
 
 
 @tidied
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, *numbers, f in _buckets(batches):
+    for key, *numbers, f, label in _buckets(batches):
         a, b = (x.view(np.uint64) for x in numbers)
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         size = np.diff(cut)
-        small = np.repeat(size <= LARGE, size)
-        at = np.flatnonzero(small)
-        i, j, more = _forest(key[at], a[at], b[at])
-        parts = [(at[i], at[j], more)]
+        at = np.flatnonzero(np.repeat(size <= LARGE, size))
+        i, j = _forest(key[at], a[at], b[at], label[at])
+        parts = [(at[i], at[j])]
         for g in np.flatnonzero(size > LARGE).tolist():
-            i, j = _search(a[cut[g] : cut[g + 1]], b[cut[g] : cut[g + 1]])
-            parts.append((i + cut[g], j + cut[g], np.ones(len(i), bool)))
-        i, j, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[j]), pa.array(key[j].astype(np.int64), mask=~more)], names=["x", "y", "key"])
+            own = slice(cut[g], cut[g + 1])
+            i, j = _search(a[own], b[own], label[own])
+            parts.append((i + cut[g], j + cut[g]))
+        i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(f[i], f[j])), pa.array(np.maximum(f[i], f[j]))], names=["x", "y"])
 
 
 @tidied
@@ -195,14 +254,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that are in a candidate pair whose ends have different labels."""
     for key, a, b, f, label in _buckets(batches):
         some = np.zeros(len(key), bool)
-        for i, j in _pairs(key, a.view(np.uint64), b.view(np.uint64)):
-            new = label[i] != label[j]
-            some[i[new]] = some[j[new]] = True
+        for i, j in _pairs(key, a.view(np.uint64), b.view(np.uint64), label):
+            some[i] = some[j] = True
         if some.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, f, label)], names=["a", "b", "f", "label"])
 
 
-def _raw(bits: np.ndarray) -> np.ndarray:
+def _raw(bits) -> np.ndarray:
     """Fingerprints of rows, as 64-bit numbers, and behind them the number of shingles."""
     return np.frombuffer(b"".join(bits), "<u8").reshape(len(bits), -1)
 
@@ -213,17 +271,16 @@ def _near(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _new_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a bucket whose ends have different labels and whole fingerprints that are near. A pair counts in the first table in which
-    its ends share a key."""
-    keys = raw.view("<u2")[:, :TABLES]
-    for i, j in _pairs(key, a, b):
-        for at in range(0, len(i), 1 << 14):
-            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            new = label[x] != label[y]
-            x, y = x[new], y[new]
+    """Candidate pairs of a bucket whose ends have different labels and whole fingerprints that are near. A pair counts at the first key that
+    its ends share."""
+    for i, j in _pairs(key, a, b, label):
+        for at in range(0, len(i), 1 << 12):
+            x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
             close = _near(raw[x], raw[y])
             x, y = x[close], y[close]
-            mine = (keys[x] == keys[y]).argmax(axis=1) == (key[x] >> np.uint64(BITS)).astype(np.int64)
+            one, two = (_heads(raw[z], 0, TABLES) for z in (x, y))
+            shared = (one[:, :, :, None] == two[:, :, None, :]).any(axis=3)
+            mine = np.where(shared, one, 1 << HEAD).min(axis=(1, 2)) == key[x].astype(np.int64)
             if mine.any():
                 yield x[mine], y[mine]
 
@@ -332,34 +389,29 @@ def _judged(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, chosen: Data
     return told
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with their buckets in one task each, in order."""
+    head = F.shiftrightunsigned("a", 64 - HEAD)
+    return rows.repartition(head).sortWithinPartitions(head, "a", "b", "f")
+
+
 def links(distinct: DataFrame, docs: DataFrame, chosen: DataFrame, size: int, least: float) -> DataFrame:
     """Verified links (a, b) between the nodes of ``distinct`` (f, bits) that join all verified candidates."""
-    head = F.shiftrightunsigned("a", 64 - HEAD)
-    tables = distinct.select("f", "bits").mapInArrow(_tables, "a long, b long, f long")
-    order = (head, F.col("a"), F.col("b"), F.col("f"))
-    dealt = tables.repartition(head).sortWithinPartitions(*order)
-    found = materialize(dealt.mapInArrow(_links, "x long, y long, key long"), "candidates")
-    least_first = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "key")
-    judged = _judged(least_first.select("x", "y").distinct(), distinct, docs, chosen, size, least)
-    sure = judged.where("alike").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    doubtful = least_first.where("key is not null").join(judged.where("not alike"), ["x", "y"]).select("key").distinct()
-    doubtful = materialize(doubtful, "doubtful")
+    numbers = "a long, b long, f long, label long"
+    tables = distinct.select("f", "bits", F.col("f").alias("label")).mapInArrow(_tables(0, FIRST), numbers)
+    found = materialize(_dealt(tables).mapInArrow(_links, "x long, y long").distinct(), "candidates")
+    judged = _judged(found, distinct, docs, chosen, size, least)
     release(found)
-    if not doubtful.limit(1).count():
-        release(doubtful)
-        return sure
+    sure = judged.where("alike").select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(sure).withColumnRenamed("node", "f")
-    again = tables.withColumn("key", head).join(doubtful, "key", "left_semi").join(label, "f", "left")
-    again = again.select("a", "b", "f", F.coalesce("label", "f").alias("label")).repartition(head).sortWithinPartitions(*order)
-    others = materialize(again.mapInArrow(_across, "a long, b long, f long, label long"), "others")
-    release(doubtful)
-    bits = others.join(distinct, "f").select("a", "b", "f", "label", "bits").repartition(head).sortWithinPartitions(*order)
-    closer = materialize(bits.mapInArrow(_closer, "a long, b long, f long, label long, bits binary"), "closer")
+    again = distinct.join(label, "f", "left").select("f", "bits", F.coalesce("label", "f").alias("label")).mapInArrow(_tables(0, TABLES), numbers)
+    others = materialize(_dealt(again).mapInArrow(_across, numbers), "others")
+    bits = others.join(distinct, "f").select("a", "b", "f", "label", "bits")
+    closer = materialize(_dealt(bits).mapInArrow(_closer, f"{numbers}, bits binary"), "closer")
     release(others)
     texts = _texts(closer.select("f").distinct(), docs, chosen, size)
     whole = closer.join(texts, "f").select("a", "b", "f", "label", "bits", "text")
-    more = whole.repartition(head).sortWithinPartitions(*order).mapInArrow(_joined(size, least), "a long, b long")
-    more = materialize(more, "more")
+    more = materialize(_dealt(whole).mapInArrow(_joined(size, least), "a long, b long"), "more")
     release(closer, texts)
     return sure.unionByName(more)
 

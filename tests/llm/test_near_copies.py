@@ -138,3 +138,38 @@ def test_short_texts_have_room_for_ties():
         assert near_copies._near(*raw).mean() > 0.99, (n, m)
         worst = max(worst, np.bitwise_count(raw[0][:, :-1] ^ raw[1][:, :-1]).sum(axis=1).mean())
     assert worst < 220
+
+
+def test_candidates_meet_by_golay_keys():
+    """Fingerprints with two errors in a table's segment share a key of that table; with one among its exact bits, none."""
+    import numpy as np
+
+    raw = np.random.default_rng(9).integers(0, 2**63, (50, 19)).astype(np.uint64)
+    width = 23 + near_copies.EXACT
+    for bits, meet in (((0, 22), True), ((5, 6), True), ((23,), False), ((1, width - 1), False)):
+        other = raw.copy()
+        for b in bits:
+            at = 3 * width + b
+            other[:, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        one, two = (near_copies._heads(x, 3, 4).reshape(50, 6) for x in (raw, other))
+        assert all(bool(set(x) & set(y)) is meet for x, y in zip(one.tolist(), two.tolist(), strict=True))
+
+
+def test_a_large_group_sends_few_pairs(spark, rows, monkeypatch):
+    """Texts that differ from one in ever more words: partly near copies, partly not."""
+    r = random.Random(10)
+    base, docs = [f"w{r.random()}" for _ in range(150)], []
+    for k in range(600):
+        copy = list(base)
+        for at in r.sample(range(150), r.randint(1, 8)):
+            copy[at] = f"x{r.random()}"
+        docs.append((k, " ".join(copy)))
+    sent, judged = [], near_copies._judged
+
+    def counted(pairs, *rest):
+        sent.append(pairs.count())
+        return judged(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_judged", counted)
+    assert {x.doc_id for x in simhash_dedup.keep_unlike(rows(docs), 5, 0.8).collect()} == set(components(docs).values())
+    assert sum(sent) < 10 * len(docs), sent
