@@ -69,9 +69,8 @@ def match_codelist(
     (``position``, a column of the codelist; else its order). ``guard``: exact codes that would multiply beyond ``max_rows`` are refused
     before they are joined (``check_exact``).
 
-    Both inputs are read once and written to the shared folder (an inventory has a row per distinct code, not per record). One outer
-    join on (system, code or prefix) finds matches and data codes alone; a window over each data code, which has few rows,
-    picks its study codes. Codes of the list that no data code picked are found by an anti-join with the picked ones, as many
+    Both inputs are read once and written to the shared folder. An outer join of equal codes and a join of distinct codes by their prefixes
+    find matches and data codes alone; no rows of a data code gather in one task. Codes of the list that no data code picked are found by an anti-join with the picked ones, as many
     data codes may meet in one study code.
     """
     found = _checked(found, "the data's codes", ["coding_system", "code", "COUNT", "source_column"])
@@ -95,7 +94,7 @@ def match_codelist(
     picked = pairs.where("picked").select(F.col("study_system").alias("s"), F.col("study_code").alias("c")).distinct()
     out = ["coding_system", "COUNT", "source_column", "data_code", "concept_id", "study_code", "tags", "rank", "study_length"]
     from_data = pairs.where("picked").select(*out, F.lit(MATCHED).alias("match_status"))
-    alone = pairs.where("not any_picked and first_of_row").select(*out[:4], *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in out[4:]], F.lit(ONLY_IN_DATA).alias("match_status"))
+    alone = pairs.where("not picked").select(*out[:4], *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in out[4:]], F.lit(ONLY_IN_DATA).alias("match_status"))
     listed = study.join(picked, F.col("coding_system").eqNullSafe(F.col("s")) & F.col("code").eqNullSafe(F.col("c")), "left_anti")
     unused = listed.select(
         "coding_system", F.lit(None).cast("long").alias("COUNT"), *[F.lit(None).cast("string").alias(c) for c in ("source_column", "data_code")], "concept_id", F.col("code").alias("study_code"), "tags", "rank",
@@ -109,26 +108,32 @@ def match_codelist(
 
 
 def _paired(data: DataFrame, study: DataFrame, hierarchical: Column) -> DataFrame:
-    """Data codes and study codes, joined once: ``picked`` pairs are matches; ``any_picked``: the data code has one; ``first_of_row``
-    marks one row for each row of the data."""
+    """Rows of data and study codes: ``picked`` pairs are matches; the others are the data rows whose code has none, each once.
+
+    Exact codes: rows of a code all match or none does, so a join is enough. Prefix codes: a window over each distinct code's study
+    codes, which are few, and not over the rows of the data; the one row that gets a match is found by an aggregate."""
+    system = F.coalesce("coding_system", F.lit("")).alias("key_system"), F.col("coding_system").isNull().alias("no_system")
+    full = F.coalesce("code", F.lit("")).alias("key"), F.col("code").isNull().alias("no_code")
+    key = ["key_system", "no_system", "key", "no_code"]
+    of_study = F.struct("coding_system", "code", "concept_id", "tags", "rank", "place").alias("s")
+    own = [F.col("coding_system"), F.col("code").alias("data_code"), "COUNT", "source_column"]
+    theirs = [F.col("s.coding_system").alias("study_system"), F.col("s.code").alias("study_code"), "s.concept_id", "s.tags", "s.rank", F.length("s.code").alias("study_length")]
+    told = lambda hit: hit.alias("picked")
+
+    exact = data.where(~hierarchical).select(*own, *system, *full)
+    exact = exact.join(study.where(~hierarchical).select(*system, *full, of_study), key, "left").select("coding_system", "data_code", "COUNT", "source_column", *theirs, told(F.col("s").isNotNull()))
+
     lengths = study.where(hierarchical).agg(F.sort_array(F.collect_set(F.length("code")))).scalar()
-    # What is equal in a match: no part is NULL, and a NULL code of a prefix system equals none.
-    way = lambda side: F.when(~hierarchical, F.lit("exact")).when(F.col("code").isNotNull(), F.lit("prefix")).otherwise(F.lit(side))
-    key = lambda code: [F.coalesce("coding_system", F.lit("")).alias("key_system"), F.col("coding_system").isNull().alias("no_system"), F.coalesce(code, F.lit("")).alias("key"), code.isNull().alias("no_code")]
-    wanted = F.when(hierarchical & F.col("code").isNotNull(), F.filter(F.col("lengths"), lambda n: n <= F.length("code"))).otherwise(F.array(F.lit(None).cast("int")))
-    expanded = data.withColumns({"lengths": lengths, "data_id": F.monotonically_increasing_id()}).withColumn("cut", F.explode_outer(wanted))
-    # an expanded row without a prefix (no study code is as short) matches nothing, but stays
-    text = F.when(F.col("cut").isNotNull(), F.expr("substring(code, 1, cut)")).otherwise(F.col("code"))
-    kind = F.when(hierarchical & F.col("code").isNotNull() & F.col("cut").isNull(), F.lit("none")).otherwise(way("data")).alias("way")
-    left = expanded.select(kind, *key(text), F.struct("coding_system", F.col("code").alias("data_code"), "COUNT", "source_column", "data_id", "cut").alias("d"))
-    right = study.select(way("study").alias("way"), *key(F.col("code")), F.struct("coding_system", "code", "concept_id", "tags", "rank", "place").alias("s"))
-    both = left.join(right, ["way", "key_system", "no_system", "key", "no_code"], "left")
-    flat = both.select(
-        "way", "d.*", F.col("s.coding_system").alias("study_system"), F.col("s.code").alias("study_code"), "s.concept_id", "s.tags", "s.rank", "s.place", F.length("s.code").alias("study_length"), F.col("s").isNotNull().alias("hit")
-    )
-    code = ["coding_system", "data_code"]
-    best = W.partitionBy(*code, "concept_id", "hit").orderBy(F.desc("study_length"), F.asc_nulls_first("rank"), "place", F.desc("COUNT"), "source_column")
-    ranked = flat.withColumn("n", F.when(F.col("hit") & (F.col("way") == "prefix"), F.row_number().over(best)))
-    picked = F.col("hit") & ((F.col("way") == "exact") | (F.col("n") == 1))
-    first = F.row_number().over(W.partitionBy(*code, "data_id").orderBy("cut", "place")) == 1
-    return ranked.withColumn("picked", picked).withColumns({"any_picked": F.max("picked").over(W.partitionBy(*code)), "first_of_row": first})
+    some = data.where(hierarchical)
+    order = F.struct(F.col("COUNT").isNull().alias("none"), (-F.col("COUNT").cast("decimal(20,0)")).alias("less"), "source_column")
+    codes = some.where("code IS NOT NULL").groupBy("coding_system", "code").agg(F.min(F.struct(order.alias("order"), "COUNT", "source_column")).alias("best"))
+    cut = codes.withColumn("lengths", lengths).withColumn("cut", F.explode(F.filter(F.col("lengths"), lambda n: n <= F.length("code"))))
+    left = cut.select("coding_system", F.col("code").alias("data_code"), "best.COUNT", "best.source_column", F.expr("substring(code, 1, cut)").alias("prefix"))
+    right = study.where(hierarchical & F.col("code").isNotNull()).select(F.col("coding_system").alias("system"), F.col("code").alias("own"), of_study)
+    hits = left.join(right, (F.col("coding_system") == F.col("system")) & (F.col("prefix") == F.col("own")))
+    best = W.partitionBy("coding_system", "data_code", "s.concept_id").orderBy(F.desc(F.length("s.code")), F.asc_nulls_first("s.rank"), "s.place")
+    found = hits.withColumn("n", F.row_number().over(best)).where("n = 1").select("coding_system", "data_code", "COUNT", "source_column", *theirs, told(F.lit(True)))
+    met = hits.select(F.col("coding_system").alias("met_system"), F.col("data_code").alias("met_code")).distinct()
+    alone = some.join(met, (F.col("coding_system") == F.col("met_system")) & (F.col("code") == F.col("met_code")), "left_anti")
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("study_system", "study_code", "concept_id", "tags", "rank", "study_length")]
+    return exact.unionByName(found).unionByName(alone.select(*own, *nothing, told(F.lit(False))))

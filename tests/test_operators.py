@@ -297,3 +297,17 @@ def test_matching_equals_loops(spark):
         assert got == _match_by_hand(data, study)
     empty = match_codelist(spark.createDataFrame([], f"{CODES}, COUNT int, source_column string"), spark.createDataFrame(study, f"{CODES}, concept_id string, priority int"))
     assert {r.match_status for r in empty.collect()} == {"ONLY_IN_CODELIST"}
+
+
+def test_rows_of_a_data_code_do_not_gather(spark):
+    """Windows stand over distinct codes of prefix systems only; equal codes are joined, however many rows they have."""
+    from cdm_engine.operators.codelist import _paired
+
+    columns = "coding_system string, code string, COUNT long, source_column string"
+    data = spark.createDataFrame([("X", "a", k, "s") for k in range(20)] + [("ATC", "N02", 1, "x"), ("ATC", "N02", 3, "y"), ("ATC", "N02", 3, "w")], columns)
+    study = spark.createDataFrame([(0, "X", "a", "c", "", 1), (1, "ATC", "N0", "p", "", 1)], "place int, coding_system string, code string, concept_id string, tags string, rank int")
+    pairs = _paired(data, study, F.coalesce(F.col("coding_system").isin("ATC"), F.lit(False)))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window [") for line in plan.splitlines()) == 1
+    assert pairs.where("picked AND coding_system = 'X'").count() == 20
+    assert [(r.COUNT, r.source_column) for r in pairs.where("picked AND coding_system = 'ATC'").collect()] == [(3, "w")]
