@@ -141,6 +141,16 @@ def _csv(df: DataFrame, folder: str, name: str) -> None:
     df.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("quoteAll", True).option("escape", '"').option("nullValue", "NA").csv(f"{folder}/{name}.csv")
 
 
+#: Rows of a file in order, at most about so many: what one task sorts. Some 140 MB of ``load_split_csv``, more than Spark's largest split.
+FILE_ROWS = 6_000_000
+
+
+def _in_order(df: DataFrame, key: str, files: int = 1) -> DataFrame:
+    """Sorted by a key, in ranges of which each is written as one file, whose names ascend with them: no task takes the whole table, more rows make more files."""
+    by = F.col(key).asc_nulls_last()
+    return df.repartitionByRange(max(files, -(-df.count() // FILE_ROWS)), by).sortWithinPartitions(by)
+
+
 def _instance(spark: SparkSession, sf_dir: str) -> str:
     """An instance folder: customers in two CSV files with other columns in another order, notes with line ends and quotes
     inside, dates as yyyymmdd; a file that only ends like the table's name; orders in two parquet files whose dates
@@ -237,7 +247,7 @@ named AS (SELECT * FROM kept WHERE c_name IS NOT NULL AND c_name NOT IN ('', 'NA
 def _flow(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
     """A configured run (its configuration in a file) over customers, ordered by key: the first of each nation, complete rows, ids, report."""
     root = fresh_path(spark, "flow")
-    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"{root}/in/CUSTOMER.parquet")
+    _in_order(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey", 4).write.parquet(f"{root}/in/CUSTOMER.parquet")
     config = {
         "file_format": "parquet", "cdm_tables_names": ["CUSTOMER"],
         "operations": {"DuplicateRemover": True, "MissingRemover": True, "UniqueIdGenerator": True, "ReportGenerator": True, "Unknown": True, "Off": False},
@@ -388,14 +398,17 @@ _NOTES = "CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN o_orderpriority || ch
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, {_NOTES} AS note, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS place FROM orders")
 def load_split_csv(spark, sf_dir):
-    """One CSV file whose quoted fields hold line ends, read in splits: rows and their numbers in the file."""
+    """CSV files in order of keys (one, up to so many rows) whose quoted fields hold line ends, read in splits: rows and their places, which go on from file to file."""
     kind, folder = F.col("o_orderkey") % 4, fresh_path(spark, "instance")
     note = F.when(kind == 0, F.concat("o_orderpriority", F.lit('\n"second" line,\n'))).when(kind == 1, F.lit('5" pipe')).when(kind == 2, "").otherwise(F.col("o_orderpriority"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"))
-    _csv(orders.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), folder, "ORDERS")
+    _csv(_in_order(orders, "o_orderkey"), folder, "ORDERS")
     store = Store(spark)
-    load_tables(store, folder, {}, ["ORDERS"], "csv")
-    return store.get("ORDERS").select("o_orderkey", "note", F.col(f"{ROW_SEQ}.row").alias("place"))
+    load_tables(store, folder, {}, ["ORDERS"], "csv", save_to=fresh_path(spark, "loaded"))
+    loaded = store.get("ORDERS").select("o_orderkey", "note", f"{ROW_SEQ}.file", f"{ROW_SEQ}.row")
+    files = loaded.groupBy("file").agg(F.max("row").alias("n"))
+    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row per file
+    return loaded.join(F.broadcast(before), "file").select("o_orderkey", "note", (F.col("before") + F.col("row")).alias("place"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, true AS same FROM customer")
@@ -438,7 +451,7 @@ def engine_resumed(spark, sf_dir):
             ran.append("RemoveDuplicates")
             super().run(engine)
 
-    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"{root}/in/CUSTOMER.parquet")
+    _in_order(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey", 4).write.parquet(f"{root}/in/CUSTOMER.parquet")
     config = {
         "file_format": "parquet", "cdm_tables_names": ["CUSTOMER"], "operations": {"DuplicateRemover": True, "MissingRemover": True, "Unsteady": True, "UniqueIdGenerator": True},
         "duplicate_remover": {"cdm_tables_columns": {"CUSTOMER": ["c_nationkey"]}, "save_deleted": True, "save_path": f"{root}/removed"}, "missing_remover": {"columns": {"CUSTOMER": ["c_name"]}},

@@ -180,3 +180,27 @@ def test_a_load_is_one_state(spark, tmp_path):
     store = Store.open(spark, str(tmp_path / "base"))
     load_tables(store, str(tmp_path), {}, ["T", "U"], notes=Diagnostics())
     assert store._manifest.state()["number"] == 1 and sorted(Store.open(spark, store.root).names()) == ["T", "U"]
+
+
+def test_files_in_order_are_bounded_and_places_go_on(spark, split, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cdm_engine.plans import catalog
+
+    keys = F.when(F.col("id") != 500, F.col("id") * 7919 % 1000)  # shuffled, one of them null
+    spark.range(1000).select(keys.alias("o_orderkey"), F.lit("2-HIGH").alias("o_orderpriority")).repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    tasks, write = [], catalog._csv
+
+    def counted(df, *rest):
+        tasks.extend(df.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+        write(df, *rest)
+
+    monkeypatch.setattr(catalog, "_csv", counted)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100, raising=False)
+    split(500)
+    found = sorted(catalog.load_split_csv(spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert sum(tasks) == 1000 and max(tasks) < 250  # ranges come from a sample
+    none = 500 * 7919 % 1000
+    want = [*(k for k in range(1000) if k != none), None]
+    notes = {0: '2-HIGH\n"second" line,\n', 1: '5" pipe', 2: "", 3: "2-HIGH", None: "2-HIGH"}
+    assert [tuple(r) for r in found] == [(None if k is None else str(k), notes[k if k is None else k % 4], n) for n, k in enumerate(want, 1)]
